@@ -12,6 +12,11 @@ def column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def try_cast(value: str | Column, kind: str) -> Column:
+    """Cast that gives null instead of an error."""
+    return column(value).try_cast(kind)
+
+
 def is_finite(value: str | Column) -> Column:
     """True only for a finite number: NaN sorts above infinity, null gives false."""
     return F.coalesce(F.abs(column(value)) < F.lit(INFINITY), F.lit(False))
@@ -24,7 +29,7 @@ def finite_or_null(value: str | Column) -> Column:
 
 def finite_number(text: str | Column) -> Column:
     """Number held in text (or any scalar); everything that is no finite number is null."""
-    return finite_or_null(F.try_cast(column(text), "double"))
+    return finite_or_null(try_cast(column(text), "double"))
 
 
 def nan_to_null(value: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from curveframe.functions.numeric import column, finite_number, is_finite
+from curveframe.functions.numeric import column, finite_number, is_finite, try_cast
 from curveframe.functions.text import strip
 
 # Mnemonics that name an index, and seconds per time unit.
@@ -112,7 +112,7 @@ def iso_epoch(text: str | Column) -> Column:
     """UTC epoch seconds of ISO-8601 text; text without a zone counts as UTC."""
     value = strip(text)
     dated = F.rlike(value, F.lit(r"^\d{4}-\d{2}-\d{2}([T ]|$)"))
-    return F.when(dated, epoch_seconds(F.try_cast(value, "timestamp")))
+    return F.when(dated, epoch_seconds(try_cast(value, "timestamp")))
 
 
 def canonical_index(raw: Column, any_numeric: Column, any_dated: Column, ordinal: Column) -> Column:

@@ -35,10 +35,12 @@ def lag_by_chunk(
     """``lag(value)`` per ``keys`` by ``ordinal``; the result keeps ``chunk``.
 
     The first row of a chunk takes the last value of the preceding chunk that
-    has rows, whatever the gap between the two.
+    has rows, whatever the gap between the two. Rows are shuffled once: the
+    window and the chunk table read the same exchange, so hand in only the
+    columns that are needed.
     """
     keys = list(keys)
-    chunked = with_chunk(df, chunk_rows, ordinal)
+    chunked = with_chunk(df, chunk_rows, ordinal).repartition(*keys, "chunk")
     last = chunked.groupBy(*keys, "chunk").agg(F.max_by(value, ordinal).alias("chunk_last"))
     border = last.select(
         *keys,

@@ -24,6 +24,7 @@ from curveframe.functions.numeric import (
 from curveframe.operators.chunks import CHUNK_ROWS, lag_by_chunk
 from curveframe.operators.median import weighted_median
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, RULE_VERSION
+from curveframe.session import cut_lineage
 
 # Rule thresholds.
 EXCESSIVE_NULL_RATIO = 0.2
@@ -88,8 +89,12 @@ def _profile_columns() -> list[Column]:
 
 
 def index_profile(axis: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Counts of index faults and the first (previous, current) pair of each kind."""
-    steps = index_steps(axis, chunk_rows)
+    """Counts of index faults and the first (previous, current) pair of each kind.
+
+    The step table is kept: the median and the counts read it, the axis is not
+    read again.
+    """
+    steps = cut_lineage(index_steps(axis, chunk_rows))
     return (
         steps.join(typical_step(steps), DATASET_KEYS, "left")
         .groupBy(*DATASET_KEYS)

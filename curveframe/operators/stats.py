@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curveframe.functions.numeric import finite_or_null, is_finite
+from curveframe.functions.numeric import finite_or_null, is_finite, try_cast
 from curveframe.functions.text import is_empty_text
 from curveframe.operators.chunks import CHUNK_ROWS, dense_ordinal, lag_by_chunk
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS
@@ -56,7 +56,7 @@ def text_statistics(samples: DataFrame) -> DataFrame:
 
 def castable_channels(cells: DataFrame, raw: str = "raw") -> DataFrame:
     """A channel is numeric only if every non-null cell parses as a number."""
-    bad = F.col(raw).isNotNull() & F.try_cast(F.col(raw), "double").isNull()
+    bad = F.col(raw).isNotNull() & try_cast(F.col(raw), "double").isNull()
     return cells.groupBy(*CHANNEL_KEYS).agg(
         F.count(F.lit(1)).alias("sample_count"),
         F.count_if(bad).alias("text_count"),
@@ -136,8 +136,8 @@ def candidate_quality(axis: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFram
 def even_positions(position: Column, rows: Column, points: int) -> Column:
     """Whether a zero-based position is one of ``points`` evenly spaced ones.
 
-    Position p is kept when p = trunc(k * step) for some k, step = (rows-1)/(points-1);
-    the last position is always kept.
+    Position p is kept when p = trunc(k * step) for some k below points-1, with
+    step = (rows-1)/(points-1); the last position is always kept.
     """
     if points == 1:
         return position == 0
@@ -147,7 +147,7 @@ def even_positions(position: Column, rows: Column, points: int) -> Column:
     for offset in (-1, 0, 1):
         k = guess + offset
         hit = hit | (
-            (k >= 0) & (k < points) & (F.floor(k.cast("double") * step).cast("bigint") == position)
+            (k >= 0) & (k < points - 1) & (F.floor(k.cast("double") * step).cast("bigint") == position)
         )
     return (rows <= points) | hit | (position == rows - 1)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curveframe.functions.numeric import nan_to_null
+from curveframe.functions.numeric import nan_to_null, try_cast
 from curveframe.functions.text import channel_id, column_slug, first_text, non_empty
 from curveframe.functions.timeindex import frame_index_kind
 from curveframe.operators.catalog import frame_edges
@@ -41,7 +41,7 @@ def frame_axis(frame: DataFrame, index_field: str) -> DataFrame:
         return frame.select(
             *DATASET_KEYS, "ordinal", nan_to_null(raw.cast("double")).alias("index")
         )
-    number = F.try_cast(raw, "double")
+    number = try_cast(raw, "double")
     numeric = frame.groupBy(*DATASET_KEYS).agg(
         (F.count_if(raw.isNotNull() & number.isNull()) == 0).alias("is_numeric")
     )

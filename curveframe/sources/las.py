@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curveframe.functions.numeric import nan_to_null
+from curveframe.functions.numeric import nan_to_null, try_cast
 from curveframe.functions.text import (
     channel_id,
     file_stem,
@@ -165,10 +165,10 @@ def las_cells(parsed: DataFrame) -> DataFrame:
     cells = parsed.where(F.col("problem").isNull()).select(
         *DATASET_KEYS,
         "curve_count",
-        F.try_cast(F.col("null_text"), "double").alias("sentinel"),
+        try_cast(F.col("null_text"), "double").alias("sentinel"),
         F.posexplode("tokens").alias("place", "token"),
     )
-    number = nan_to_null(F.try_cast(F.col("token"), "double"))
+    number = nan_to_null(try_cast(F.col("token"), "double"))
     return cells.select(
         *DATASET_KEYS,
         (F.col("place") % F.col("curve_count")).alias("position"),
@@ -183,7 +183,7 @@ def las_curves(parsed: DataFrame, cells: DataFrame) -> DataFrame:
     defined = parsed.where(F.col("problem").isNull()).select(
         *DATASET_KEYS, F.posexplode("curve_items").alias("position", "item")
     )
-    text_cell = F.col("raw").isNotNull() & F.try_cast(F.col("raw"), "double").isNull()
+    text_cell = F.col("raw").isNotNull() & try_cast(F.col("raw"), "double").isNull()
     typed = cells.groupBy(*DATASET_KEYS, "position").agg(
         F.count(F.lit(1)).alias("row_count"), (F.count_if(text_cell) == 0).alias("is_numeric")
     )

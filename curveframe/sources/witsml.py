@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curveframe.functions.numeric import finite_number, is_finite, nan_to_null
+from curveframe.functions.numeric import finite_number, is_finite, nan_to_null, try_cast
 from curveframe.functions.text import channel_id, file_stem, first_text, non_empty, slug, strip
 from curveframe.functions.timeindex import canonical_index, iso_epoch, log_index_kind
 from curveframe.operators.index_selection import unique_column_names
@@ -201,7 +201,7 @@ def _column_cells(logs: DataFrame) -> DataFrame:
 
 def _without_sentinel() -> Column:
     """Parsed equality: numbers compare as numbers, anything else as text."""
-    number, mark = F.try_cast(F.col("raw"), "double"), F.try_cast(F.col("sentinel"), "double")
+    number, mark = try_cast(F.col("raw"), "double"), try_cast(F.col("sentinel"), "double")
     same = F.when(number.isNotNull() & mark.isNotNull(), number == mark).otherwise(
         F.col("raw") == F.col("sentinel")
     )
@@ -275,7 +275,7 @@ def _axis(rows: DataFrame, raws: Column) -> DataFrame:
     """Index axis from the raw index texts of a dataset, held in one array."""
     flags = rows.withColumn("raws", raws).select(
         *DATASET_KEYS,
-        F.exists("raws", lambda raw: is_finite(F.try_cast(raw, "double"))).alias("any_numeric"),
+        F.exists("raws", lambda raw: is_finite(try_cast(raw, "double"))).alias("any_numeric"),
         F.exists("raws", lambda raw: iso_epoch(raw).isNotNull()).alias("any_dated"),
         F.posexplode("raws").alias("ordinal", "raw"),
     )
@@ -290,7 +290,7 @@ def _axis(rows: DataFrame, raws: Column) -> DataFrame:
 
 
 def _scalar_samples(cells: DataFrame, axis: DataFrame) -> DataFrame:
-    number = F.try_cast(F.col("raw"), "double")
+    number = try_cast(F.col("raw"), "double")
     return cells.join(axis.select(*DATASET_KEYS, "ordinal", "index"), [*DATASET_KEYS, "ordinal"]).select(
         *CHANNEL_KEYS,
         "ordinal",
@@ -391,7 +391,7 @@ def ingest_column_logs(
         )["nullValue"]
     )
     same = lambda raw: F.coalesce(
-        F.try_cast(raw, "double") == F.try_cast(sentinel, "double"), raw == sentinel, F.lit(False)
+        try_cast(raw, "double") == try_cast(sentinel, "double"), raw == sentinel, F.lit(False)
     )
     axis = _axis(logs, F.transform(index_raws, lambda raw: F.when(~same(raw), raw)))
 
@@ -459,7 +459,7 @@ def nested_shape(raw: Column) -> Column:
 def nested_values(raw: Column) -> Column:
     """Numbers of a JSON list in reading order, whatever its nesting."""
     flat = F.split(F.regexp_replace(raw, r"[\[\]\s]", ""), ",")
-    return F.transform(flat, lambda item: F.try_cast(item, "double"))
+    return F.transform(flat, lambda item: try_cast(item, "double"))
 
 
 def ingest_channel_sets(
@@ -559,7 +559,7 @@ def ingest_trajectories(
         return F.coalesce(*[station[name] for name in names])
 
     def number(station: Column, names: tuple[str, ...]) -> Column:
-        return F.try_cast(measure(station, names)["_VALUE"], "double")
+        return try_cast(measure(station, names)["_VALUE"], "double")
 
     values = {
         key: F.transform(stations, lambda station, names=names: number(station, names))
