@@ -70,15 +70,33 @@ def suffix(name: str | Column) -> Column:
     return F.lower(F.regexp_extract(column(name), r"[^/](\.[^./]*)$", 1))
 
 
+def _holds_pieces(text: Column, pieces: list[str]) -> Column:
+    """Whether the pieces occur one after the other, without overlap."""
+    if len(pieces) == 1:
+        return F.contains(text, F.lit(pieces[0]))
+    found = F.position(F.lit(pieces[0]), text)
+    for before, piece in zip(pieces, pieces[1:], strict=False):
+        found = F.when(found > 0, F.position(F.lit(piece), text, found + len(before))).otherwise(0)
+    return found > 0
+
+
 def like_anywhere(term: str, *fields: str | Column) -> Column:
     """Case-insensitive substring; ``%`` and ``_`` in the term stay wildcards.
 
-    A backslash is no escape here, hence it is doubled for Spark's LIKE.
+    Literal pieces between ``%`` are looked up one after the other, which stays
+    linear on long texts. Only ``_`` needs LIKE; a backslash is no escape here,
+    hence it is doubled.
     """
-    pattern = "%" + term.replace("\\", "\\\\") + "%"
+    pieces = [piece for piece in term.lower().split("%") if piece]
     match = F.lit(False)
     for field in fields:
-        match = match | F.coalesce(column(field).ilike(pattern), F.lit(False))
+        if "_" in term:
+            hit = column(field).ilike("%" + term.replace("\\", "\\\\") + "%")
+        elif pieces:
+            hit = _holds_pieces(F.lower(column(field)), pieces)
+        else:
+            hit = column(field).isNotNull()
+        match = match | F.coalesce(hit, F.lit(False))
     return match
 
 

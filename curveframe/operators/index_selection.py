@@ -111,7 +111,7 @@ def index_candidates(
         (F.col("valid_ratio") >= MINIMUM_VALID) & (F.col("monotonic_ratio") >= MINIMUM_MONOTONIC)
     )
     dates = paired.select(*DATASET_KEYS, "position", "date_position").distinct()
-    named = good.join(curves, [*DATASET_KEYS, "position"]).join(
+    named = good.join(curves.drop("row_count"), [*DATASET_KEYS, "position"]).join(
         dates, [*DATASET_KEYS, "position"], "left"
     )
     is_pair = F.col("date_position").isNotNull()

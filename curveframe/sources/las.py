@@ -31,6 +31,7 @@ from curveframe.operators.index_selection import (
 )
 from curveframe.operators.stats import curve_statistics, even_sample, index_extent, text_statistics
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, DEFAULT_PREVIEW_POINTS, MAX_LAS_BYTES
+from curveframe.session import cut_lineage
 
 # Messages of files that cannot be used.
 NOT_LAS = "Only LAS files are supported in this import step."
@@ -42,6 +43,9 @@ TOO_LARGE = "This LAS file is larger than 64 MB."
 CHOOSE_INDEX = "This LAS file has multiple credible index curves. Select the index to use."
 UNKNOWN_CHOICE = "The selected LAS index candidate is no longer available. Reopen the file."
 
+# Length that stands for "to the end" in a slice.
+ALL = 1 << 30
+
 HEADER_LINE = r"^\s*([^.:]*?)\s*\.(\S*)\s*(.*?)\s*:\s*(.*?)\s*$"
 
 
@@ -65,7 +69,7 @@ def _section_lines(letter: str) -> Column:
     """Lines of the first section whose title starts with the letter, title dropped."""
     sections = F.filter("sections", lambda text: F.upper(F.left(text, F.lit(1))) == letter)
     lines = F.split(F.get(sections, F.lit(0)), r"\r\n|\n|\r")
-    return F.coalesce(F.slice(lines, F.lit(2), F.size(lines)), F.array().cast("array<string>"))
+    return F.coalesce(F.slice(lines, F.lit(2), F.lit(ALL)), F.array().cast("array<string>"))
 
 
 def _content_lines(letter: str) -> Column:
@@ -109,10 +113,16 @@ def _data_tokens() -> Column:
 
 
 def parse_las(raw: DataFrame) -> DataFrame:
-    """Header items, curve definitions and data cells per file, all in one row."""
+    """Header items, curve definitions and data cells per file, all in one row.
+
+    Nothing here filters on parsed columns: such a filter would move below the
+    parsing and repeat it.
+    """
     sections = F.split("content", r"(?m)^[ \t]*~", -1)
+    readable = (suffix("file_name") == ".las") & (F.col("file_size_bytes") <= MAX_LAS_BYTES)
     return (
-        raw.withColumn("sections", F.slice(sections, F.lit(2), F.size(sections)))
+        raw.withColumn("content", F.when(readable, F.col("content")).otherwise(""))
+        .withColumn("sections", F.slice(sections, F.lit(2), F.lit(ALL)))
         .withColumn("version_items", _header_items("V"))
         .withColumn("well_items", _header_items("W"))
         .withColumn("curve_items", _header_items("C"))
@@ -162,12 +172,13 @@ def las_cells(parsed: DataFrame) -> DataFrame:
 
     The null sentinel of the header becomes a null value.
     """
-    cells = parsed.where(F.col("problem").isNull()).select(
+    tokens = F.when(F.col("problem").isNull(), F.col("tokens"))
+    cells = parsed.select(
         *DATASET_KEYS,
         "curve_count",
         try_cast(F.col("null_text"), "double").alias("sentinel"),
-        F.posexplode("tokens").alias("place", "token"),
-    )
+        F.posexplode_outer(tokens).alias("place", "token"),
+    ).where(F.col("place").isNotNull())
     number = nan_to_null(try_cast(F.col("token"), "double"))
     return cells.select(
         *DATASET_KEYS,
@@ -205,21 +216,21 @@ def ingest_las(
     selection: DataFrame | None = None,
     take_first: bool = False,
     preview_points: int = DEFAULT_PREVIEW_POINTS,
-    stage: Callable[[DataFrame], DataFrame] | None = None,
+    stage: Callable[[DataFrame], DataFrame] = cut_lineage,
     chunk_rows: int = CHUNK_ROWS,
 ) -> LasTables:
     """Canonical tables of raw LAS documents.
 
-    ``stage`` (for instance ``session.cut_lineage``) keeps the parsed cells so
-    that the later steps do not parse the text again. ``take_first`` resolves an
+    ``stage`` keeps headers, cells, curves and candidates, so that the text is
+    parsed once for each and not again by every table derived from them. ``take_first`` resolves an
     ambiguous index like a preview would; else such files wait for a selection.
     """
-    parsed = parse_las(raw)
-    if stage is not None:
-        parsed = stage(parsed)
-    cells = las_cells(parsed)
-    curves = las_curves(parsed, cells)
+    texts = parse_las(raw)
+    cells = stage(las_cells(texts))
+    parsed = stage(texts.drop("tokens"))
+    curves = stage(las_curves(parsed, cells))
     candidates, values = index_candidates(cells, curves, chunk_rows)
+    candidates = stage(candidates)
     choice = choose_index(candidates, selection, take_first)
     chosen = choice.where(F.col("status") == "OK").select(
         *DATASET_KEYS,

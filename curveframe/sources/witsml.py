@@ -8,6 +8,7 @@ is open-ended, are read from a table of XML tags with the bulk data removed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,7 @@ from curveframe.operators.stats import (
     sample_shapes,
 )
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, DEFAULT_PREVIEW_POINTS
+from curveframe.session import cut_lineage
 
 CHANNEL_SET = (
     "struct<Citation:struct<Title:string>, Title:string, Name:string, "
@@ -76,8 +78,13 @@ class CurveTables:
     preview_samples: DataFrame
 
 
-def read_documents(raw: DataFrame) -> DataFrame:
-    """Root name, namespace, version, file warning and parsed content per document."""
+def read_documents(
+    raw: DataFrame, stage: Callable[[DataFrame], DataFrame] = cut_lineage
+) -> DataFrame:
+    """Root name, namespace, version, file warning and parsed content per document.
+
+    ``stage`` keeps the parsed documents: every table below reads them.
+    """
     body = F.regexp_replace("content", r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*", "")
     root = r"^<(?:([\w.-]+):)?([\w.-]+)([^>]*)>"
     attributes = F.col("root_attributes")
@@ -116,12 +123,13 @@ def read_documents(raw: DataFrame) -> DataFrame:
     )
     broken = (F.col("root_name") == "") | F.col("doc._corrupt_record").isNotNull() | F.col("doc").isNull()
     foreign = ~F.contains(F.lower("namespace"), F.lit("witsml"))
-    return headed.withColumn(
+    checked = headed.withColumn(
         "problem",
         F.when(broken, F.concat(F.lit("Could not parse "), "file_name")).when(
             foreign, F.concat("file_name", F.lit(" is not a recognized WITSML XML document."))
         ),
     ).drop("head", "root_attributes")
+    return stage(checked)
 
 
 def document_warnings(documents: DataFrame) -> DataFrame:
@@ -378,7 +386,7 @@ def ingest_column_logs(
     documents: DataFrame, preview_points: int = DEFAULT_PREVIEW_POINTS
 ) -> CurveTables:
     """First-generation logs: mnemonic and unit lists, comma rows, curve info."""
-    logs = _column_logs(documents)
+    logs = cut_lineage(_column_logs(documents))
     cells = _column_cells(logs)
     index_raws = F.transform("lines", lambda line: non_empty(F.get(F.split(line, ","), F.lit(0))))
     sentinel = non_empty(
@@ -466,7 +474,7 @@ def ingest_channel_sets(
     documents: DataFrame, preview_points: int = DEFAULT_PREVIEW_POINTS
 ) -> CurveTables:
     """Second-generation logs: JSON rows with scalar and list cells."""
-    sets = _set_logs(documents).where(~F.col("bad_shape") & (F.size("rows") > 0))
+    sets = cut_lineage(_set_logs(documents)).where(~F.col("bad_shape") & (F.size("rows") > 0))
     axis = _axis(sets, F.transform("rows", lambda row: F.get(row["index"], F.lit(0))))
     width = F.array_max(F.transform("rows", lambda row: F.size(row["cells"])))
     count = sets.withColumn("width", width).where(F.col("width") > 0)
