@@ -569,19 +569,15 @@ def ingest_trajectories(
     def number(station: Column, names: tuple[str, ...]) -> Column:
         return try_cast(measure(station, names)["_VALUE"], "double")
 
-    values = {
-        key: F.transform(stations, lambda station, names=names: number(station, names))
-        for key, names in STATION_FIELDS.items()
-    }
-    uoms = {
-        key: F.try_element_at(
-            F.array_compact(
-                F.transform(stations, lambda station, names=names: measure(station, names)["_uom"])
-            ),
-            F.lit(-1),
-        )
-        for key, names in STATION_FIELDS.items()
-    }
+    def numbers(names: tuple[str, ...]) -> Column:
+        return F.transform(stations, lambda station: number(station, names))
+
+    def last_unit(names: tuple[str, ...]) -> Column:
+        units = F.transform(stations, lambda station: measure(station, names)["_uom"])
+        return F.try_element_at(F.array_compact(units), F.lit(-1))
+
+    values = {key: numbers(names) for key, names in STATION_FIELDS.items()}
+    uoms = {key: last_unit(names) for key, names in STATION_FIELDS.items()}
     table = (
         found.where(F.size(stations) > 0)
         .select(
