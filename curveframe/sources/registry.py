@@ -26,9 +26,10 @@ def read_registry(spark: SparkSession, folder: str, glob: str | None = None) ->
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(folder)
-    name = file_name("path")
+    path = F.col("_metadata.file_path")
+    name = file_name(path)
     return files.select(
-        document_id("path").alias("document_id"),
+        document_id(path).alias("document_id"),
         name.alias("file_name"),
         source_format(name).alias("source_format"),
         F.col("length").alias("file_size_bytes"),
@@ -45,10 +46,9 @@ def unsupported_files(registry: DataFrame) -> DataFrame:
 def read_text_documents(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """Whole text of each matching file: (document_id, file_name, file_size_bytes, content)."""
     files = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .text(folder)
+        .text(folder, wholetext=True)
     )
     return files.select(
         document_id(F.col("_metadata.file_path")).alias("document_id"),

@@ -176,7 +176,7 @@ def _column_logs(documents: DataFrame) -> DataFrame:
     lines = F.flatten(
         F.transform("item.logData", lambda part: F.coalesce(part["data"], F.array().cast("array<string>")))
     )
-    return logs.select(
+    split = logs.select(
         "document_id",
         _dataset_id("dataset-witsml-log", F.col("object_index") + 1).alias("dataset_id"),
         F.col("object_index").cast("int").alias("position"),
@@ -184,36 +184,67 @@ def _column_logs(documents: DataFrame) -> DataFrame:
         F.transform(names, strip).alias("mnemonics"),
         F.transform(units, strip).alias("units"),
         lines.alias("lines"),
-    ).where((F.size("mnemonics") > 0) & (F.get("mnemonics", F.lit(0)) != "") & (F.size("lines") > 0))
+    )
+
+    def last_info(mnemonic: Column) -> Column:
+        same = F.filter("item.logCurveInfo", lambda info: strip(info["mnemonic"]) == mnemonic)
+        return F.try_element_at(same, F.lit(-1))
+
+    described = split.withColumn("infos", F.transform("mnemonics", last_info)).withColumn(
+        "sentinels", F.transform("infos", lambda info: non_empty(info["nullValue"]))
+    )
+    first_cell = F.transform(
+        "lines", lambda line: non_empty(F.substring_index(line, ",", 1))
+    )
+    mark = F.get("sentinels", F.lit(0))
+    indexed = described.withColumn("index_cells", first_cell).withColumn(
+        "index_texts", F.transform("index_cells", lambda raw: _without(raw, mark))
+    )
+    return _with_index_flags(indexed.drop("index_cells"))
 
 
 def _column_cells(logs: DataFrame) -> DataFrame:
     """One row per cell, short lines padded with nulls, null sentinels removed."""
-    rows = logs.select(
-        *DATASET_KEYS, "mnemonics", "item.logCurveInfo", F.posexplode("lines").alias("ordinal", "line")
+    lines = logs.select(
+        *DATASET_KEYS, "sentinels", F.posexplode("lines").alias("ordinal", "line")
     ).withColumn("parts", F.split("line", ","))
-    cells = rows.select(
+    cells = lines.select(
         *DATASET_KEYS,
         F.col("ordinal").cast("bigint").alias("ordinal"),
         "parts",
-        "logCurveInfo",
-        F.posexplode("mnemonics").alias("channel_position", "mnemonic"),
-    )
-    info = F.filter("logCurveInfo", lambda entry: strip(entry["mnemonic"]) == F.col("mnemonic"))
-    sentinel = non_empty(F.try_element_at(info, F.lit(-1))["nullValue"])
+        F.posexplode("sentinels").alias("channel_position", "sentinel"),
+    ).where(F.col("channel_position") > 0)
     raw = non_empty(F.get("parts", F.col("channel_position")))
-    return cells.withColumn("raw", raw).withColumn("sentinel", sentinel).select(
-        *DATASET_KEYS, "ordinal", "channel_position", "mnemonic", _without_sentinel().alias("raw")
+    return cells.withColumn("raw", raw).select(
+        *DATASET_KEYS,
+        "ordinal",
+        "channel_position",
+        _without(F.col("raw"), F.col("sentinel")).alias("raw"),
     )
 
 
-def _without_sentinel() -> Column:
-    """Parsed equality: numbers compare as numbers, anything else as text."""
-    number, mark = try_cast(F.col("raw"), "double"), try_cast(F.col("sentinel"), "double")
-    same = F.when(number.isNotNull() & mark.isNotNull(), number == mark).otherwise(
-        F.col("raw") == F.col("sentinel")
+def _without(raw: Column, sentinel: Column) -> Column:
+    """Parsed equality with the null sentinel: numbers as numbers, the rest as text."""
+    same = F.coalesce(
+        try_cast(raw, "double") == try_cast(sentinel, "double"), raw == sentinel, F.lit(False)
+    )
+    return F.when(~same, raw)
+
+
+def _with_index_flags(logs: DataFrame) -> DataFrame:
+    """Whether any index text of the dataset is a number, or an ISO date.
+
+    Computed before the texts are exploded, once per dataset.
+    """
+    return logs.withColumn(
+        "any_numeric",
+        F.exists("index_texts", lambda raw: is_finite(try_cast(raw, "double"))),
+    ).withColumn(
+        "any_dated",
+        F.when(
+            ~F.col("any_numeric"), F.exists("index_texts", lambda raw: iso_epoch(raw).isNotNull())
+        ).otherwise(F.lit(False)),
     )
-    return F.when(~F.coalesce(same, F.lit(False)), F.col("raw"))
 
 
 def _set_logs(documents: DataFrame) -> DataFrame:
@@ -249,6 +280,7 @@ def _set_logs(documents: DataFrame) -> DataFrame:
             "channel_set",
             "bad_shape",
             "rows",
+            F.transform("rows", lambda row: F.get(row["index"], F.lit(0))).alias("index_texts"),
         )
     )
 
@@ -279,15 +311,12 @@ def shape_warnings(documents: DataFrame) -> DataFrame:
     )
 
 
-def _axis(rows: DataFrame, raws: Column) -> DataFrame:
-    """Index axis from the raw index texts of a dataset, held in one array."""
-    flags = rows.withColumn("raws", raws).select(
-        *DATASET_KEYS,
-        F.exists("raws", lambda raw: is_finite(try_cast(raw, "double"))).alias("any_numeric"),
-        F.exists("raws", lambda raw: iso_epoch(raw).isNotNull()).alias("any_dated"),
-        F.posexplode("raws").alias("ordinal", "raw"),
+def _axis(logs: DataFrame) -> DataFrame:
+    """Index axis from the index texts of each dataset."""
+    texts = logs.select(
+        *DATASET_KEYS, "any_numeric", "any_dated", F.posexplode("index_texts").alias("ordinal", "raw")
     )
-    return flags.select(
+    return texts.select(
         *DATASET_KEYS,
         F.col("ordinal").cast("bigint").alias("ordinal"),
         canonical_index(F.col("raw"), F.col("any_numeric"), F.col("any_dated"), F.col("ordinal")).alias(
@@ -386,40 +415,34 @@ def ingest_column_logs(
     documents: DataFrame, preview_points: int = DEFAULT_PREVIEW_POINTS
 ) -> CurveTables:
     """First-generation logs: mnemonic and unit lists, comma rows, curve info."""
-    logs = cut_lineage(_column_logs(documents))
-    cells = _column_cells(logs)
-    index_raws = F.transform("lines", lambda line: non_empty(F.get(F.split(line, ","), F.lit(0))))
-    sentinel = non_empty(
-        F.try_element_at(
-            F.filter(
-                "item.logCurveInfo",
-                lambda info: strip(info["mnemonic"]) == F.get("mnemonics", F.lit(0)),
-            ),
-            F.lit(-1),
-        )["nullValue"]
+    parsed = cut_lineage(_column_logs(documents))
+    logs = parsed.where(
+        (F.size("mnemonics") > 0) & (F.get("mnemonics", F.lit(0)) != "") & (F.size("lines") > 0)
     )
-    same = lambda raw: F.coalesce(
-        try_cast(raw, "double") == try_cast(sentinel, "double"), raw == sentinel, F.lit(False)
-    )
-    axis = _axis(logs, F.transform(index_raws, lambda raw: F.when(~same(raw), raw)))
-
-    info = F.filter("item.logCurveInfo", lambda entry: strip(entry["mnemonic"]) == F.col("mnemonic"))
+    cells = _column_cells(logs)
+    axis = _axis(logs)
     described = (
         logs.select(
-            *DATASET_KEYS, "item", "units", F.posexplode("mnemonics").alias("list_position", "mnemonic")
+            *DATASET_KEYS,
+            "units",
+            F.posexplode(F.arrays_zip("mnemonics", "infos")).alias("list_position", "entry"),
         )
         .where(F.col("list_position") > 0)
-        .withColumn("info", F.try_element_at(info, F.lit(-1)))
         .select(
             *DATASET_KEYS,
-            channel_id("list_position", "mnemonic", F.col("dataset_id")).alias("channel_id"),
+            channel_id("list_position", "entry.mnemonics", F.col("dataset_id")).alias("channel_id"),
             "list_position",
             (F.col("list_position") - 1).alias("position"),
-            "mnemonic",
-            first_text("info.unit", F.get("units", F.col("list_position")), F.lit("")).alias("text_unit"),
-            first_text("info.curveDescription", F.lit("Imported WITSML curve")).alias("description"),
+            F.col("entry.mnemonics").alias("mnemonic"),
+            F.coalesce(
+                non_empty("entry.infos.unit"),
+                non_empty(F.get("units", F.col("list_position"))),
+                F.lit(""),
+            ).alias("unit"),
+            first_text("entry.infos.curveDescription", F.lit("Imported WITSML curve")).alias(
+                "description"
+            ),
         )
-        .withColumn("unit", F.coalesce("text_unit", F.lit("")))
     )
     samples = _scalar_samples(
         cells.join(
@@ -474,10 +497,11 @@ def ingest_channel_sets(
     documents: DataFrame, preview_points: int = DEFAULT_PREVIEW_POINTS
 ) -> CurveTables:
     """Second-generation logs: JSON rows with scalar and list cells."""
-    sets = cut_lineage(_set_logs(documents)).where(~F.col("bad_shape") & (F.size("rows") > 0))
-    axis = _axis(sets, F.transform("rows", lambda row: F.get(row["index"], F.lit(0))))
     width = F.array_max(F.transform("rows", lambda row: F.size(row["cells"])))
-    count = sets.withColumn("width", width).where(F.col("width") > 0)
+    parsed = cut_lineage(_with_index_flags(_set_logs(documents)).withColumn("width", width))
+    sets = parsed.where(~F.col("bad_shape") & (F.size("rows") > 0))
+    axis = _axis(sets)
+    count = sets.where(F.col("width") > 0)
     described = (
         count.select(
             *DATASET_KEYS,
@@ -578,9 +602,8 @@ def ingest_trajectories(
 
     values = {key: numbers(names) for key, names in STATION_FIELDS.items()}
     uoms = {key: last_unit(names) for key, names in STATION_FIELDS.items()}
-    table = (
-        found.where(F.size(stations) > 0)
-        .select(
+    table = cut_lineage(
+        found.select(
             "document_id",
             _dataset_id("dataset-witsml-trajectory", F.col("object_index") + 1).alias("dataset_id"),
             F.col("object_index").cast("int").alias("position"),
@@ -588,8 +611,7 @@ def ingest_trajectories(
             *[column.alias(f"{key}_values") for key, column in values.items()],
             *[F.coalesce(column, F.lit("")).alias(f"{key}_unit") for key, column in uoms.items()],
         )
-        .where(F.exists("MD_values", lambda value: value.isNotNull()))
-    )
+    ).where(F.exists("MD_values", lambda value: value.isNotNull()))
     axis = table.select(*DATASET_KEYS, F.posexplode("MD_values").alias("ordinal", "raw")).select(
         *DATASET_KEYS,
         F.col("ordinal").cast("bigint").alias("ordinal"),
