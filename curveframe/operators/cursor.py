@@ -24,7 +24,7 @@ from curveframe.functions.numeric import (
 from curveframe.operators.chunks import CHUNK_ROWS, chunk_table, with_chunk
 from curveframe.schema import DATASET_KEYS, NEAREST_ROWS
 
-ROWS_PER_BUCKET = 256
+ROWS_PER_BUCKET = 64
 MAX_BUCKETS = 1 << 22
 
 

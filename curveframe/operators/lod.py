@@ -6,6 +6,8 @@ per curve and bucket, and only those travel.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,38 +35,67 @@ def in_range(index: str | Column, low: float, high: float) -> Column:
     return column(index).between(min(low, high), max(low, high))
 
 
-def bucket_samples(bucketed: DataFrame) -> DataFrame:
-    """First, smallest, largest, first null and last sample per curve and bucket.
+def _picks(value: Column) -> Column:
+    """First, last, first null, smallest and largest sample of a group, as one struct.
 
-    Equal values keep the earliest sample; a sample in several roles comes once.
+    Equal values keep the earliest sample: ordinals decide, reversed for the maximum.
     """
-    value = finite_or_null("value")
+    value = finite_or_null(value)
+    known = value.isNotNull()
     point = F.struct("ordinal", "index", value.alias("value"))
-    picks = bucketed.groupBy(*CHANNEL_KEYS, "bucket").agg(
+    by_value = F.struct(value.alias("value"), "ordinal", "index")
+    by_value_reversed = F.struct(value.alias("value"), (-F.col("ordinal")).alias("reversed"), "index")
+    return F.struct(
         F.min(point).alias("first"),
         F.max(point).alias("last"),
-        F.min(F.when(value.isNull(), point)).alias("null_sample"),
-        F.min(F.when(value.isNotNull(), F.struct(value.alias("value"), "ordinal", "index"))).alias("low"),
-        F.max(
-            F.when(
-                value.isNotNull(),
-                F.struct(value.alias("value"), (-F.col("ordinal")).alias("reversed"), "index"),
-            )
-        ).alias("high"),
+        F.min(F.when(~known, point)).alias("null_sample"),
+        F.min(F.when(known, by_value)).alias("low"),
+        F.max(F.when(known, by_value_reversed)).alias("high"),
     )
-    lowest = F.when(F.col("low").isNotNull(), F.struct("low.ordinal", "low.index", "low.value"))
+
+
+def _picked_samples(picks: DataFrame) -> DataFrame:
+    """The distinct samples behind the ``picks`` struct; one in several roles comes once."""
+    low, high = F.col("picks.low"), F.col("picks.high")
+    lowest = F.when(low.isNotNull(), F.struct(low["ordinal"], low["index"], low["value"]))
     highest = F.when(
-        F.col("high").isNotNull(),
-        F.struct((-F.col("high.reversed")).alias("ordinal"), "high.index", "high.value"),
+        high.isNotNull(),
+        F.struct((-high["reversed"]).alias("ordinal"), high["index"], high["value"]),
     )
     unique = F.array_distinct(
-        F.array_compact(F.array("first", lowest, highest, "null_sample", "last"))
+        F.array_compact(
+            F.array("picks.first", lowest, highest, "picks.null_sample", "picks.last")
+        )
     )
     return picks.select(*CHANNEL_KEYS, "bucket", F.explode(unique).alias("sample")).select(
         *CHANNEL_KEYS, "bucket", "sample.*"
     )
 
 
+def bucket_samples(bucketed: DataFrame) -> DataFrame:
+    """First, smallest, largest, first null and last sample per curve and bucket."""
+    return _picked_samples(
+        bucketed.groupBy(*CHANNEL_KEYS, "bucket").agg(_picks(F.col("value")).alias("picks"))
+    )
+
+
+def wide_bucket_samples(bucketed: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """``bucket_samples`` of a wide table: rows are grouped once for all curves."""
+    picks = bucketed.groupBy(*DATASET_KEYS, "bucket").agg(
+        *[_picks(F.col(channel)).alias(channel) for channel in channels]
+    )
+    return _picked_samples(
+        picks.unpivot([*DATASET_KEYS, "bucket"], list(channels), "channel_id", "picks")
+    )
+
+
+def _in_view(df: DataFrame, low: float, high: float, buckets: int) -> DataFrame:
+    low, high = float(min(low, high)), float(max(low, high))
+    return df.where(in_range("index", low, high) & is_finite("index")).withColumn(
+        "bucket", bucket_number("index", F.lit(low), F.lit(high), buckets)
+    )
+
+
 def visible_range(
     samples: DataFrame,
     index_minimum: float,
@@ -74,12 +105,21 @@ def visible_range(
     viewport_height: int = 1000,
 ) -> DataFrame:
     """Level of detail of one index range; the range reaches the scan as a filter."""
-    low, high = min(index_minimum, index_maximum), max(index_minimum, index_maximum)
     buckets = buckets_per_curve(curves, point_budget, viewport_height)
-    bucketed = samples.where(in_range("index", low, high) & is_finite("index")).withColumn(
-        "bucket", bucket_number("index", F.lit(float(low)), F.lit(float(high)), buckets)
-    )
-    return bucket_samples(bucketed)
+    return bucket_samples(_in_view(samples, index_minimum, index_maximum, buckets))
+
+
+def wide_visible_range(
+    wide: DataFrame,
+    channels: Sequence[str],
+    index_minimum: float,
+    index_maximum: float,
+    point_budget: int = 8000,
+    viewport_height: int = 1000,
+) -> DataFrame:
+    """``visible_range`` of wide-table channels."""
+    buckets = buckets_per_curve(len(channels), point_budget, viewport_height)
+    return wide_bucket_samples(_in_view(wide, index_minimum, index_maximum, buckets), channels)
 
 
 def with_extent_buckets(

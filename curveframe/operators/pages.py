@@ -82,11 +82,11 @@ def select_channels(
     """
     available = scalar_channel_ids(channels)
     if curve_ids is None:
+        if default_limit is None:
+            return available.withColumn("request_position", F.col("position"))
         order = Window.partitionBy(*DATASET_KEYS).orderBy("position")
         placed = available.withColumn("request_position", F.row_number().over(order) - 1)
-        if default_limit is not None:
-            placed = placed.where(F.col("request_position") < default_limit)
-        return placed
+        return placed.where(F.col("request_position") < default_limit)
     wanted = F.array(*[F.lit(curve) for curve in curve_ids])
     return available.where(F.col("channel_id").isin(*curve_ids)).withColumn(
         "request_position", F.array_position(wanted, F.col("channel_id")) - 1

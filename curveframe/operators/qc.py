@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curveframe.functions.numeric import (
@@ -224,8 +224,9 @@ def index_issues(profile: DataFrame) -> DataFrame:
 
 def mnemonic_frequency(channels: DataFrame) -> DataFrame:
     """How many channels of the dataset share a mnemonic, letter case ignored."""
-    folded = Window.partitionBy(*DATASET_KEYS, F.lower("mnemonic"))
-    return channels.withColumn("duplicate_count", F.count(F.lit(1)).over(folded))
+    folded = channels.withColumn("folded", F.lower("mnemonic"))
+    counts = folded.groupBy(*DATASET_KEYS, "folded").agg(F.count(F.lit(1)).alias("duplicate_count"))
+    return folded.join(counts, [*DATASET_KEYS, "folded"]).drop("folded")
 
 
 def scalar_channels(channels: DataFrame) -> DataFrame:

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curveframe.functions.numeric import finite_or_null, is_finite, try_cast
 from curveframe.functions.text import is_empty_text
-from curveframe.operators.chunks import CHUNK_ROWS, dense_ordinal, lag_by_chunk
+from curveframe.operators.chunks import (
+    CHUNK_ROWS,
+    chunk_table,
+    dense_ordinal,
+    lag_by_chunk,
+    with_chunk,
+)
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS
 
 
@@ -158,13 +164,25 @@ def even_sample(
     keys: Sequence[str] = CHANNEL_KEYS,
     ordinal: str = "ordinal",
     chunk_rows: int = CHUNK_ROWS,
+    dense: bool = False,
 ) -> DataFrame:
     """At most ``points`` evenly spaced samples per group, as preview rows.
 
     Rows without a finite index drop out after the choice, as they would in a
-    preview; values that are not finite become null.
+    preview; values that are not finite become null. With ``dense`` ordinals (0,
+    1, 2, ... per group, as ingest writes them) rows are chosen where they are;
+    else they are numbered first.
     """
-    placed = dense_ordinal(samples, keys, ordinal, "position", chunk_rows)
+    keys = list(keys)
+    if dense:
+        totals = chunk_table(samples, keys, ordinal, chunk_rows=chunk_rows)
+        placed = (
+            with_chunk(samples, chunk_rows, ordinal)
+            .join(totals.select(*keys, "chunk", "dataset_rows"), [*keys, "chunk"])
+            .withColumn("position", F.col(ordinal))
+        )
+    else:
+        placed = dense_ordinal(samples, keys, ordinal, "position", chunk_rows)
     chosen = placed.where(even_positions(F.col("position"), F.col("dataset_rows"), points))
     return chosen.where(is_finite("index")).select(
         *keys,
@@ -174,6 +192,19 @@ def even_sample(
     )
 
 
+def preview_samples(
+    samples: DataFrame, points: int, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Preview rows of ingested samples, numbered per curve.
+
+    A curve has at most ``points`` of them, so numbering them is bounded work.
+    """
+    order = Window.partitionBy(*CHANNEL_KEYS).orderBy("position")
+    return even_sample(samples, points, chunk_rows=chunk_rows, dense=True).select(
+        *CHANNEL_KEYS, (F.row_number().over(order) - 1).alias("ordinal"), "index_value", "value"
+    )
+
+
 def unpivot_channels(
     wide: DataFrame, channels: Sequence[str], carried: Sequence[str] = ("ordinal", "index")
 ) -> DataFrame:

@@ -39,9 +39,8 @@ _CLEAN = "CASE WHEN isfinite(value) THEN value END AS value"
   FROM long WHERE "index" BETWEEN {RANGE_LOW} AND {RANGE_HIGH})""" + _PICKS
 )
 def lod_visible_range(spark: SparkSession, folder: str) -> DataFrame:
-    long = stats.unpivot_channels(t.lines_wide(spark, folder), t.LINE_CHANNELS)
-    return lod.visible_range(
-        long, RANGE_HIGH, RANGE_LOW, len(t.LINE_CHANNELS), point_budget=8000, viewport_height=100
+    return lod.wide_visible_range(
+        t.lines_wide(spark, folder), t.LINE_CHANNELS, RANGE_HIGH, RANGE_LOW, viewport_height=100
     )
 
 

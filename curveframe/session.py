@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
+        # Call-site capture for every column expression slows plan building down.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)

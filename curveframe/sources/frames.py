@@ -19,8 +19,8 @@ from curveframe.operators.catalog import frame_edges
 from curveframe.operators.stats import (
     array_statistics,
     curve_statistics,
-    even_sample,
     index_extent,
+    preview_samples,
     sample_shapes,
 )
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, DEFAULT_PREVIEW_POINTS
@@ -176,7 +176,7 @@ def ingest_frames(
             )
         ).alias("native_metadata"),
     )
-    previews = _previews(samples, preview_points)
+    previews = preview_samples(samples, preview_points)
     edges = frame_edges(
         described.select(
             "document_id",
@@ -237,13 +237,6 @@ def _channels(
     )
 
 
-def _previews(samples: DataFrame, points: int) -> DataFrame:
-    order = Window.partitionBy(*CHANNEL_KEYS).orderBy("position")
-    return even_sample(samples, points).select(
-        *CHANNEL_KEYS, (F.row_number().over(order) - 1).alias("ordinal"), "index_value", "value"
-    )
-
-
 def ingest_array_collection(
     arrays: DataFrame, well_name: str, companion: str = ""
 ) -> CurveTables:
@@ -315,5 +308,5 @@ def ingest_array_collection(
         F.lit(None).cast("string").alias("text_value"),
     )
     return CurveTables(
-        datasets, channels, axis, samples, array_samples, _previews(samples, DEFAULT_PREVIEW_POINTS)
+        datasets, channels, axis, samples, array_samples, preview_samples(samples, DEFAULT_PREVIEW_POINTS)
     )

@@ -29,7 +29,12 @@ from curveframe.operators.index_selection import (
     index_candidates,
     unique_column_names,
 )
-from curveframe.operators.stats import curve_statistics, even_sample, index_extent, text_statistics
+from curveframe.operators.stats import (
+    curve_statistics,
+    index_extent,
+    preview_samples,
+    text_statistics,
+)
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, DEFAULT_PREVIEW_POINTS, MAX_LAS_BYTES
 from curveframe.session import cut_lineage
 
@@ -290,7 +295,10 @@ def ingest_las(
     )
 
     figures = curve_statistics(samples)
-    previews = _previews(samples, named, preview_points, chunk_rows)
+    numeric = named.where("is_numeric").select(*CHANNEL_KEYS)
+    previews = preview_samples(
+        samples.join(numeric, CHANNEL_KEYS, "left_semi"), preview_points, chunk_rows
+    )
     # A preview counts blank, nan and none texts; a conversion stores no text nulls.
     text_nulls = text_statistics(samples).select(
         *CHANNEL_KEYS,
@@ -395,20 +403,6 @@ def ingest_las(
     )
 
 
-def _previews(
-    samples: DataFrame, named: DataFrame, points: int, chunk_rows: int
-) -> DataFrame:
-    numeric = named.where("is_numeric").select(*CHANNEL_KEYS)
-    chosen = even_sample(
-        samples.join(numeric, CHANNEL_KEYS, "left_semi"), points, chunk_rows=chunk_rows
-    )
-    # Previews are bounded per curve, so numbering them per curve is too.
-    order = Window.partitionBy(*CHANNEL_KEYS).orderBy("position")
-    return chosen.select(
-        *CHANNEL_KEYS, (F.row_number().over(order) - 1).alias("ordinal"), "index_value", "value"
-    )
-
-
 def _status(parsed: DataFrame, choice: DataFrame, with_curves: DataFrame) -> DataFrame:
     """One row per file: OK, a failure with its message, or the wait for a choice."""
     decided = choice.select("document_id", F.col("status").alias("choice_status"))

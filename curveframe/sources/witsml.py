@@ -21,8 +21,8 @@ from curveframe.operators.index_selection import unique_column_names
 from curveframe.operators.stats import (
     array_statistics,
     curve_statistics,
-    even_sample,
     index_extent,
+    preview_samples,
     sample_shapes,
 )
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, DEFAULT_PREVIEW_POINTS
@@ -389,11 +389,7 @@ def _finish(
         F.to_json(F.struct(F.col("column_name").alias("parquet_column"))).alias("native_metadata"),
     )
     extent = index_extent(axis).select(*DATASET_KEYS, "row_count", "index_minimum", "index_maximum")
-    placed = even_sample(samples, preview_points)
-    order = Window.partitionBy(*CHANNEL_KEYS).orderBy("position")
-    previews = placed.select(
-        *CHANNEL_KEYS, (F.row_number().over(order) - 1).alias("ordinal"), "index_value", "value"
-    )
+    previews = preview_samples(samples, preview_points)
     full = datasets.join(extent, DATASET_KEYS).select(
         *DATASET_KEYS, "position", "name", "kind", "well_name", "wellbore_name", "row_count",
         "index_mnemonic", "index_unit", "index_kind", "index_minimum", "index_maximum",
