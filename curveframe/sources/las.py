@@ -226,13 +226,14 @@ def ingest_las(
 ) -> LasTables:
     """Canonical tables of raw LAS documents.
 
-    ``stage`` keeps headers, cells, curves and candidates, so that the text is
-    parsed once for each and not again by every table derived from them. ``take_first`` resolves an
+    ``stage`` keeps the parsed files (cells as one array, far smaller than a row
+    per cell), the headers apart from them, curves and candidates; no later table
+    parses text again. ``take_first`` resolves an
     ambiguous index like a preview would; else such files wait for a selection.
     """
-    texts = parse_las(raw)
-    cells = stage(las_cells(texts))
+    texts = stage(parse_las(raw))
     parsed = stage(texts.drop("tokens"))
+    cells = las_cells(texts)
     curves = stage(las_curves(parsed, cells))
     candidates, values = index_candidates(cells, curves, chunk_rows)
     candidates = stage(candidates)
