@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curveframe.functions.text import document_id, file_name, suffix
@@ -74,21 +74,23 @@ def read_package_files(spark: SparkSession, folder: str, document: str) -> DataF
 
 
 def row_ordinals(df: DataFrame) -> DataFrame:
-    """Adds ``ordinal``: file order first, row position in the file second.
+    """Adds ``ordinal``: rows of the first file (by path) first, in file order, without gaps.
 
-    Row order of foreign Parquet is the only order its curves have. One file
-    keeps plain row positions; several files are told apart by the upper bits.
+    Row order of foreign Parquet is the only order its curves have. A file's
+    offset is the number of rows in the files before it; the offsets have one
+    row per file, so their running sum is small where the rows are not. One plan
+    serves any number of files, and no file name passes through the driver.
     """
-    files = sorted(df.inputFiles())
-    position = F.col("_metadata.row_index")
-    if len(files) == 1:
-        return df.select("*", position.alias("ordinal"))
-    ranks = df.sparkSession.createDataFrame(
-        list(zip(files, range(len(files)), strict=True)), "file_path string, file_rank bigint"
+    file_path, position = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    sizes = df.select(file_path.alias("file_path")).groupBy("file_path").agg(F.count("*").alias("rows"))
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        F.col("file_path").alias("_offset_path"),
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_offset"),
     )
     return (
-        df.select("*", F.col("_metadata.file_path").alias("file_path"), position.alias("row_index"))
-        .join(ranks, "file_path")
-        .withColumn("ordinal", F.shiftleft("file_rank", 40) + F.col("row_index"))
-        .drop("file_path", "row_index", "file_rank")
+        df.select("*", file_path.alias("_row_path"), position.alias("_row_position"))
+        .join(offsets, F.col("_row_path") == F.col("_offset_path"))
+        .withColumn("ordinal", F.col("_offset") + F.col("_row_position"))
+        .drop("_row_path", "_row_position", "_offset_path", "_offset")
     )
