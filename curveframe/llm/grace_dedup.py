@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -94,7 +93,7 @@ def fold_windows(id_column: str, text_column: str, window_bytes: int, window_row
         numbered = 0
         contents, rows, held = ContentTable(), [], []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(place: int) -> Iterator[pa.RecordBatch]:
             nonlocal contents, rows, held, numbered
             window = pa.Table.from_batches(held)
             identities = window.column(id_column).to_pylist()
@@ -105,26 +104,29 @@ def fold_windows(id_column: str, text_column: str, window_bytes: int, window_row
                 if lead[at] < 0 or _rank(identities[row]) > _rank(identities[lead[at]]):
                     lead[at] = row
             shas = [hashlib.sha256(content).digest() for content in contents.contents]
-            leads = pa.array([lead[at] == row for row, at in enumerate(rows)])
             extra = {
                 "grace_rep": pa.array([base + numbered + at for at in rows], pa.int64()),
                 "grace_hash": pa.array([_signed(contents.hashes[at]) for at in rows], pa.int64()),
                 "grace_sha": pa.array([shas[at] for at in rows], pa.binary()),
                 "grace_rows": pa.array([count[at] for at in rows], pa.int64()),
                 "grace_bytes": pa.array([len(contents.contents[at]) for at in rows], pa.int64()),
-                "grace_lead": leads,
+                "grace_lead": pa.array([lead[at] == row for row, at in enumerate(rows)]),
             }
-            place = window.column_names.index(text_column)
-            kept = pc.if_else(pa.chunked_array([leads]), window.column(text_column), None)
-            window = window.set_column(place, text_column, kept)
+            kept = [contents.contents[at] if lead[at] == row else None for row, at in enumerate(rows)]
+            window = window.add_column(place, text_column, pa.array(kept, pa.binary()).cast(pa.string()))
             for name, values in extra.items():
                 window = window.append_column(name, values)
             numbered += len(contents.contents)
             contents, rows, held = ContentTable(), [], []
             yield from window.to_batches(max_chunksize=2_000)
 
-        size = 0
+        def rest(batch: pa.RecordBatch, start: int, stop: int) -> pa.RecordBatch:
+            # Copied, so that a window does not hold on to texts the table has already folded.
+            return batch.drop_columns([text_column]).take(pa.array(range(start, stop), pa.int64()))
+
+        size = place = 0
         for batch in batches:
+            place = batch.schema.names.index(text_column)
             start = 0
             for row, text in enumerate(batch.column(text_column)):
                 content = (text.as_py() or "").encode()
@@ -133,13 +135,13 @@ def fold_windows(id_column: str, text_column: str, window_bytes: int, window_row
                 rows.append(contents.entry(key, content))
                 size += len(content) if len(contents.contents) > before else 0
                 if size >= window_bytes or len(rows) >= window_rows:
-                    held.append(batch.slice(start, row + 1 - start))
+                    held.append(rest(batch, start, row + 1))
                     start, size = row + 1, 0
-                    yield from flush()
+                    yield from flush(place)
             if start < batch.num_rows:
-                held.append(batch.slice(start))
+                held.append(rest(batch, start, batch.num_rows))
         if rows:
-            yield from flush()
+            yield from flush(place)
 
     return run
 
