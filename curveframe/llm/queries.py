@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveframe.llm import grace_dedup, license_scan, secret_scan
+from curveframe.llm import decontaminate, grace_dedup, license_scan, quality, secret_scan
 from curveframe.llm.common import stage, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,73 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return grace_dedup.classes(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query(
+    """
+WITH lowered AS (
+  SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+doc_words AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+    coalesce(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS words
+  FROM lowered
+),
+item_words AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM benchmark
+),
+sized AS (SELECT item_id, words, least(13, len(words)) AS size FROM item_words WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS body
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM sized)
+),
+places AS (
+  SELECT row_no, size, i, array_to_string(words[i:i + size - 1], ' ') AS body
+  FROM (
+    SELECT row_no, words, size, unnest(range(1, len(words) - size + 2)) AS i
+    FROM doc_words, (SELECT DISTINCT size FROM sized) WHERE len(words) >= size
+  )
+),
+hits AS (SELECT row_no, i, size, item_id FROM places JOIN windows USING (size, body)),
+hit_words AS (
+  SELECT row_no, count(DISTINCT place) AS n_hit
+  FROM (SELECT row_no, unnest(range(i, i + size)) AS place FROM hits) GROUP BY row_no
+),
+hit_items AS (
+  SELECT row_no, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT row_no, item_id FROM hits) GROUP BY row_no
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (row_no) LEFT JOIN hit_items USING (row_no)"""
+)
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.annotate(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.words_hit().alias("n_hit"),
+        F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array("hit_items"), ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.score(table(spark, folder, "documents").select("doc_id", "text"))
+    return scored.select(
+        "doc_id",
+        F.round("p_quality", 6).alias("p_quality"),
+        (F.col("p_quality") < 0.5).alias("low_quality"),
+        F.round("p_civil", 6).alias("p_civil"),
+        (F.col("p_civil") < 0.5).alias("toxic"),
+        quality.kept().alias("kept"),
+    )
+
+
 def _license_sql() -> str:
     rows = license_scan.template_rows()
     quoted = [(name, "[" + ",".join("'" + pair.replace("'", "''") + "'" for pair in pairs) + "]") for name, pairs in rows]
