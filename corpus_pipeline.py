@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curveframe.llm import grace_dedup
+from curveframe.llm import decontaminate, grace_dedup, quality
 from curveframe.llm.common import stage, table
 
 ORACLE_SQL = None
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return grace_dedup.survivors(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@
 2. Expectation maximisation over the counts of vote patterns in the whole corpus
    estimates each labeller's accuracy and the share of good documents; the
    posterior of a pattern is its label. Patterns number ``3 ** labellers`` at most.
-3. A hashed linear scorer is fitted to the posterior labels of a sample of
-   ``sample_rows`` distinct texts at most (the only bounded sample; chosen by
-   hash of the text) and scores every document.
+3. A hashed linear scorer is fitted to the posterior labels of a sample and
+   scores every document. Where a table of reviewed rows is given, a reviewer is
+   one more labeller, whose vote replaces the posterior. Both samples, of texts
+   and of reviewed rows, have ``sample_rows`` rows at most and are chosen by hash;
+   they are the only bounded part.
 
 The same machinery runs for two targets: quality and freedom from abuse. A
 document is kept when both scores are at least one half.
@@ -28,10 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curveframe.llm.common import SPACE, lower_ascii, owners, pieces, text_bytes, word_hashes, word_spans
+from curveframe.llm.common import SPACE, lower_ascii, mix, owners, pieces, text_bytes, word_hashes, word_spans
 
-SAMPLE_ROWS = 4_000
-BUCKETS = 1 << 13
+SAMPLE_ROWS = 3_000
+HASHED = 1 << 18
+BUCKETS = HASHED + 64  # and three for each labeller
+SHIFT = np.uint64(64 - 18)
+LEAST_Z = 5.0
+PENALTY = 1e-6
+FULL_WORDS = 40  # texts of fewer words have shorter vectors: they show less
 PIECE_BYTES = 2 << 20
 ROUNDS = 60
 
@@ -64,8 +71,8 @@ class Features:
     variety: np.ndarray  # distinct words per word
     length: np.ndarray  # mean word length in bytes
     abuse: np.ndarray  # words of abuse
-    buckets: np.ndarray  # hashed tokens of all texts
-    firsts: np.ndarray  # n + 1 offsets of each text's tokens
+    words: tuple[np.ndarray, np.ndarray]  # owner and hash of each word, signs and case ignored
+    shapes: tuple[np.ndarray, np.ndarray]  # owner and hash of each word's shape
 
 
 def _abuse_hashes() -> np.ndarray:
@@ -115,10 +122,7 @@ def features(column: pa.Array) -> Features:
     shape = (
         np.minimum(upper, 3) * 64 + np.minimum(in_sign, 3) * 16 + np.where(SIGN[final], final, 0).astype(np.int64) * 256 + np.minimum(wide, 15)
     ).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    tokens = np.concatenate([core, shape, same.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)])
-    owner = np.concatenate([core_docs, docs, core_docs])
-    by_owner = np.argsort(owner, kind="stable")
-    buckets = (tokens[by_owner] >> np.uint64(64 - 13)).astype(np.int32)
+    echo = (same + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     return Features(
         n_words=words,
         upper=by_text(UPPER[raw]) / np.maximum(ascii_letters, 1),
@@ -129,8 +133,8 @@ def features(column: pa.Array) -> Features:
         variety=distinct / np.maximum(n_core, 1),
         length=_sums(letters, offsets[:-1], offsets[1:]) / per,
         abuse=np.bincount(core_docs, weights=abusive, minlength=len(words)) if len(core) else np.zeros(len(words)),
-        buckets=buckets,
-        firsts=np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]),
+        words=(core_docs, core),
+        shapes=(np.concatenate([docs, core_docs]), np.concatenate([shape, echo])),
     )
 
 
@@ -168,9 +172,6 @@ def abuse_votes(f: Features) -> np.ndarray:
     )
 
 
-TARGETS = (("quality", quality_votes), ("abuse", abuse_votes))
-
-
 def pattern(votes: np.ndarray) -> np.ndarray:
     return (votes.astype(np.int64) + 1) @ (3 ** np.arange(votes.shape[1], dtype=np.int64))
 
@@ -182,8 +183,8 @@ def unpattern(codes: np.ndarray, labellers: int) -> np.ndarray:
 def estimate(codes: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = ROUNDS) -> np.ndarray:
     """Posterior of good for each vote pattern, by expectation maximisation from the majority vote.
 
-    Each labeller has its own chance of voting good, bad or nothing for each class;
-    counts of one half keep chances off 0 and 1.
+    Each labeller that speaks has its own chance of voting good or bad for each
+    class; silence says nothing. Counts of one half keep chances off 0 and 1.
     """
     votes = unpattern(codes, labellers)
     balance = votes.sum(axis=1)
@@ -192,40 +193,78 @@ def estimate(codes: np.ndarray, counts: np.ndarray, labellers: int, rounds: int
         prior = (np.sum(counts * posterior) + 1) / (np.sum(counts) + 2)
         log_odds = np.full(len(codes), np.log(prior) - np.log1p(-prior))
         for labeller in range(labellers):
-            chance = np.zeros((2, 3))
-            for vote in (-1, 0, 1):
+            chance = np.ones((2, 3))
+            for vote in (-1, 1):
                 cast = votes[:, labeller] == vote
                 chance[0, vote + 1] = np.sum(counts * (1 - posterior) * cast) + 0.5
                 chance[1, vote + 1] = np.sum(counts * posterior * cast) + 0.5
-            chance /= chance.sum(axis=1, keepdims=True)
+            chance[:, [0, 2]] /= chance[:, [0, 2]].sum(axis=1, keepdims=True)
             at = votes[:, labeller] + 1
             log_odds += np.log(chance[1, at]) - np.log(chance[0, at])
         posterior = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
     return posterior
 
 
-def _weighted(f_buckets: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) pairs with dampened counts of unit length."""
-    n = len(firsts) - 1
-    key, counts = np.unique(owners(firsts) * BUCKETS + f_buckets, return_counts=True)
-    doc, bucket = key // BUCKETS, key % BUCKETS
-    value = np.sqrt(counts)
-    norm = np.sqrt(np.bincount(doc, weights=value**2, minlength=n))
-    return doc.astype(np.int32), bucket.astype(np.int32), (value / norm[doc]).astype(np.float32)
+Vector = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _with_votes(vector: Vector, votes: np.ndarray) -> Vector:
+    """Adds what each labeller voted; those buckets lie behind the hashed ones."""
+    n, labellers = votes.shape
+    doc = np.repeat(np.arange(n), labellers)
+    bucket = HASHED + 3 * np.tile(np.arange(labellers), n) + votes.ravel() + 1
+    columns = zip(vector, (doc, bucket, np.ones(n * labellers)), strict=True)
+    doc, bucket, value = (np.concatenate(column) for column in columns)
+    return doc.astype(np.int32), bucket.astype(np.int32), value.astype(np.float32)
+
+
+def quality_vector(f: Features) -> Vector:
+    """(text, bucket, value): dampened counts of word shapes, of unit length for all but short texts."""
+    n, (owner, tokens) = len(f.n_words), f.shapes
+    key, counts = np.unique(owner * HASHED + (mix(tokens) >> SHIFT).astype(np.int64), return_counts=True)
+    doc = key // HASHED
+    norm = np.sqrt(np.maximum(np.bincount(doc, weights=counts, minlength=n), 2 * FULL_WORDS))
+    return _with_votes((doc, key % HASHED, np.sqrt(counts) / norm[doc]), quality_votes(f))
+
+
+def word_vector(f: Features) -> Vector:
+    """(text, bucket, value): presence of words. One word can decide, however long the text is."""
+    owner, tokens = f.words
+    key = np.unique(owner * HASHED + (mix(tokens) >> SHIFT).astype(np.int64))
+    return _with_votes((key // HASHED, key % HASHED, np.ones(len(key))), abuse_votes(f))
+
+
+TARGETS = (("quality", quality_votes, quality_vector), ("abuse", abuse_votes, word_vector))
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Logistic regression on soft labels; both classes weigh alike. The last weight is the bias."""
+def telling(doc: np.ndarray, bucket: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Buckets whose presence differs between the classes by ``LEAST_Z`` standard errors or more."""
+    good, bad = max(target.sum(), 1e-9), max((1 - target).sum(), 1e-9)
+    in_good = np.bincount(bucket, weights=target[doc], minlength=BUCKETS)
+    in_bad = np.bincount(bucket, weights=1 - target[doc], minlength=BUCKETS)
+    share = np.clip((in_good + in_bad) / (good + bad), 1e-9, 1 - 1e-9)
+    error = np.sqrt(share * (1 - share) * (1 / good + 1 / bad))
+    return np.abs(in_good / good - in_bad / bad) >= LEAST_Z * error
+
+
+def fit(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 800) -> np.ndarray:
+    """Logistic regression on soft labels over the telling buckets. The last weight is the bias."""
     n = len(target)
-    balance = np.where(target >= 0.5, 1 / max(target.sum(), 1), 1 / max((1 - target).sum(), 1))
-    weights, grown = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-8)
+    used = telling(doc, bucket, target)[bucket]
+    doc, bucket, value = doc[used], bucket[used], value[used]
+    share = np.clip(target.mean(), 1e-3, 1 - 1e-3)
+    weights = np.zeros(BUCKETS + 1)
+    weights[-1] = np.log(share / (1 - share))
+    names, place = np.unique(bucket, return_inverse=True)
+    held, grown = np.append(np.zeros(len(names)), weights[-1]), np.full(len(names) + 1, 1e-8)
     for _ in range(rounds):
-        score = np.bincount(doc, weights=value * weights[bucket], minlength=n) + weights[-1]
-        error = (1 / (1 + np.exp(-score)) - target) * balance
-        slope = np.append(np.bincount(bucket, weights=value * error[doc], minlength=BUCKETS), error.sum())
-        slope[:-1] += 1e-5 * weights[:-1]
+        score = np.bincount(doc, weights=value * held[place], minlength=n) + held[-1]
+        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - target) / n
+        slope = np.append(np.bincount(place, weights=value * error[doc], minlength=len(names)), error.sum())
+        slope[:-1] += PENALTY * held[:-1]
         grown += slope**2
-        weights -= 0.5 * slope / np.sqrt(grown)
+        held -= slope / np.sqrt(grown)
+    weights[names], weights[-1] = held[:-1], held[-1]
     return weights
 
 
@@ -233,7 +272,7 @@ def _patterns(text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text_column, PIECE_BYTES):
             f = features(piece.column(text_column))
-            codes = [pattern(votes(f)) for _, votes in TARGETS]
+            codes = [pattern(votes(f)) for _, votes, _ in TARGETS]
             for target, code in enumerate(codes):
                 values, counts = np.unique(code, return_counts=True)
                 columns = [pa.array(np.full(len(values), target)), pa.array(values), pa.array(counts)]
@@ -246,9 +285,9 @@ def _scores(text_column: str, weights: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text_column, PIECE_BYTES):
             f = features(piece.column(text_column))
-            doc, bucket, value = _weighted(f.buckets, f.firsts)
             columns = list(piece.columns)
-            for w in weights:
+            for w, (_, _, vector) in zip(weights, TARGETS, strict=True):
+                doc, bucket, value = vector(f)
                 score = np.bincount(doc, weights=value * w[bucket], minlength=piece.num_rows) + w[-1]
                 columns.append(pa.array(1 / (1 + np.exp(-np.clip(score, -40, 40)))))
             yield pa.RecordBatch.from_arrays(columns, [*piece.schema.names, "p_quality", "p_civil"])
@@ -256,50 +295,85 @@ def _scores(text_column: str, weights: list[np.ndarray]):
     return run
 
 
-def train(docs: DataFrame, text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[np.ndarray]:
+def _hash_share(column: str, rows: int, total: int):
+    """Condition that about nine tenths of ``rows`` of ``total`` rows meet, or all if they are few."""
+    if total <= rows:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(column), F.lit(1 << 32)) < int((1 << 32) * 0.9 * rows / total)
+
+
+def _sample(docs: DataFrame, text_column: str, total: int, labels: DataFrame | None, id_column: str, rows: int) -> pa.Table:
+    """Texts with the reviewer's votes on quality and abuse, null where none has looked."""
+    # Copies share their hash, so a group of copies takes one place whatever its size.
+    sample = docs.select(text_column).where(_hash_share(text_column, rows, total)).distinct().limit(rows)
+    sample = sample.select(text_column, F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("abuse"))
+    if labels is None:
+        return sample.toArrow()
+    votes = labels.where(F.col(id_column).isNotNull()).groupBy(id_column)
+    votes = votes.agg(F.avg("quality").alias("quality"), F.avg(1 - F.col("toxic")).alias("abuse"))
+    reviewed = votes.where(_hash_share(id_column, rows, votes.count())).limit(rows)
+    # At most ``rows`` rows of three numbers: small enough to broadcast at any scale.
+    read = docs.select(id_column, text_column).join(F.broadcast(reviewed), id_column).select(sample.columns)
+    return sample.unionAll(read.distinct().limit(rows)).toArrow()
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame | None = None,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    sample_rows: int = SAMPLE_ROWS,
+) -> list[np.ndarray]:
     """Weights of the scorers for both targets."""
     counted = docs.select(text_column).mapInArrow(_patterns(text_column), "target bigint, code bigint, n bigint")
     rows = counted.groupBy("target", "code").agg(F.sum("n").alias("n")).collect()
     total = sum(row["n"] for row in rows if row["target"] == 0)
-    # Copies share their hash, so a group of copies takes one place whatever its size.
-    share = F.pmod(F.xxhash64(text_column), F.lit(1 << 32)) < int((1 << 32) * min(1.0, 0.9 * sample_rows / max(total, 1)))
-    sample = docs.select(text_column)
-    sample = (sample if total <= sample_rows else sample.where(share)).distinct().limit(sample_rows)
-    doc_parts, weights = [], []
-    f_votes: list[list[np.ndarray]] = [[] for _ in TARGETS]
+    if not total:
+        return [np.zeros(BUCKETS + 1) for _ in TARGETS]
+    sample = _sample(docs, text_column, total, labels, id_column, sample_rows)
+    parts: list[list[tuple]] = [[] for _ in TARGETS]
     base = 0
-    for piece in pieces(sample.toArrow().to_batches(), text_column, PIECE_BYTES):
+    for piece in pieces(sample.to_batches(), text_column, PIECE_BYTES):
         f = features(piece.column(text_column))
-        doc, bucket, value = _weighted(f.buckets, f.firsts)
-        doc_parts.append((doc + np.int32(base), bucket, value))
-        for held, (_, votes) in zip(f_votes, TARGETS, strict=True):
-            held.append(pattern(votes(f)))
+        for held, (name, votes, vector) in zip(parts, TARGETS, strict=True):
+            doc, bucket, value = vector(f)
+            reviewer = piece.column(name).to_numpy(zero_copy_only=False)
+            held.append((doc + np.int32(base), bucket, value, pattern(votes(f)), reviewer))
         base += piece.num_rows
-    if not doc_parts:
-        return [np.zeros(BUCKETS + 1) for _ in TARGETS]
-    doc, bucket, value = (np.concatenate(part) for part in zip(*doc_parts, strict=True))
-    for target, (_, votes) in enumerate(TARGETS):
+    weights = []
+    for target, (_, votes, _) in enumerate(TARGETS):
         codes = np.array([row["code"] for row in rows if row["target"] == target])
         counts = np.array([row["n"] for row in rows if row["target"] == target], dtype=float)
         labellers = votes(features(pa.array([""]))).shape[1]
         posterior = dict(zip(codes.tolist(), estimate(codes, counts, labellers).tolist(), strict=True))
-        labels = np.array([posterior[code] for code in np.concatenate(f_votes[target]).tolist()])
-        weights.append(fit(doc, bucket, value, labels))
+        doc, bucket, value, voted, reviewer = (np.concatenate(column) for column in zip(*parts[target], strict=True))
+        label = np.array([posterior[code] for code in voted.tolist()])
+        weights.append(fit(doc, bucket, value, np.where(np.isnan(reviewer), label, reviewer)))
     return weights
 
 
-def score(docs: DataFrame, text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Rows of ``docs`` plus p_quality and p_civil, the chances of being good text and free of abuse."""
+def score(
+    docs: DataFrame,
+    labels: DataFrame | None = None,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """Rows of ``docs`` plus p_quality and p_civil, the chances of being good text and free of abuse.
+
+    ``labels`` has the id column and the reviewers' marks quality and toxic, 0 or 1.
+    """
     if {"p_quality", "p_civil"} & set(docs.columns):
         raise ValueError("Rename the columns p_quality and p_civil of the documents first.")
     schema = T.StructType([*docs.schema.fields, T.StructField("p_quality", T.DoubleType()), T.StructField("p_civil", T.DoubleType())])
-    return docs.mapInArrow(_scores(text_column, train(docs, text_column, sample_rows)), schema)
+    weights = train(docs, labels, id_column, text_column, sample_rows)
+    return docs.mapInArrow(_scores(text_column, weights), schema)
 
 
 def kept():
     return (F.col("p_quality") >= 0.5) & (F.col("p_civil") >= 0.5)
 
 
-def good(docs: DataFrame) -> DataFrame:
+def good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    return score(docs).where(kept()).select(*docs.columns)
+    return score(docs, labels).where(kept()).select(*docs.columns)

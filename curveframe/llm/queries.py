@@ -93,7 +93,8 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    scored = quality.score(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score(docs, table(spark, folder, "labels"))
     return scored.select(
         "doc_id",
         F.round("p_quality", 6).alias("p_quality"),
