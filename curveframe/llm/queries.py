@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveframe.llm import decontaminate, grace_dedup, license_scan, quality, secret_scan
+from curveframe.llm import decontaminate, grace_dedup, license_scan, minhash_forest, quality, secret_scan
 from curveframe.llm.common import stage, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +214,48 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(joined(F.filter("found", lambda span: span["kind"].isin(base))), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
     )
+
+
+@query(
+    """
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS words
+  FROM documents
+),
+shingled AS (
+  SELECT row_no, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS found
+  FROM worded
+),
+classes AS (
+  SELECT min(doc_id) AS node, any_value(found) AS found
+  FROM shingled WHERE len(found) > 0 AND doc_id IS NOT NULL GROUP BY list_sort(found)
+),
+sizes AS (SELECT node, len(found) AS n FROM classes),
+flat AS (SELECT node, md5_number(unnest(found)) AS shingle FROM classes),
+common AS (
+  SELECT x.node AS a, y.node AS b, count(*) AS n FROM flat x JOIN flat y ON x.shingle = y.shingle AND x.node < y.node
+  GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.node = a JOIN sizes q ON q.node = b
+  WHERE 100 * common.n >= 75 * (p.n + q.n - common.n)
+),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(node, seen) AS (
+  SELECT node, node FROM sizes
+  UNION
+  SELECT both_ways.b, seen FROM reached JOIN both_ways ON both_ways.a = reached.node AND seen < both_ways.b
+),
+lowest AS (SELECT node, min(seen) AS component FROM reached GROUP BY node),
+placed AS (
+  SELECT list_sort(found) AS key, component FROM classes JOIN lowest USING (node)
+)
+SELECT doc_id, len(found) AS n_shingles, coalesce(component, doc_id) AS component_id,
+  coalesce(coalesce(component, doc_id) = doc_id, true) AS kept
+FROM shingled LEFT JOIN placed ON placed.key = list_sort(found) AND len(found) > 0"""
+)
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return minhash_forest.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
