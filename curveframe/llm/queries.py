@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveframe.llm import decontaminate, grace_dedup, license_scan, minhash_forest, quality, secret_scan
+from curveframe.llm import decontaminate, grace_dedup, license_scan, minhash_forest, packing, quality, secret_scan
 from curveframe.llm.common import stage, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +150,14 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.findings(table(spark, folder, "documents"))
 
 
+@query()
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def _spans_sql() -> str:
     kinds = []
     for rank, rule in enumerate(secret_scan.RULES):
