@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveframe.llm import decontaminate, grace_dedup, license_scan, minhash_forest, packing, quality, secret_scan
+from curveframe.llm import decontaminate, grace_dedup, license_scan, minhash_forest, packing, quality, secret_scan, transcripts
 from curveframe.llm.common import stage, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -224,6 +224,11 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return transcripts.turns(table(spark, folder, "conversations"))
+
+
 @query(
     """
 WITH RECURSIVE worded AS (
