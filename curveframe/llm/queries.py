@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveframe.llm import decontaminate, grace_dedup, license_scan, minhash_forest, packing, quality, secret_scan, transcripts
+from curveframe.llm import anchors, decontaminate, grace_dedup, license_scan, minhash_forest, packing, quality, secret_scan, transcripts
 from curveframe.llm.common import stage, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +229,33 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return transcripts.turns(table(spark, folder, "conversations"))
 
 
+@query(
+    """
+WITH worded AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+    coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words
+  FROM documents
+),
+windows AS (
+  SELECT row_no, doc_id, i, array_to_string(words[i:i + 49], ' ') AS body
+  FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM worded WHERE len(words) >= 50)
+),
+judged AS (SELECT row_no, i, coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY body) AS gone FROM windows),
+removed AS (SELECT DISTINCT row_no, unnest(range(i, i + 50)) AS place FROM judged WHERE gone),
+flat AS (SELECT row_no, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM worded),
+kept AS (
+  SELECT row_no, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS body
+  FROM flat ANTI JOIN removed USING (row_no, place) GROUP BY row_no
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM worded LEFT JOIN kept USING (row_no)"""
+)
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = anchors.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     """
 WITH RECURSIVE worded AS (
