@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -82,11 +84,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def worker_memory(name: str) -> dict:
+    """A dictionary that lives as long as the Python process, over all its tasks."""
+    return vars(sys.modules.setdefault(name, types.ModuleType(name)))
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
+    """The first ``n`` powers; the longest row asked for so far is kept."""
+    memory, key = worker_memory("curveframe_powers"), f"base_{int(base)}"
+    if key not in memory or len(memory[key]) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
+        memory[key] = np.multiply.accumulate(out, dtype=np.uint64)
+    return memory[key][:n]
+
+
+# A random-looking value for each byte.
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def prefix_hash(values: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
@@ -121,7 +135,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tupl
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    return span_hash(prefix_hash(mix(raw.astype(np.uint64) + np.uint64(1))), starts, ends)
+    return span_hash(prefix_hash(BYTE_VALUES[raw]), starts, ends)
 
 
 def window_hashes(hashes: np.ndarray, size: int, base: np.uint64 = BASE) -> np.ndarray:

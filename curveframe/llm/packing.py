@@ -14,8 +14,6 @@ repeated rows are packed each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import sys
-import types
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curveframe.llm.common import pieces, total_bytes
+from curveframe.llm.common import pieces, total_bytes, worker_memory
 
 WINDOW = 2048
 FINAL_ID = 1
@@ -42,11 +40,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def worker_memory(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, over all its tasks."""
-    return vars(sys.modules.setdefault(name, types.ModuleType(name)))
-
-
 def _byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies write for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveframe.llm import anchors, decontaminate, grace_dedup, license_scan, minhash_forest, packing, quality, secret_scan, transcripts
+from curveframe.llm import anchors, decontaminate, grace_dedup, license_scan, minhash_forest, packing, quality, secret_scan, suffix_dedup, transcripts
 from curveframe.llm.common import stage, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +229,19 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return transcripts.turns(table(spark, folder, "conversations"))
 
 
+@query()
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 @query(
     """
 WITH worded AS (
