@@ -1,15 +1,16 @@
-"""Corpus preparation as a chain of stages over the documents table."""
+"""Corpus preparation as a chain of stages over the documents table.
+
+Each stage reads what the stage before it has kept; all but the last return the
+columns of documents, the last returns the pieces of packed token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curveframe.llm import decontaminate, grace_dedup, quality
+from curveframe.llm import decontaminate, grace_dedup, minhash_forest, packing, quality
 from curveframe.llm.common import stage, table
 
-ORACLE_SQL = None
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good(docs, table(spark, sf_dir, "labels"))
 
@@ -18,16 +19,30 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return grace_dedup.survivors(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_forest.survivors(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces: doc_id, start, length, ids (unsigned little-endian 32-bit), doc_tokens, sequence_id, offset."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_dedup),
+    ("minhash_near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack),
 ]
 
+# The classifier and the tokenizer are beyond SQL.
+ORACLE_SQL = None
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each result is written before the next stage reads it."""
