@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from curveframe.llm import decontaminate, grace_dedup, minhash_forest, packing, quality
 from curveframe.llm.common import stage, table
 
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good(docs, table(spark, sf_dir, "labels"))
 
