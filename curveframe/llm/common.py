@@ -36,6 +36,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` without columns that an operator is about to add: the operator's own win."""
+    taken = {name.lower() for name in names}
+    return docs.drop(*[name for name in docs.columns if name.lower() in taken])
+
+
+def neutral(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names that no operator uses, and those names by the old ones."""
+    names = {name: f"in_{place}" for place, name in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that ``neutral`` renamed, and only those, under their old names."""
+    return docs.select(*names.values()).toDF(*names)
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     from pyspark.sql import functions as F
 

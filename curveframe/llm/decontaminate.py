@@ -31,10 +31,13 @@ from pyspark.sql import types as T
 
 from curveframe.llm.common import (
     lower_ascii,
+    neutral,
     owners,
     pieces,
+    restored,
     text_bytes,
     window_hashes,
+    without,
     word_hashes,
     word_spans,
 )
@@ -223,9 +226,11 @@ def annotate(
     shingle: int = SHINGLE,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Rows of ``docs`` plus n_words, hit_spans (word positions, end exclusive) and hit_items."""
-    if set(ADDED.fieldNames()) & set(docs.columns):
-        raise ValueError(f"Rename the columns {ADDED.fieldNames()} of the documents first.")
+    """Rows of ``docs`` plus n_words, hit_spans (word positions, end exclusive) and hit_items.
+
+    Columns of ``docs`` with one of those names are left out.
+    """
+    docs = without(docs, ADDED.fieldNames())
     schema = T.StructType([*docs.schema.fields, *ADDED.fields])
     parts = [
         docs.mapInArrow(join_block(text_column, index_block(docs, text_column, rows, window, shingle)), schema)
@@ -269,6 +274,7 @@ def contaminated() -> Column:
     return (words_hit() > 0) & (20 * words_hit() >= F.col("n_words"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
-    return annotate(docs, items).where(~contaminated()).select(*docs.columns)
+    plain, names = neutral(docs)
+    return restored(annotate(plain, items, names[text_column]).where(~contaminated()), names)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curveframe.llm.common import stage
+from curveframe.llm.common import neutral, restored, stage, without
 
 WINDOW_BYTES = 24 << 20
 WINDOW_ROWS = 50_000
@@ -44,6 +44,7 @@ EXTRA = T.StructType(
         T.StructField("grace_lead", T.BooleanType()),
     ]
 )
+ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 VERDICT = "grace_rep bigint, keep_id bigint, group_size bigint, grace_first bigint"
 
 
@@ -228,8 +229,10 @@ def classes(
 ) -> DataFrame:
     """All columns of ``docs`` plus keep_id, group_size, kept and text_sha256.
 
-    Rows that are not kept come back with a null text.
+    Rows that are not kept come back with a null text; columns of ``docs`` with
+    one of those names are left out.
     """
+    docs = without(docs, [*ADDED, *EXTRA.fieldNames()])
     schema = T.StructType(docs.schema.fields + EXTRA.fields)
     folded = stage(docs.mapInArrow(fold_windows(id_column, text_column, window_bytes, window_rows), schema), "grace")
     reps = folded.where("grace_lead")
@@ -255,4 +258,5 @@ def classes(
 
 def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; a kept null text becomes empty."""
-    return classes(docs, id_column, text_column).where("kept").select(*docs.columns)
+    plain, names = neutral(docs)
+    return restored(classes(plain, names[id_column], names[text_column]).where("kept"), names)

@@ -2,15 +2,14 @@
 
 1. Each text becomes the set of its ``shingle``-word shingles and a signature of
    ``TREES * DEPTH`` minima. Texts with equal sets are one class from here on.
-2. Each tree sorts the classes by its own ``DEPTH`` minima. Classes next to each
+2. Each tree sorts the classes by its own ``DEPTH`` minima. Classes near each
    other that share ``ROOT`` minima or more are candidates: in a sparse region all
-   of its classes meet, in a crowded one sorting puts the longest common prefixes
-   side by side, so the depth adapts to the region. The order ends with the id,
-   so that a crowd is dealt over many tasks; the ends of tasks meet too.
-3. Candidates are confirmed on full sets, in blocks of bounded size.
-4. In crowded regions that are still of several components, classes outside the
-   largest one meet all others of the region whose size and signature allow a
-   link. A region of one component has nothing left to find.
+   of its classes meet; in a crowded one sorting puts the longest common prefixes
+   side by side, so the depth adapts to the region, and all meet the region's hub.
+   The order ends with the id, so that a crowd is dealt over many tasks; the rows
+   at the ends of tasks meet too.
+3. Candidates are confirmed on full sets, in blocks of bounded size: first those of
+   sparse regions and of hubs, then neighbours in crowds that are still apart.
 
 Two sets of Jaccard similarity 0.75 miss each other in all trees with a chance
 of (1 - 0.75 ** ROOT) ** TREES, about 2e-5.
@@ -112,25 +111,38 @@ def _describe(id_column: str, text_column: str, shingle: int):
     return run
 
 
-def _pairs_near(roots: np.ndarray, nodes: np.ndarray, fresh: int) -> np.ndarray:
-    """Pairs of the last ``fresh`` rows with the ``NEAR`` rows before each that share its root."""
-    found = []
+def _pairs_near(roots: np.ndarray, nodes: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of the last ``fresh`` rows with rows before them, whether they lie in a crowd, and who does.
+
+    In a region of up to ``NEAR + 1`` rows all meet; in a crowd only neighbours in the
+    order do, which have the longest common prefixes there.
+    """
+    n = len(nodes)
+    edge = np.flatnonzero(np.append(True, roots[1:] != roots[:-1]))
+    size = np.repeat(np.diff(np.append(edge, n)), np.diff(np.append(edge, n)))
+    crowd = size > NEAR + 1
+    found, crowded = [], []
     for gap in range(1, NEAR + 1):
-        low = max(len(nodes) - fresh, gap)
-        at = np.arange(low, len(nodes))
+        at = np.arange(max(n - fresh, gap), n)
         at = at[(roots[at] == roots[at - gap]) & (nodes[at] != nodes[at - gap])]
+        if gap > 1:
+            at = at[~crowd[at]]
         found.append(np.sort(np.stack([nodes[at], nodes[at - gap]], axis=1), axis=1))
-    return np.unique(np.concatenate(found), axis=0)
+        crowded.append(crowd[at])
+    return np.concatenate(found), np.concatenate(crowded), np.flatnonzero(crowd)
+
+
+PAIR, CROWD_PAIR, BORDER, MEMBER = range(4)
+FOUND = "kind int, tree int, label binary, a bigint, b bigint"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) of a sorted task, and its first and last rows as (tree, label, a): those may have partners elsewhere."""
+    """Of a sorted task: candidates (a, b), members of crowds, and the first and last rows, whose partners may lie elsewhere."""
 
-    def border(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        none = pa.nulls(rows.num_rows, pa.int64())
+    def rows_of(kind: int, rows: pa.Table) -> pa.RecordBatch:
         columns = [rows.column(name).combine_chunks() for name in ("tree", "label", "node")]
-        return pa.RecordBatch.from_arrays([*columns, none], ["tree", "label", "a", "b"])
+        kinds = pa.array(np.full(rows.num_rows, kind, np.int32))
+        return pa.RecordBatch.from_arrays([kinds, *columns, pa.nulls(rows.num_rows, pa.int64())], ["kind", "tree", "label", "a", "b"])
 
     last: pa.Table | None = None
     for batch in batches:
@@ -138,20 +150,24 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         rows = pa.Table.from_batches([batch])
         if last is None:
-            yield border(rows.slice(0, NEAR))
-        joined = rows if last is None else pa.concat_tables([last, rows])
+            yield rows_of(BORDER, rows.slice(0, NEAR))
+        joined = (rows if last is None else pa.concat_tables([last, rows])).combine_chunks()
         labels = joined.column("label").to_pylist()
         roots = np.array([label[: 4 * ROOT] for label in labels], dtype=f"S{4 * ROOT}").view(f"V{4 * ROOT}")
         trees = joined.column("tree").to_numpy().astype(">i4").view("V4")
         key = np.rec.fromarrays([trees, roots]).view(f"V{4 * ROOT + 4}")
-        pairs = _pairs_near(key, joined.column("node").to_numpy(), rows.num_rows)
+        pairs, crowded, members = _pairs_near(key, joined.column("node").to_numpy(), rows.num_rows)
         if len(pairs):
             nothing = [pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary())]
-            columns = [*nothing, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, ["tree", "label", "a", "b"])
+            kinds = pa.array(np.where(crowded, CROWD_PAIR, PAIR).astype(np.int32))
+            columns = [kinds, *nothing, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "tree", "label", "a", "b"])
+        # Rows held over from the batch before count as members when they only now turn out to be in a crowd.
+        if len(members):
+            yield rows_of(MEMBER, joined.take(pa.array(members)))
         last = joined.slice(max(0, joined.num_rows - NEAR))
     if last is not None:
-        yield border(last)
+        yield rows_of(BORDER, last)
 
 
 def _trees(classes: DataFrame) -> DataFrame:
@@ -162,21 +178,44 @@ def _trees(classes: DataFrame) -> DataFrame:
     return classes.select("node", F.explode(labels).alias("at")).select("at.tree", "at.label", "node")
 
 
-def candidates(classes: DataFrame, tasks: int) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of ``classes`` (node, signature)."""
+def forest(classes: DataFrame, tasks: int) -> DataFrame:
+    """What the sorted orders of ``classes`` (node, signature) show: rows of the kinds above."""
     ordered = _trees(classes).repartitionByRange(tasks, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    found = stage(ordered.mapInArrow(_neighbours, "tree int, label binary, a bigint, b bigint"), "forest")
-    # A few rows per task: the only rows that one task sees together, to join the ends of tasks.
+    return stage(ordered.mapInArrow(_neighbours, FOUND), "forest")
+
+
+def _crossing(found: DataFrame) -> DataFrame:
+    """Candidates across the ends of tasks. A few rows per task are the only ones that one task sees together."""
     ends = Window.orderBy("tree", "label", "a")
-    near = [F.struct(F.lag("a", gap).over(ends).alias("node"), F.lag("tree", gap).over(ends).alias("tree"), F.lag("label", gap).over(ends).alias("label")) for gap in range(1, NEAR + 1)]
-    border = found.where("b IS NULL").select("tree", "label", "a").distinct().select("*", F.array(*near).alias("near"))
-    crossing = border.select("tree", "label", "a", F.explode("near").alias("other")).where(
+    near = [
+        F.struct(*[F.lag(name, gap).over(ends).alias(name) for name in ("a", "tree", "label")]) for gap in range(1, NEAR + 1)
+    ]
+    border = found.where(F.col("kind") == BORDER).select("tree", "label", "a").distinct()
+    border = border.select("*", F.array(*near).alias("near"))
+    met = border.select("tree", "label", "a", F.explode("near").alias("other")).where(
         (F.col("other.tree") == F.col("tree"))
         & (F.substring("other.label", 1, 4 * ROOT) == F.substring("label", 1, 4 * ROOT))
-        & (F.col("other.node") != F.col("a"))
+        & (F.col("other.a") != F.col("a"))
     )
-    crossing = crossing.select(F.least("a", "other.node").alias("a"), F.greatest("a", "other.node").alias("b"))
-    return found.where("b IS NOT NULL").select("a", "b").unionAll(crossing).distinct()
+    return met.select(F.least("a", "other.a").alias("a"), F.greatest("a", "other.a").alias("b"))
+
+
+def _hubs(found: DataFrame) -> DataFrame:
+    """Pairs of each member of a crowd with the crowd's hub.
+
+    Copies of one text may be alike only by way of it. It has the commonest label of
+    its region in nearly every tree, where a copy has it in some: the member that
+    has the commonest label in most trees is the hub.
+    """
+    crowd = found.where(F.col("kind") == MEMBER).select("tree", F.substring("label", 1, 4 * ROOT).alias("root"), "label", F.col("a").alias("node")).distinct()
+    labels = crowd.groupBy("tree", "root", "label").agg(F.count("*").alias("n"))
+    common = labels.groupBy("tree", "root").agg(F.max(F.struct("n", "label")).alias("top")).select("tree", F.col("top.label").alias("label"))
+    scores = crowd.join(common, ["tree", "label"]).groupBy("node").agg(F.count("*").alias("score"))
+    scored = crowd.join(scores, "node", "left").select("tree", "root", "node", F.coalesce("score", F.lit(0)).alias("score"))
+    hubs = scored.groupBy("tree", "root").agg(F.max(F.struct("score", (-F.col("node")).alias("low"))).alias("top"))
+    hubs = hubs.select("tree", "root", (-F.col("top.low")).alias("hub"))
+    pairs = crowd.join(hubs, ["tree", "root"]).where("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
 def _confirm(shingle: int, similarity: int):
@@ -220,7 +259,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -
         "a",
         "b",
         F.pmod(
-            F.xxhash64("low", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(0)) + 1)), F.lit(blocks)
+            F.xxhash64("low", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(0)) + 1)), F.lit(blocks)
         ).alias("block"),
     )
     spread = stage(spread, "blocks")
@@ -229,33 +268,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -
     return held.groupBy("place").cogroup(spread.groupBy("block")).applyInArrow(_confirm(shingle, similarity), "a bigint, b bigint")
 
 
-def _residual(classes: DataFrame, found: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of crowded regions of several components that no link joins yet."""
-    rooted = _trees(classes).select("tree", F.substring("label", 1, 4 * ROOT).alias("root"), "node")
-    crowded = rooted.groupBy("tree", "root").agg(F.count("*").alias("n")).where(F.col("n") > NEAR + 1)
-    members = rooted.join(crowded.drop("n"), ["tree", "root"]).join(found, "node", "left")
-    members = members.withColumn("component", F.coalesce("component", "node"))
-    members = stage(members, "crowds")
-    sizes = members.groupBy("tree", "root", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("tree", "root").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
-    most = most.where("parts > 1").select("tree", "root", F.col("top.component").alias("top"))
-    split = members.join(most, ["tree", "root"])
-    few = split.where("component <> top").select("tree", "root", F.col("node").alias("a"), F.col("component").alias("of_a"))
-    rest = split.select("tree", "root", F.col("node").alias("b"), F.col("component").alias("of_b"))
-    pairs = few.join(rest, ["tree", "root"]).where("of_a <> of_b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = classes.select("node", "n_shingles", "signature")
-    pairs = pairs.join(side.toDF("a", "n_a", "sig_a"), "a").join(side.toDF("b", "n_b", "sig_b"), "b")
-    sized = 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    # Of 120 minima a pair at the threshold shares 90; fewer than 60 are over six deviations below.
-    agreed = F.aggregate(
-        F.sequence(F.lit(0), F.lit(TREES * DEPTH - 1)),
-        F.lit(0),
-        lambda n, i: n + (F.substring("sig_a", 4 * i + 1, F.lit(4)) == F.substring("sig_b", 4 * i + 1, F.lit(4))).cast("int"),
-    )
-    return pairs.where(sized).where(agreed >= TREES * DEPTH * (similarity - 25) // 100).select("a", "b")
-
-
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -276,10 +288,16 @@ def near_duplicates(
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, classes.count() // 10_000)
     # Of rows that share an id, the text whose set is the class's own is compared.
     texts = docs.select(F.col(id_column).cast("bigint").alias("node"), F.col(text_column).alias("text")).where(F.col(id_column).isNotNull())
-    links = stage(confirm(candidates(classes, tasks), texts, shingle, similarity), "links")
-    found = stage(components(links), "components")
-    more = confirm(_residual(classes, found, similarity), texts, shingle, similarity)
-    links = stage(links.unionAll(more), "links")
+    found = forest(classes, tasks)
+    first = found.where(F.col("kind") == PAIR).select("a", "b").unionAll(_crossing(found)).unionAll(_hubs(found)).distinct()
+    links = stage(confirm(first, texts, shingle, similarity), "links")
+    joined = stage(components(links), "components")
+    # Neighbours in crowds that are joined by now need no comparison.
+    crowd = found.where(F.col("kind") == CROWD_PAIR).select("a", "b").distinct()
+    for side in ("a", "b"):
+        crowd = crowd.join(joined.toDF(side, f"of_{side}"), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    apart = crowd.where("of_a <> of_b").select("a", "b")
+    links = stage(links.unionAll(confirm(apart, texts, shingle, similarity)), "links")
     found = components(links)
     placed = classes.join(found, "node", "left").select("key_a", "key_b", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

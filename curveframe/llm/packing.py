@@ -61,7 +61,9 @@ class WordEncoder:
         self.model = self.whole.model
         # Fixed value: the word pattern of the vocabulary file.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.odd = regex.compile(r"[\x1c-\x1fΣİ]|<\|")
+        # Beyond Latin letters, libraries may differ in what they take for a letter or its lower case.
+        self.latin = regex.compile("[\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f]*")
+        self.special = "<|"
         self.letters = _byte_letters()
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -75,17 +77,27 @@ class WordEncoder:
                 self.pieces[word] = known
         return known
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids as unsigned little-endian 32-bit numbers, without special tokens."""
-        if self.odd.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        chunks = text.lower().split()
+        if self.special in text or any(sign in text for sign in "\x1c\x1d\x1e\x1f"):
+            return self._whole(text)
+        if text.isascii():
+            chunks = text.lower().split()
+        elif self.latin.fullmatch(text):
+            chunks = unicodedata.normalize("NFC", text).lower().split()
+        else:
+            chunks = text.split()
         known = self.chunks
         fresh: dict[str, bytes] = {}
         for chunk in set(chunks).difference(known):
-            ids = b"".join([self._word(word) for word in self.words.findall(chunk)])
+            if self.latin.fullmatch(chunk):
+                plain = unicodedata.normalize("NFC", chunk).lower()
+                ids = b"".join([self._word(word) for word in self.words.findall(plain)])
+            else:
+                ids = self._whole(chunk)
             (known if len(known) < CACHED and len(chunk) < 60 else fresh)[chunk] = ids
         if not fresh:
             return b"".join(map(known.__getitem__, chunks))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curveframe.llm.common import SPACE, lower_ascii, mix, owners, pieces, text_bytes, word_hashes, word_spans
+from curveframe.llm.common import SPACE, lower_ascii, mix, neutral, owners, pieces, restored, text_bytes, without, word_hashes, word_spans
 
 SAMPLE_ROWS = 3_000
 HASHED = 1 << 18
@@ -362,9 +362,9 @@ def score(
     """Rows of ``docs`` plus p_quality and p_civil, the chances of being good text and free of abuse.
 
     ``labels`` has the id column and the reviewers' marks quality and toxic, 0 or 1.
+    Columns of ``docs`` with the new names are left out.
     """
-    if {"p_quality", "p_civil"} & set(docs.columns):
-        raise ValueError("Rename the columns p_quality and p_civil of the documents first.")
+    docs = without(docs, ["p_quality", "p_civil"])
     schema = T.StructType([*docs.schema.fields, T.StructField("p_quality", T.DoubleType()), T.StructField("p_civil", T.DoubleType())])
     weights = train(docs, labels, id_column, text_column, sample_rows)
     return docs.mapInArrow(_scores(text_column, weights), schema)
@@ -374,6 +374,8 @@ def kept():
     return (F.col("p_quality") >= 0.5) & (F.col("p_civil") >= 0.5)
 
 
-def good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def good(docs: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    return score(docs, labels).where(kept()).select(*docs.columns)
+    plain, names = neutral(docs)
+    marks = None if labels is None else labels.select(F.col(id_column).alias(names[id_column]), "quality", "toxic")
+    return restored(score(plain, marks, names[id_column], names[text_column]).where(kept()), names)

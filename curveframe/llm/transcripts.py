@@ -61,7 +61,7 @@ def lines_of(rows: DataFrame, conversation: str, turn: str, text: str) -> DataFr
     size = F.length("line")
     width = F.when(size == 0, 0).when(size < 24, 1).when(size < 60, 2).when(size < 120, 3).when(size < 240, 4).otherwise(5)
     block = F.length("body")
-    weight = F.when(block < 80, 0).when(block < 200, 1).when(block < 400, 2).when(block < 800, 3).otherwise(4)
+    weight = F.when(F.col("line_no") > 0, 5).when(block < 80, 0).when(block < 200, 1).when(block < 400, 2).when(block < 800, 3).otherwise(4)
     return lines.select(
         "*",
         (F.col("line_no") == 0).cast("int").alias("opens"),
@@ -74,7 +74,7 @@ def lines_of(rows: DataFrame, conversation: str, turn: str, text: str) -> DataFr
     )
 
 
-FEATURES = {"marker": 4, "asks": 2, "width": 6, "place": 3, "depth": 4, "weight": 5}
+FEATURES = {"marker": 4, "asks": 2, "width": 6, "place": 3, "depth": 4, "weight": 6}
 CODE = "marker + 4 * (asks + 2 * (width + 6 * (place + 3 * (depth + 4 * weight))))"
 CODES = int(np.prod(list(FEATURES.values())))
 
@@ -110,10 +110,15 @@ def train(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", ro
         seen["marker"][number + 1, 2 * number] += 0.2 * seen["marker"][:, 2 * number].sum()
     emit = np.zeros((CODES, STATES))
     for name, values in decode(np.arange(CODES)).items():
-        chances = seen[name] / seen[name].sum(axis=0, keepdims=True)
+        # A value that a state has never shown is as unlikely for rare states as for common ones.
+        chances = 0.98 * seen[name] / seen[name].sum(axis=0, keepdims=True) + 0.02 / len(seen[name])
+        if name == "marker":
+            chances[1:, 1::2] = 1e-4  # a line with a speaker's name seldom goes on
         if name in ("place", "depth"):
             # A turn may start anywhere once a marker opens it, so these tell roles apart on first lines only.
             chances[0 if name == "place" else slice(1, None)] = 1.0
+        if name == "weight":
+            chances[5] = 1.0  # the size of a block speaks once, on its first line
         emit += np.log(chances)[values]
     after = known.select(F.col(conversation).alias("conv"), (F.col(turn).cast("bigint") + 1).alias("turn"), F.col("role").alias("before"))
     pairs = known.select(F.col(conversation).alias("conv"), F.col(turn).cast("bigint").alias("turn"), "role").join(after, ["conv", "turn"], "left")
