@@ -113,7 +113,7 @@ def train(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", ro
         # A value that a state has never shown is as unlikely for rare states as for common ones.
         chances = 0.98 * seen[name] / seen[name].sum(axis=0, keepdims=True) + 0.02 / len(seen[name])
         if name == "marker":
-            chances[1:, 1::2] = 1e-4  # a line with a speaker's name seldom goes on
+            chances[1:, 1::2] = 1e-8  # a line with a speaker's name seldom goes on
         if name in ("place", "depth"):
             # A turn may start anywhere once a marker opens it, so these tell roles apart on first lines only.
             chances[0 if name == "place" else slice(1, None)] = 1.0
