@@ -30,7 +30,7 @@ FINAL_ID = 1
 SHARD_BYTES = 6 << 20  # of text in a shard, on average
 QUERY_TERMS = 24  # the seed's heaviest terms that are looked up
 K1, B = 1.2, 0.75
-CACHED = 500_000
+CACHED = 350_000
 PIECE_BYTES = 4 << 20
 
 
