@@ -13,8 +13,14 @@ def column(value: str | Column) -> Column:
 
 
 def try_cast(value: str | Column, kind: str) -> Column:
-    """Cast that gives null instead of an error."""
-    return column(value).try_cast(kind)
+    """Cast that gives null instead of an error.
+
+    The JVM's own notations (``1.5d``, ``7f``, hexadecimal) are no numbers in curve files.
+    """
+    cast = column(value).try_cast(kind)
+    if kind != "double":
+        return cast
+    return F.when(~column(value).cast("string").rlike(r"[0-9.][dDfF]\s*$|[xX]"), cast)
 
 
 def is_finite(value: str | Column) -> Column:

@@ -1,12 +1,12 @@
 """Exact weighted median per group.
 
-``percentile`` keeps every distinct value of a group in one task, which is fine
-up to ``PLAIN_VALUES`` of them. Beyond, a value histogram first finds the slice of
-the value range that holds the middle ranks, a second histogram splits that
-slice, and only the values of the final slice are ranked. The first histogram has
+``percentile`` would keep every distinct value of a group in one task. Here a value
+histogram first finds the slice of the value range that holds the middle ranks, a
+second histogram splits that slice, and only the values of the final slice are
+ranked. The first histogram has
 ``OCTAVE_STEPS`` buckets per power of two and the second ``SLICE_STEPS`` per bucket,
 which leaves at most about a million distinct doubles in a final slice, however
-large the group. Both ways give the same result.
+large the group.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 OCTAVE_STEPS = 4096
 SLICE_STEPS = 1 << 20
-PLAIN_VALUES = 1 << 20
 
 
 def _ranked(histogram: DataFrame, keys: list[str], order: list[str], start: Column) -> DataFrame:
@@ -42,21 +41,10 @@ def weighted_median(
 ) -> DataFrame:
     """Median of positive finite ``value`` counted ``weight`` times, per ``keys``.
 
-    The mean of the two middle values for an even total. ``df`` is read several
-    times (once here, to size the largest group) and should be materialised.
+    The mean of the two middle values for an even total. ``df`` is read three times
+    and should be materialised.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).count().agg(F.max("count").alias("largest"))
-    if (sizes.first().largest or 0) <= PLAIN_VALUES:
-        return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5), F.col(weight)).alias(alias))
-    return narrowed_median(df, keys, value, weight, alias)
-
-
-def narrowed_median(
-    df: DataFrame, keys: Sequence[str], value: str, weight: str, alias: str
-) -> DataFrame:
-    """``weighted_median`` for groups of any size."""
-    keys = list(keys)
     values = df.select(
         *keys,
         F.col(value).alias("value"),

@@ -21,7 +21,7 @@ _MILLI = "round(embedding[i] * 1000)::INT"
 _VALUES = f"""
 vals AS (
   SELECT vec_id, 'vec-' || vec_id AS document_id, i, {_MILLI} AS milli, len(embedding) AS n
-  FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding))"""
+  FROM embeddings, range(1, (SELECT max(len(embedding)) FROM embeddings) + 1) r(i) WHERE i <= len(embedding))"""
 
 
 def _milli(element: Column) -> Column:
@@ -213,7 +213,14 @@ def log_documents(spark: SparkSession, folder: str) -> DataFrame:
 
     def line(element: Column, place: Column) -> Column:
         index = F.when(
-            timed, F.concat(F.lit("2024-01-01T00:"), F.lpad(place.cast("string"), 2, "0"), F.lit(":00Z"))
+            timed,
+            F.concat(
+                F.lit("2024-01-01T"),
+                F.lpad(F.floor(place / 60).cast("string"), 2, "0"),
+                F.lit(":"),
+                F.lpad((place % 60).cast("string"), 2, "0"),
+                F.lit(":00Z"),
+            ),
         ).otherwise(place.cast("string"))
         tail = F.when(place % 8 == 7, F.lit("")).otherwise(
             F.concat(F.lit(","), F.when(place % 5 == 4, F.lit("-999.250")).otherwise((place * 3).cast("string")))
@@ -230,7 +237,7 @@ def log_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("<w:curveDescription>gamma</w:curveDescription></w:logCurveInfo>"),
         F.lit("<w:logCurveInfo><w:mnemonic>CALI</w:mnemonic><w:nullValue>-999.25</w:nullValue></w:logCurveInfo>"),
         F.lit("<w:logData><w:mnemonicList>IDX, GR,CALI</w:mnemonicList><w:unitList>x,,in</w:unitList>"),
-        F.array_join(F.transform(F.slice("milli", 1, 60), line), ""),
+        F.array_join(F.transform("milli", line), ""),
         F.lit("</w:logData></w:log></w:logs>"),
     )
     return _xml_documents(vectors, content)
@@ -241,7 +248,7 @@ _LOG_LONG = "WITH " + _VALUES + """, long AS (
     CASE WHEN vec_id % 2 = 1 THEN 1704067200.0::DOUBLE + (i - 1) * 60 ELSE (i - 1)::DOUBLE END AS "index",
     p AS p, CASE p WHEN 1 THEN milli::DOUBLE ELSE
       CASE WHEN (i - 1) % 8 = 7 OR (i - 1) % 5 = 4 THEN NULL ELSE ((i - 1) * 3)::DOUBLE END END AS value
-  FROM vals, range(1, 3) r(p) WHERE i <= 60),
+  FROM vals, range(1, 3) r(p)),
 named AS (SELECT *, 'curve-' || dataset_id || CASE p WHEN 1 THEN '-1-gr' ELSE '-2-cali' END AS channel_id FROM long)"""
 
 
@@ -413,17 +420,14 @@ def witsml_relationships(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """SELECT 'cust-' || c_custkey AS document_id, 'wells' AS root_name,
   'http://www.witsml.org/schemas/1series' AS namespace, '1.4.1.1' AS version, NULL::VARCHAR AS problem FROM customer
-UNION ALL SELECT 'page-' || page_id, 'html', '', '1.4.1.1', 'page-' || page_id || '.xml is not a recognized WITSML '
-  || 'XML document.' FROM pages"""
+UNION ALL SELECT 'page-' || page_id, 'html', '', '1.4.1.1', 'Could not parse page-' || page_id || '.xml' FROM pages"""
 )
 def witsml_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Version and namespace of object documents, and foreign documents as warnings."""
     pages = t.table(spark, folder, "pages").withColumn(
         "document_id", F.concat(F.lit("page-"), F.col("page_id").cast("string"))
     )
-    foreign = _xml_documents(
-        pages, F.concat(F.lit("<html><title>"), F.regexp_replace("url", "[<&]", ""), F.lit("</title></html>"))
-    )
+    foreign = _xml_documents(pages, F.col("html"))
     both = object_documents(spark, folder).unionByName(foreign)
     return witsml.read_documents(both).select(
         "document_id", "root_name", "namespace", "version", "problem"

@@ -75,7 +75,6 @@ STORAGE_KINDS = ("parquet", "zarr", "metadata_only")
 TIME_REFERENCES = ("none", "elapsed", "absolute_utc")
 TIME_DISPLAY_MODES = ("elapsed", "clock")
 TIME_ZONES = ("utc", "local")
-MAX_LAS_BYTES = 64 * 1024 * 1024
 MAX_DETAIL_BYTES = 256 * 1024
 DEFAULT_PREVIEW_POINTS = 800
 DEFAULT_PAGE_CURVES = 16

@@ -1,6 +1,6 @@
 """LAS text files to the canonical tables.
 
-A file is one row, capped at 64 MiB, and is taken apart inside that row: no
+A file is one row and is taken apart inside that row: no
 shuffle is needed until index candidates are scored.
 """
 
@@ -35,7 +35,7 @@ from curveframe.operators.stats import (
     preview_samples,
     text_statistics,
 )
-from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, DEFAULT_PREVIEW_POINTS, MAX_LAS_BYTES
+from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, DEFAULT_PREVIEW_POINTS
 from curveframe.session import cut_lineage
 
 # Messages of files that cannot be used.
@@ -44,14 +44,18 @@ NO_CURVES = "The LAS file does not define any curves."
 NO_TABLE = "The LAS file does not contain a readable data table."
 NO_INDEX = "The LAS file does not contain a credible numeric or DATE/TIME index."
 NO_OTHER_CURVES = "The LAS file does not contain any curves besides the depth index."
-TOO_LARGE = "This LAS file is larger than 64 MB."
+NO_DESCRIPTION = "Imported LAS curve"
 CHOOSE_INDEX = "This LAS file has multiple credible index curves. Select the index to use."
 UNKNOWN_CHOICE = "The selected LAS index candidate is no longer available. Reopen the file."
 
 # Length that stands for "to the end" in a slice.
 ALL = 1 << 30
 
-HEADER_LINE = r"^\s*([^.:]*?)\s*\.(\S*)\s*(.*?)\s*:\s*(.*?)\s*$"
+# A colon inside a clock time or an address does not part value and description; of the others the last does.
+PARTING = r":(?!//)(?!(?<=\d:)\d\d)"
+HEADER_LINE = rf"^\s*([^.:]*?)\s*\.(\S*)\s*(.*?)\s*(?:{PARTING}\s*((?:(?!{PARTING}).)*?))?\s*$"
+# The only well items whose value comes before the colon in version 1.2 files.
+VALUE_FIRST = ("STRT", "STOP", "STEP", "NULL")
 
 
 @dataclass(frozen=True)
@@ -94,6 +98,24 @@ def _header_items(letter: str) -> Column:
     return F.transform(_content_lines(letter), item)
 
 
+def _well_items() -> Column:
+    """Well items; versions before 2 write description and value of most of them the other way round."""
+    old = _header_value("version_items", "VERS", F.lit("2.0")).try_cast("double") < 2
+
+    def turned(item: Column) -> Column:
+        return F.struct(
+            item["mnemonic"].alias("mnemonic"),
+            item["unit"].alias("unit"),
+            item["description"].alias("value"),
+            item["value"].alias("description"),
+        )
+
+    return F.transform(
+        _header_items("W"),
+        lambda item: F.when(old & ~F.upper(item["mnemonic"]).isin(*VALUE_FIRST), turned(item)).otherwise(item),
+    )
+
+
 def _header_value(items: str, mnemonic: str, fallback: Column) -> Column:
     found = F.filter(items, lambda item: F.upper(item["mnemonic"]) == mnemonic)
     return first_text(F.get(found, F.lit(0))["value"], fallback)
@@ -124,12 +146,12 @@ def parse_las(raw: DataFrame) -> DataFrame:
     parsing and repeat it.
     """
     sections = F.split("content", r"(?m)^[ \t]*~", -1)
-    readable = (suffix("file_name") == ".las") & (F.col("file_size_bytes") <= MAX_LAS_BYTES)
+    readable = suffix("file_name") == ".las"
     return (
         raw.withColumn("content", F.when(readable, F.col("content")).otherwise(""))
         .withColumn("sections", F.slice(sections, F.lit(2), F.lit(ALL)))
         .withColumn("version_items", _header_items("V"))
-        .withColumn("well_items", _header_items("W"))
+        .withColumn("well_items", _well_items())
         .withColumn("curve_items", _header_items("C"))
         .withColumn("parameter_items", _header_items("P"))
         .withColumn("other", F.array_join(_section_lines("O"), "\n"))
@@ -150,7 +172,6 @@ def _problem() -> Column:
     ragged = (F.size("tokens") == 0) | (F.size("tokens") % F.greatest("curve_count", F.lit(1)) != 0)
     return (
         F.when(suffix("file_name") != ".las", NOT_LAS)
-        .when(F.col("file_size_bytes") > MAX_LAS_BYTES, TOO_LARGE)
         .when(F.col("curve_count") == 0, NO_CURVES)
         .when(ragged, NO_TABLE)
     )
@@ -210,7 +231,7 @@ def las_curves(parsed: DataFrame, cells: DataFrame) -> DataFrame:
             non_empty("item.mnemonic"), F.concat(F.lit("CURVE_"), F.col("position").cast("string"))
         ).alias("mnemonic"),
         F.trim("item.unit").alias("unit"),
-        F.coalesce(non_empty("item.description"), F.lit("")).alias("description"),
+        F.coalesce(non_empty("item.description"), F.lit(NO_DESCRIPTION)).alias("description"),
         "row_count",
         "is_numeric",
     )
@@ -313,7 +334,7 @@ def ingest_las(
         F.col("position").cast("int").alias("position"),
         "mnemonic",
         "unit",
-        squish("description").alias("description"),
+        "description",
         "minimum",
         "maximum",
         "sample_count",

@@ -274,7 +274,9 @@ def _set_logs(documents: DataFrame) -> DataFrame:
             _dataset_id(
                 "dataset-witsml2-log", F.col("object_index") + 1, F.col("set_index") + 1
             ).alias("dataset_id"),
-            (F.col("object_index") * 1000 + F.col("set_index")).cast("int").alias("position"),
+            (
+                F.row_number().over(Window.partitionBy("document_id").orderBy("object_index", "set_index")) - 1
+            ).alias("position"),
             "set_index",
             "item",
             "channel_set",
@@ -474,12 +476,24 @@ def _no_arrays(samples: DataFrame) -> DataFrame:
 
 
 def nested_shape(raw: Column) -> Column:
-    """Dimensions of a JSON list, up to three levels deep."""
-    one = F.from_json(raw, "array<string>")
-    two = F.from_json(F.get(one, F.lit(0)), "array<string>")
-    three = F.from_json(F.get(two, F.lit(0)), "array<string>")
-    return F.array_compact(
-        F.array(*[F.when(level.isNotNull(), F.size(level)) for level in (one, two, three)])
+    """Dimensions of a JSON list of any depth, those of the first list at each level.
+
+    The first list of a level ends at the first run of as many closing brackets as
+    there are levels from it down; one bracket less and a comma part its elements.
+    """
+    tight = F.regexp_replace(raw, r"\s", "")
+    depth = F.length(F.regexp_extract(tight, r"^\[*", 0))
+
+    def dimension(level: Column) -> Column:
+        rest = F.substring(tight, level + 2, F.length(tight))
+        inner = F.substring(rest, F.lit(1), F.instr(rest, F.repeat(F.lit("]"), depth - level)) - 1)
+        part = F.concat(F.repeat(F.lit("]"), depth - level - 1), F.lit(","))
+        parts = (F.length(inner) - F.length(F.replace(inner, part, F.lit("")))) / F.length(part)
+        return F.when(inner == "", 0).otherwise(parts + 1).cast("int")
+
+    levels = F.when(depth > 0, F.sequence(F.lit(0), depth - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.from_json(raw, "array<string>").isNotNull(), F.transform(levels, dimension)).otherwise(
+        F.array().cast("array<int>")
     )
 
 
