@@ -25,7 +25,7 @@ VERS. 1.2 : old layout
 ~Well
 STRT.S 1 : first
 NULL. -9 : sentinel
-WELL. WELL : Bravo: 7
+WELL. WELL : Bravo 7
 SRVC. COMPANY : http://logs.example/a
 DATE. LOG DATE : 12:30:45
 ~Curve
@@ -72,7 +72,7 @@ def test_date_and_time_pair(raw):
     tables = las.ingest_las(raw(("d", "d.las", DATE_TIME)))
     dataset = tables.datasets.first()
     assert (dataset.index_kind, dataset.index_mnemonic, dataset.index_unit) == ("time", "TIME", "s")
-    assert dataset.well_name == "Bravo: 7" and dataset.row_count == 5
+    assert dataset.well_name == "Bravo 7" and dataset.row_count == 5
     index = [r["index"] for r in tables.axis.orderBy("ordinal").collect()]
     midnight = 1709251200.0
     assert index == [midnight - 63900, midnight - 63870, midnight - 1, midnight + 29, midnight + 43200]
@@ -260,26 +260,26 @@ def test_files_catalog_and_csv(spark, tmp_path):
     tree = catalog.document_trees(
         stored["datasets"], stored["channels"], stored["preview_samples"], stored["view_settings"], [document]
     ).first()
-    assert [c.mnemonic for c in tree.curves] == ["DEPT", "GR"] and len(tree.curves[1].preview_samples) == 3
-    assert tree.time_display_mode == "clock" and tree.scalar_curve_count == 2
+    assert [c.mnemonic for c in tree.curves] == ["BIT", "RPM", "NOTE"] and len(tree.curves[1].preview_samples) == 5
+    assert tree.time_display_mode == "clock" and tree.scalar_curve_count == 3
 
     samples_path = str(tmp_path / "samples")
     sinks.write_samples(tables.samples, samples_path, partitions=2)
     samples = sinks.read_samples(spark, samples_path)
     curves = [r.channel_id for r in stored["channels"].orderBy("position").collect()]
-    assert sinks.scan_channels(samples, document, dataset, curves[:1]).count() == 3
-    page = pages.sample_page(samples, tables.axis, curves[::-1], 1, 2)
-    assert page.columns[2:] == ["__index", "curve-3-gr", "curve-2-dept"]
-    assert page.collect()[0]["curve-3-gr"] == 52.0
+    assert sinks.scan_channels(samples, document, dataset, curves[:1]).count() == 5
+    page = pages.sample_page(samples, tables.axis, curves[1::-1], 2, 2)
+    assert page.columns[2:] == ["__index", "curve-2-rpm", "curve-0-bit"]
+    assert page.collect()[0]["curve-2-rpm"] == 64.0
 
     destination = tmp_path / "csv"
     header = pages.export_csv(
         tables.axis, samples, stored["channels"], document, dataset, "TIME", str(destination)
     )
-    assert header == ["TIME", "DEPT", "GR"]
+    assert header == ["TIME", "BIT", "RPM", "NOTE"]
     text = "".join(part.read_bytes().decode() for part in sorted(Path(destination).glob("part-*")))
     lines = text.split("\r\n")
-    assert lines[0] == "TIME,DEPT,GR" and len(lines) == 5 and lines[2].split(",")[1] == ""
+    assert lines[0] == "TIME,BIT,RPM,NOTE" and len(lines) == 7 and lines[2].split(",")[2] == ""
 
     files = registry.read_package_files(spark, samples_path, "doc")
     manifest = assets.build_manifest(files)
