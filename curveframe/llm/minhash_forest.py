@@ -264,7 +264,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -
     )
     spread = stage(spread, "blocks")
     wanted = spread.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = wanted.join(texts, "node").select(F.col("block").alias("place"), "node", "text")
+    # Merged at every size: the texts that are wanted grow with the corpus.
+    held = wanted.hint("merge").join(texts, "node").select(F.col("block").alias("place"), "node", "text")
     return held.groupBy("place").cogroup(spread.groupBy("block")).applyInArrow(_confirm(shingle, similarity), "a bigint, b bigint")
 
 
