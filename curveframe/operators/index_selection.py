@@ -131,6 +131,7 @@ def index_candidates(
         "monotonic_ratio",
         "finite_count",
         (F.col("row_count") - F.col("finite_count")).alias("invalid_count"),
+        # Reasons.
         F.when(is_pair, "Paired DATE and TIME columns form a monotonic timestamp index.")
         .when(
             is_index_mnemonic("mnemonic"),
@@ -187,6 +188,7 @@ def candidate_warnings(choice: DataFrame) -> DataFrame:
     """Warnings that follow from a choice, one row each."""
     chosen = choice.where(F.col("status") == "OK")
     is_pair = F.col("date_position").isNotNull()
+    # Warnings.
     notes = F.array_compact(
         F.array(
             F.when(is_pair, ZONE_WARNING),

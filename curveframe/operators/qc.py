@@ -21,6 +21,7 @@ from curveframe.functions.numeric import (
     rounded_ratio,
     within,
 )
+from curveframe.functions.text import strip
 from curveframe.operators.chunks import CHUNK_ROWS, lag_by_chunk
 from curveframe.operators.median import weighted_median
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, RULE_VERSION
@@ -171,6 +172,7 @@ def index_issues(profile: DataFrame) -> DataFrame:
             strict=True,
         )
     )
+    # Codes, severities and messages of the index rules.
     rules = [
         _issue(
             F.col("invalid_count") > 0, "INDEX_INVALID", "error", "dataset",
@@ -249,9 +251,10 @@ def curve_issues(channels: DataFrame) -> DataFrame:
     null_ratio = ratio("null_count", "sample_count")
     present = F.col("sample_count") - F.col("null_count")
     name = F.col("mnemonic")
+    # Codes, severities and messages of the curve rules.
     rules = [
         _issue(
-            F.trim("unit") == "", "CURVE_UNIT_MISSING", "warning", "curve",
+            strip("unit") == "", "CURVE_UNIT_MISSING", "warning", "curve",
             F.format_string("%s does not define a unit.", name),
             {"unit": F.col("unit")}, F.lit(None),
         ),

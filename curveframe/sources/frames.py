@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,7 @@ from curveframe.functions.numeric import nan_to_null, try_cast
 from curveframe.functions.text import channel_id, column_slug, first_text, non_empty
 from curveframe.functions.timeindex import frame_index_kind
 from curveframe.operators.catalog import frame_edges
+from curveframe.operators.index_selection import unique_column_names
 from curveframe.operators.stats import (
     array_statistics,
     curve_statistics,
@@ -33,25 +34,27 @@ def is_numeric_type(kind: T.DataType) -> bool:
     return isinstance(kind, (T.NumericType, T.BooleanType))
 
 
-def frame_axis(frame: DataFrame, index_field: str) -> DataFrame:
-    """Index axis of a frame; a text index that is no number gives row ordinals."""
+def with_index(frame: DataFrame, index_field: str) -> DataFrame:
+    """``frame`` with its index field as ``index``; a text index that is no number gives row ordinals.
+
+    Rows keep their cells: a numeric index is a projection, and a text index only
+    joins one flag per dataset.
+    """
     kind = frame.schema[index_field].dataType
     raw = F.col(index_field)
     if is_numeric_type(kind):
-        return frame.select(
-            *DATASET_KEYS, "ordinal", nan_to_null(raw.cast("double")).alias("index")
-        )
+        return frame.withColumn("index", nan_to_null(raw.cast("double"))).drop(index_field)
     number = try_cast(raw, "double")
     numeric = frame.groupBy(*DATASET_KEYS).agg(
         (F.count_if(raw.isNotNull() & number.isNull()) == 0).alias("is_numeric")
     )
-    return frame.join(numeric, DATASET_KEYS).select(
-        *DATASET_KEYS,
-        "ordinal",
-        nan_to_null(
-            F.when(F.col("is_numeric"), number).otherwise(F.col("ordinal").cast("double"))
-        ).alias("index"),
-    )
+    index = nan_to_null(F.when(F.col("is_numeric"), number).otherwise(F.col("ordinal").cast("double")))
+    return frame.join(numeric, DATASET_KEYS).withColumn("index", index).drop("is_numeric", index_field)
+
+
+def frame_axis(frame: DataFrame, index_field: str) -> DataFrame:
+    """Index axis of a frame."""
+    return with_index(frame, index_field).select(*DATASET_KEYS, "ordinal", "index")
 
 
 def flattened(field: str, kind: T.DataType) -> tuple[Column, Column]:
@@ -86,7 +89,8 @@ def ingest_frames(
         *[item for place, name in enumerate(others) for item in (F.lit(name), F.lit(place))]
     )
 
-    axis = frame_axis(frame, index_field)
+    keyed = with_index(frame, index_field)
+    axis = keyed.select(*DATASET_KEYS, "ordinal", "index")
     described = (
         metadata.where(F.col("field").isin(*others))
         .withColumn("position", positions[F.col("field")])
@@ -96,7 +100,6 @@ def ingest_frames(
         )
     )
     ids = described.select(*DATASET_KEYS, "field", "channel_id")
-    keyed = frame.drop(index_field).join(axis, [*DATASET_KEYS, "ordinal"])
 
     carried = [*DATASET_KEYS, "ordinal", "index"]
     typed = keyed.select(
@@ -191,12 +194,7 @@ def ingest_frames(
 def _channels(
     described: DataFrame, samples: DataFrame, array_samples: DataFrame, texts: Sequence[str]
 ) -> DataFrame:
-    named = described.withColumn("slug", column_slug("mnemonic"))
-    use = F.row_number().over(Window.partitionBy(*DATASET_KEYS, "slug").orderBy("position"))
-    column_name = F.when((use == 1) & (F.col("slug") != "index"), F.col("slug")).otherwise(
-        F.concat_ws("_", "slug", (F.col("position") + 1).cast("string"))
-    )
-    named = named.withColumn("column_name", column_name)
+    named = unique_column_names(described.withColumn("place", F.col("position") + 1), position="place").drop("place")
     scalar = curve_statistics(samples).select(
         *CHANNEL_KEYS,
         *FIGURES,
