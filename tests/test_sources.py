@@ -276,10 +276,10 @@ def test_files_catalog_and_csv(spark, tmp_path):
     header = pages.export_csv(
         tables.axis, samples, stored["channels"], document, dataset, "TIME", str(destination)
     )
-    assert header == ["TIME", "BIT", "RPM", "NOTE"]
+    assert header == ["TIME", "BIT", "RPM"]
     text = "".join(part.read_bytes().decode() for part in sorted(Path(destination).glob("part-*")))
     lines = text.split("\r\n")
-    assert lines[0] == "TIME,BIT,RPM,NOTE" and len(lines) == 7 and lines[2].split(",")[2] == ""
+    assert lines[0] == "TIME,BIT,RPM" and len(lines) == 7 and lines[2].split(",")[2] == ""
 
     files = registry.read_package_files(spark, samples_path, "doc")
     manifest = assets.build_manifest(files)
