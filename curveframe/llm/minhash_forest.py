@@ -298,8 +298,10 @@ def near_duplicates(
     for side in ("a", "b"):
         crowd = crowd.join(joined.toDF(side, f"of_{side}"), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
     apart = crowd.where("of_a <> of_b").select("a", "b")
-    links = stage(links.unionAll(confirm(apart, texts, shingle, similarity)), "links")
-    found = components(links)
+    more = stage(confirm(apart, texts, shingle, similarity), "links")
+    # The components found so far are stars; only links between them are new.
+    stars = joined.where("node <> component").toDF("a", "b")
+    found = components(stars.unionAll(more)) if more.count() else joined
     placed = classes.join(found, "node", "left").select("key_a", "key_b", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return described.drop("signature").join(placed, ["key_a", "key_b"], "left").select(

@@ -21,6 +21,7 @@ rows get equal scores; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from curveframe.llm.common import SPACE, lower_ascii, mix, neutral, owners, pieces, restored, text_bytes, without, word_hashes, word_spans
 
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS = 2_000
 HASHED = 1 << 18
 BUCKETS = HASHED + 64  # and three for each labeller
 SHIFT = np.uint64(64 - 18)
@@ -340,6 +341,8 @@ def train(
             reviewer = piece.column(name).to_numpy(zero_copy_only=False)
             held.append((doc + np.int32(base), bucket, value, pattern(votes(f)), reviewer))
         base += piece.num_rows
+        del f, piece
+    del sample
     weights = []
     for target, (_, votes, _) in enumerate(TARGETS):
         codes = np.array([row["code"] for row in rows if row["target"] == target])
@@ -348,7 +351,12 @@ def train(
         posterior = dict(zip(codes.tolist(), estimate(codes, counts, labellers).tolist(), strict=True))
         doc, bucket, value, voted, reviewer = (np.concatenate(column) for column in zip(*parts[target], strict=True))
         label = np.array([posterior[code] for code in voted.tolist()])
+        parts[target] = []
         weights.append(fit(doc, bucket, value, np.where(np.isnan(reviewer), label, reviewer)))
+        del doc, bucket, value, voted, reviewer
+    # The driver lives on through later stages.
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     return weights
 
 
