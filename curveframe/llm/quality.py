@@ -283,11 +283,17 @@ def _patterns(text_column: str):
 
 
 def _scores(text_column: str, weights: list[np.ndarray]):
+    # Few buckets have a weight, so the tasks get those alone.
+    sparse = [(np.flatnonzero(w), w[np.flatnonzero(w)]) for w in weights]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = [np.zeros(BUCKETS + 1) for _ in sparse]
+        for w, (places, values) in zip(full, sparse, strict=True):
+            w[places] = values
         for piece in pieces(batches, text_column, PIECE_BYTES):
             f = features(piece.column(text_column))
             columns = list(piece.columns)
-            for w, (_, _, vector) in zip(weights, TARGETS, strict=True):
+            for w, (_, _, vector) in zip(full, TARGETS, strict=True):
                 doc, bucket, value = vector(f)
                 score = np.bincount(doc, weights=value * w[bucket], minlength=piece.num_rows) + w[-1]
                 columns.append(pa.array(1 / (1 + np.exp(-np.clip(score, -40, 40)))))
