@@ -4,15 +4,16 @@
    ``TREES * DEPTH`` minima. Texts with equal sets are one class from here on.
 2. Each tree sorts the classes by its own ``DEPTH`` minima. Classes near each
    other that share ``ROOT`` minima or more are candidates: in a sparse region all
-   of its classes meet; in a crowded one sorting puts the longest common prefixes
-   side by side, so the depth adapts to the region, and all meet the region's hub.
-   The order ends with the id, so that a crowd is dealt over many tasks; the rows
-   at the ends of tasks meet too.
-3. Candidates are confirmed on full sets, in blocks of bounded size: first those of
-   sparse regions and of hubs, then neighbours in crowds that are still apart.
+   of its classes meet; in a crowded one all meet the region's hub. The order ends
+   with the id, so that a crowd is dealt over many tasks; the rows at the ends of
+   tasks meet too.
+3. Candidates are confirmed on full sets, in blocks of bounded size.
+4. Crowds of one component have nothing left to find. In the others, classes outside
+   the largest component meet all classes that can be like enough: an exact set join
+   on the rarest shingles of each (prefixes), with bounds on sizes and positions.
 
-Two sets of Jaccard similarity 0.75 miss each other in all trees with a chance
-of (1 - 0.75 ** ROOT) ** TREES, about 2e-5.
+Two sets of Jaccard similarity 0.75 share no region in any tree with a chance
+of (1 - 0.75 ** ROOT) ** TREES, about 2e-5; all that share one are joined.
 
 Defined results: null and wordless texts have no shingles and are linked with
 nothing; rows without an id are linked with nothing and have no component;
@@ -52,6 +53,9 @@ NEAR = 6  # classes before it in the order that each class meets
 BLOCK_PAIRS = 1_000
 PIECE_BYTES = 1 << 20
 LABEL = 4 * DEPTH
+BUCKET_BITS = 20  # shingles are counted in 2 ** 20 buckets; a count only sets the order of prefixes
+HOT_BITS = 12  # prefixes whose bucket holds 2 ** 13 sets or more are dealt over several groups
+MOST_SALT_BITS = 8
 
 _numbers = np.random.default_rng(20240501).integers(0, 1 << 63, (2, TREES * DEPTH), dtype=np.uint64)
 FACTORS, SHIFTS = _numbers[0] | np.uint64(1), _numbers[1]
@@ -111,28 +115,21 @@ def _describe(id_column: str, text_column: str, shingle: int):
     return run
 
 
-def _pairs_near(roots: np.ndarray, nodes: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of the last ``fresh`` rows with rows before them, whether they lie in a crowd, and who does.
-
-    In a region of up to ``NEAR + 1`` rows all meet; in a crowd only neighbours in the
-    order do, which have the longest common prefixes there.
-    """
+def _pairs_near(roots: np.ndarray, nodes: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of the last ``fresh`` rows with rows before them in regions of up to ``NEAR + 1``, and who lies in larger ones."""
     n = len(nodes)
     edge = np.flatnonzero(np.append(True, roots[1:] != roots[:-1]))
     size = np.repeat(np.diff(np.append(edge, n)), np.diff(np.append(edge, n)))
     crowd = size > NEAR + 1
-    found, crowded = [], []
+    found = []
     for gap in range(1, NEAR + 1):
         at = np.arange(max(n - fresh, gap), n)
-        at = at[(roots[at] == roots[at - gap]) & (nodes[at] != nodes[at - gap])]
-        if gap > 1:
-            at = at[~crowd[at]]
+        at = at[(roots[at] == roots[at - gap]) & (nodes[at] != nodes[at - gap]) & ~crowd[at]]
         found.append(np.sort(np.stack([nodes[at], nodes[at - gap]], axis=1), axis=1))
-        crowded.append(crowd[at])
-    return np.concatenate(found), np.concatenate(crowded), np.flatnonzero(crowd)
+    return np.concatenate(found), np.flatnonzero(crowd)
 
 
-PAIR, CROWD_PAIR, BORDER, MEMBER = range(4)
+PAIR, BORDER, MEMBER = range(3)
 FOUND = "kind int, tree int, label binary, a bigint, b bigint"
 
 
@@ -156,10 +153,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = np.array([label[: 4 * ROOT] for label in labels], dtype=f"S{4 * ROOT}").view(f"V{4 * ROOT}")
         trees = joined.column("tree").to_numpy().astype(">i4").view("V4")
         key = np.rec.fromarrays([trees, roots]).view(f"V{4 * ROOT + 4}")
-        pairs, crowded, members = _pairs_near(key, joined.column("node").to_numpy(), rows.num_rows)
+        pairs, members = _pairs_near(key, joined.column("node").to_numpy(), rows.num_rows)
         if len(pairs):
             nothing = [pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary())]
-            kinds = pa.array(np.where(crowded, CROWD_PAIR, PAIR).astype(np.int32))
+            kinds = pa.array(np.full(len(pairs), PAIR, np.int32))
             columns = [kinds, *nothing, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, ["kind", "tree", "label", "a", "b"])
         # Rows held over from the batch before count as members when they only now turn out to be in a crowd.
@@ -269,6 +266,81 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -
     return held.groupBy("place").cogroup(spread.groupBy("block")).applyInArrow(_confirm(shingle, similarity), "a bigint, b bigint")
 
 
+def _crowds(classes: DataFrame) -> DataFrame:
+    """(tree, root, node) of all regions of more than ``NEAR + 1`` classes, whatever task or batch they lie in."""
+    rooted = _trees(classes).select("tree", F.substring("label", 1, 4 * ROOT).alias("root"), "node")
+    crowded = rooted.groupBy("tree", "root").agg(F.count("*").alias("n")).where(F.col("n") > NEAR + 1)
+    return rooted.join(crowded.drop("n").hint("merge"), ["tree", "root"])
+
+
+def _split(crowds: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members of crowds of several components: node, component, apart (not of the largest one of some crowd)."""
+    members = crowds.join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = stage(members, "crowds")
+    sizes = members.groupBy("tree", "root", "component").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("tree", "root").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
+    most = most.where("parts > 1").select("tree", "root", F.col("top.component").alias("top"))
+    split = members.join(most.hint("merge"), ["tree", "root"])
+    return split.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("top")).alias("apart"))
+
+
+def _buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _bucket_counts(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for piece in pieces(batches, "text", PIECE_BYTES):
+            np.add.at(counts, _buckets(shingle_sets(piece.column("text"), shingle)[0]), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
+
+    return run
+
+
+def _prefixes(ranks: np.ndarray, shingle: int, similarity: int):
+    """The rarest shingles of each set: of two sets that are like enough, one at least is common to both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", PIECE_BYTES):
+            hashes, offsets = shingle_sets(piece.column("text"), shingle)
+            owner, sizes = owners(offsets), np.diff(offsets)
+            rank = ranks[_buckets(hashes)]
+            order = np.lexsort((hashes, rank, owner))
+            place = np.arange(len(hashes)) - offsets[owner]
+            kept = np.flatnonzero(place < (sizes + (-similarity * sizes) // 100 + 1)[owner])
+            order, doc = order[kept], owner[kept]
+            salt_bits = np.clip(rank[order].astype(np.int64) - HOT_BITS, 0, MOST_SALT_BITS)
+            columns = [piece.column(name).take(pa.array(doc)) for name in ("node", "component", "apart")]
+            columns += [pa.array(hashes[order].view(np.int64)), pa.array(1 << salt_bits), pa.array(place[kept]), pa.array(sizes[doc])]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "component", "apart", "hash", "salts", "place", "n"])
+
+    return run
+
+
+def _rest(held: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Pairs (a, b) of ``held`` (node, component, apart, text) that may be like enough, lie in two components, and one of which is apart."""
+    counted = held.select("text").mapInArrow(_bucket_counts(shingle), "bucket bigint, n bigint")
+    # At most 2 ** BUCKET_BITS rows of two numbers at any scale; a bucket met once keeps rank 0.
+    counted = counted.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    ranks = np.zeros(1 << BUCKET_BITS, np.uint8)
+    ranks[counted.column("bucket").to_numpy()] = np.log2(counted.column("n").to_numpy()).astype(np.uint8)
+    del counted
+    schema = "node bigint, component bigint, apart boolean, hash bigint, salts bigint, place bigint, n bigint"
+    prefixes = stage(held.mapInArrow(_prefixes(ranks, shingle, similarity), schema), "prefixes")
+    few = prefixes.where("apart").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
+    rest = prefixes.withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
+    x = few.select("hash", "salt", *[F.col(name).alias(f"{name}_x") for name in ("node", "component", "place", "n")])
+    y = rest.select("hash", "salt", *[F.col(name).alias(f"{name}_y") for name in ("node", "component", "place", "n", "apart")])
+    # Common shingles that a pair needs, against those it can have when this one is its first.
+    enough = (100 + similarity) * F.least(F.expr("n_x - place_x"), F.expr("n_y - place_y")) >= similarity * F.expr("n_x + n_y")
+    once = ~F.col("apart_y") | (F.col("node_x") < F.col("node_y"))
+    same = (F.col("k.hash") == F.col("l.hash")) & (F.col("k.salt") == F.col("l.salt"))
+    pairs = x.alias("k").join(y.alias("l").hint("merge"), same & (F.col("component_x") != F.col("component_y")) & once & enough)
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -293,12 +365,10 @@ def near_duplicates(
     first = found.where(F.col("kind") == PAIR).select("a", "b").unionAll(_crossing(found)).unionAll(_hubs(found)).distinct()
     links = stage(confirm(first, texts, shingle, similarity), "links")
     joined = stage(components(links), "components")
-    # Neighbours in crowds that are joined by now need no comparison.
-    crowd = found.where(F.col("kind") == CROWD_PAIR).select("a", "b").distinct()
-    for side in ("a", "b"):
-        crowd = crowd.join(joined.toDF(side, f"of_{side}"), side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-    apart = crowd.where("of_a <> of_b").select("a", "b")
-    more = stage(confirm(apart, texts, shingle, similarity), "links")
+    split = stage(_split(_crowds(classes), joined), "split")
+    # Merged at every size, like the texts of candidates.
+    held = stage(split.hint("merge").join(texts, "node"), "held")
+    more = stage(confirm(_rest(held, shingle, similarity), held.select("node", "text"), shingle, similarity), "links")
     # The components found so far are stars; only links between them are new.
     stars = joined.where("node <> component").toDF("a", "b")
     found = components(stars.unionAll(more)) if more.count() else joined

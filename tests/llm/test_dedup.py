@@ -1,6 +1,7 @@
 """Exact, near and repeated-string deduplication against brute force."""
 
 import collections
+import random
 
 import pytest
 from helpers import awkward_texts, frame, lower, prose, rows, sha, space_words
@@ -91,6 +92,17 @@ def test_near(spark):
     assert all(row["kept"] == (key == row["component_id"]) for key, row in found.items())
 
 
+def test_near_links_in_a_crowd_that_bypass_its_hub(spark):
+    base, chance = prose(400, 11).split(), random.Random(4)
+    texts = [edited(base, [n, 200 + n]) for n in range(60)]
+    for _ in range(80):
+        places = chance.sample(range(3, 400, 9), 20)
+        texts += [edited(base, places[:10]), edited(base, places)]
+    data = rows(texts)
+    found = {row["doc_id"]: row["component_id"] for row in minhash_forest.near_duplicates(frame(spark, data)).collect()}
+    assert found == {key: component for key, (_, component) in brute_components(data).items()}
+
+
 def test_near_rows_without_id(spark):
     data = [(None, "a b c d e f", *[None] * 4), (None, "a b c d e f", *[None] * 4), (3, "a b c d e f", *[None] * 4)]
     found = minhash_forest.near_duplicates(frame(spark, data)).collect()
