@@ -1,9 +1,14 @@
 """Lexical retrieval packing of token sequences.
 
-1. Texts are tokenised once, by tasks, and their ids are dealt to shards of
-   bounded size by a hash, so shards are even whatever the data looks like.
-2. Each shard builds a BM25 inverted index over token ids. The document at the
-   start of a window is its seed; its best-scoring unused neighbours fill the window.
+1. Texts are tokenised once, by tasks. Document frequencies and the mean length are
+   counted over all documents (one number per id of the vocabulary).
+2. Documents are dealt to shards of bounded size by their heaviest terms, so that
+   neighbours meet: those with one heaviest term among the terms common enough to
+   fill a shard form a group; groups beyond a shard are split by the heaviest of all
+   terms, and what is still too large by a hash. Small groups share shards.
+   Each shard builds a BM25 inverted index over token ids with the weights of the
+   whole corpus. The document at the start of a window is its seed; its best-scoring
+   unused neighbours, over all of its terms, fill the window.
 3. A document that does not fit is cut, and its rest seeds the next window, so
    windows are full; the end of a shard is cut into powers of two, which need no
    padding.
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curveframe.llm.common import pieces, total_bytes, worker_memory
+from curveframe.llm.common import pieces, stage, total_bytes, worker_memory
 
 WINDOW = 2048
 FINAL_ID = 1
 SHARD_BYTES = 6 << 20  # of text in a shard, on average
-QUERY_TERMS = 24  # the seed's heaviest terms that are looked up
+DENSE = 8  # terms in more than one of so many documents of a shard are held as full rows
 K1, B = 1.2, 0.75
 CACHED = 350_000
 PIECE_BYTES = 4 << 20
@@ -124,10 +130,30 @@ def _unpack(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids[1:], "<u4") if len(ids) % 2 else np.frombuffer(ids, "<u2").astype("<u4")
 
 
+@dataclass
+class Corpus:
+    """Counts over all documents: their number, their mean length, and of each id the documents that hold it."""
+
+    count: int
+    mean: float
+    spread: np.ndarray
+
+    @staticmethod
+    def of(docs: list[np.ndarray]) -> Corpus:
+        held = np.concatenate([np.unique(ids) for ids in docs]).astype(np.int64)
+        return Corpus(len(docs), sum(map(len, docs)) / len(docs), np.bincount(held))
+
+    def weights(self, terms: np.ndarray, frequency: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        """BM25 weights of terms in documents of the given sizes."""
+        spread = self.spread[terms]
+        length = K1 * (1 - B + B * sizes / max(self.mean, 1))
+        return np.log1p((self.count - spread + 0.5) / (spread + 0.5)) * frequency * (K1 + 1) / (frequency + length)
+
+
 class Bm25Index:
-    """Inverted index of one shard: for each term, its documents and their BM25 weights."""
+    """Inverted index of one shard: for each term, its documents and their BM25 weights in the corpus."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus) -> None:
         self.count = len(docs)
         sizes = np.array([len(ids) for ids in docs])
         owner = np.repeat(np.arange(self.count), sizes)
@@ -137,33 +163,38 @@ class Bm25Index:
         term = key // self.count
         self.terms, firsts = np.unique(term, return_index=True)
         self.bounds = np.append(firsts, len(key))
-        spread = np.diff(self.bounds)
-        idf = np.log1p((self.count - spread + 0.5) / (spread + 0.5))
-        length = K1 * (1 - B + B * sizes[self.doc] / max(sizes.mean(), 1))
-        self.weight = np.repeat(idf, spread) * frequency * (K1 + 1) / (frequency + length)
-        order = np.lexsort((-self.weight, self.doc))
-        self.place = np.searchsorted(self.terms, term)[order]
+        self.weight = corpus.weights(term, frequency, sizes[self.doc])
+        place = np.searchsorted(self.terms, term)
+        order = np.argsort(self.doc, kind="stable")
+        self.place = place[order]
         self.doc_bounds = np.searchsorted(self.doc[order], np.arange(self.count + 1))
+        # Terms of many documents as rows of a matrix: adding rows is much faster than adding at places.
+        common = np.diff(self.bounds) * DENSE > self.count
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.dense = np.zeros((int(common.sum()), self.count), np.float32)
+        at = np.flatnonzero(common[place])
+        self.dense[self.row[place[at]], self.doc[at]] = self.weight[at]
 
     def neighbours(self, seed: int, free: np.ndarray, most: int = 8) -> list[int]:
-        """Free documents that share the seed's heaviest terms, best first; ties by position."""
-        start, end = self.doc_bounds[seed], self.doc_bounds[seed + 1]
-        places = self.place[start : min(end, start + QUERY_TERMS)]
-        spans = [slice(self.bounds[at], self.bounds[at + 1]) for at in places]
-        score = np.bincount(
-            np.concatenate([self.doc[span] for span in spans]),
-            weights=np.concatenate([self.weight[span] for span in spans]),
-            minlength=self.count,
-        )
+        """Free documents that share terms with the seed, best first; ties by position."""
+        places = self.place[self.doc_bounds[seed] : self.doc_bounds[seed + 1]]
+        rows = self.row[places]
+        score = np.zeros(self.count)
+        for row in rows[rows >= 0].tolist():
+            score += self.dense[row]
+        rare = places[rows < 0]
+        starts, lengths = self.bounds[rare], self.bounds[rare + 1] - self.bounds[rare]
+        at = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        score += np.bincount(self.doc[at], weights=self.weight[at], minlength=self.count)
         score[~free] = 0
         best = np.argpartition(-score, min(most, self.count - 1))[:most]
         best = best[score[best] > 0]
         return best[np.lexsort((best, -score[best]))].tolist()
 
 
-def packing_order(docs: list[np.ndarray], window: int) -> list[int]:
-    """Documents in the order in which they fill windows."""
-    index = Bm25Index(docs)
+def packing_order(docs: list[np.ndarray], window: int, corpus: Corpus | None = None) -> list[int]:
+    """Documents in the order in which they fill windows; ``corpus`` counts more documents than these."""
+    index = Bm25Index(docs, corpus or Corpus.of(docs))
     free = np.ones(len(docs), dtype=bool)
     order: list[int] = []
     upcoming, used, seed, near = 0, 0, -1, []
@@ -207,11 +238,11 @@ def cut_pieces(sizes: np.ndarray, window: int) -> np.ndarray:
     )
 
 
-def _pack_shards(window: int):
+def _pack_shards(window: int, corpus: Corpus):
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def packed(shard: int, ids: list[int | None], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order = packing_order(docs, window)
+        order = packing_order(docs, window, corpus)
         rows = cut_pieces(np.array([len(docs[at]) for at in order]), window)
         for some in range(0, len(rows), 4_000):
             part = rows[some : some + 4_000]
@@ -247,6 +278,101 @@ def _pack_shards(window: int):
     return run
 
 
+DOCUMENTS, TOKENS = -1, -2  # rows of the counts that stand for no term
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spread, documents, tokens = np.zeros(1 << 16, np.int64), 0, 0
+    for batch in batches:
+        for packed_ids in batch.column("ids").to_pylist():
+            ids = _unpack(packed_ids)
+            held = np.unique(ids)
+            if held[-1] >= len(spread):
+                spread = np.append(spread, np.zeros(held[-1] + 1 - len(spread), np.int64))
+            spread[held] += 1
+            documents, tokens = documents + 1, tokens + len(ids)
+    used = np.flatnonzero(spread)
+    terms = np.concatenate([used, [DOCUMENTS, TOKENS]])
+    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.concatenate([spread[used], [documents, tokens]]))], ["term", "n"])
+
+
+def count(tokens: DataFrame) -> Corpus:
+    """Counts of the whole corpus. One row per id of the vocabulary reaches the driver."""
+    found = tokens.select("ids").mapInArrow(_count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = dict(zip(found.column("term").to_pylist(), found.column("n").to_pylist(), strict=True))
+    documents, total = counts.pop(DOCUMENTS, 0), counts.pop(TOKENS, 0)
+    spread = np.zeros(max(counts, default=0) + 1, np.int64)
+    spread[list(counts)] = list(counts.values())
+    return Corpus(documents, total / max(documents, 1), spread)
+
+
+def _topics(corpus: Corpus, least: int):
+    """Of each document the heaviest term that ``least`` documents hold, and the heaviest that any other holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topics = []
+            for packed_ids in batch.column("ids").to_pylist():
+                ids = _unpack(packed_ids)
+                terms, frequency = np.unique(ids, return_counts=True)
+                weight, spread = corpus.weights(terms, frequency, len(ids)), corpus.spread[terms]
+                for few in (least, 2):
+                    shared = np.where(spread >= few, weight, -1)
+                    best = int(shared.argmax())
+                    topics.append(int(terms[best]) if shared[best] >= 0 else -1)
+            columns = [*batch.columns, pa.array(topics[::2], pa.int64()), pa.array(topics[1::2], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "topic", "term"])
+
+    return run
+
+
+def _deal(sizes: list[tuple], limit: int, first: int) -> tuple[list[tuple], int]:
+    """(*key, first shard, shards) of groups (*key, size): large ones get shards of their own, small ones share."""
+    out, held = [], 0
+    for *key, size in sorted(sizes):
+        if size > limit:
+            parts = -(-size // limit)
+            out.append((*key, first, parts))
+            first += parts
+    open_shard = first
+    for *key, size in sorted(sizes):
+        if size <= limit:
+            if held and held + size > limit:
+                open_shard, held = open_shard + 1, 0
+            out.append((*key, open_shard, 1))
+            held += size
+    return out, open_shard + 1 if held else open_shard
+
+
+def deal(tokens: DataFrame, corpus: Corpus, shards: int) -> tuple[DataFrame, int]:
+    """``tokens`` with the shard of each document, by content, and the number of shards."""
+    spark = tokens.sparkSession
+    size = F.octet_length("ids").cast("bigint")
+    total = tokens.agg(F.sum(size)).first()[0] or 0
+    limit = max(1, -(-total // shards))
+    names = "id bigint, ids binary, topic bigint, term bigint"
+    told = stage(tokens.mapInArrow(_topics(corpus, max(2, corpus.count // shards)), names), "topics")
+    # One row per id of the vocabulary at most.
+    topics = [tuple(row) for row in told.groupBy("topic").agg(F.sum(size).alias("n")).collect()]
+    large = [topic for topic, n in topics if n > limit]
+    # Large parts of large groups: they hold an eighth of a shard or more each, so they are few.
+    crowded = told.where(F.col("topic").isin(large)) if large else told.limit(0)
+    parts = crowded.groupBy("topic", "term").agg(F.sum(size).alias("n")).where(F.col("n") > limit // 8)
+    parts = [tuple(row) for row in parts.collect()]
+    inside: dict[int, int] = {}
+    for topic, _, n in parts:
+        inside[topic] = inside.get(topic, 0) + n
+    by_topic, used = _deal([(topic, n - inside.get(topic, 0)) for topic, n in topics], limit, 0)
+    by_part, used = _deal(parts, limit, used)
+    found = told.join(spark.createDataFrame(by_topic, "topic bigint, first int, parts int"), "topic", "left")
+    found = found.join(spark.createDataFrame(by_part, "topic bigint, term bigint, own int, own_parts int"), ["topic", "term"], "left")
+    spread = F.xxhash64("id", F.crc32("ids"))
+    shard = F.when(F.col("own").isNotNull(), F.col("own") + F.pmod(spread, "own_parts")).otherwise(
+        F.col("first") + F.pmod(F.xxhash64("term"), "parts")
+    )
+    return found.select("id", "ids", shard.cast("int").alias("shard")), max(used, 1)
+
+
 def pack(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -261,7 +387,9 @@ def pack(
     tokens = docs.select(id_column, text_column).mapInArrow(
         _tokenise(id_column, text_column, tokenizer or tokenizer_path(), final_id), "id bigint, ids binary"
     )
-    shard = F.pmod(F.xxhash64("id", F.crc32("ids")), F.lit(shards)).cast("int")
-    dealt = tokens.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "id", "ids")
+    tokens = stage(tokens, "tokens")
+    corpus = count(tokens)
+    placed, shards = deal(tokens, corpus, shards)
+    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "id", "ids")
     schema = "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return dealt.mapInArrow(_pack_shards(window), schema).withColumnRenamed("id", id_column)
+    return dealt.mapInArrow(_pack_shards(window, corpus), schema).withColumnRenamed("id", id_column)

@@ -109,6 +109,25 @@ def test_packing_puts_like_beside_like():
     assert sum(a == b for a, b in zip(topics, topics[1:], strict=False)) >= 20
 
 
+def test_packing_finds_neighbours_across_shards(spark):
+    """Twelve topics in forty shards' worth of documents: nearly all documents follow one of their topic."""
+    words = lambda topic, n: " ".join(f"{'bcdfghklmnpr'[topic]}{'aeiou'[(n * k + k) % 5]}{'zvtsx'[(n + k * k) % 5]}o" for k in range(40))
+    texts = [words(n % 12, n // 12) for n in range(480)]
+    found = packing.pack(frame(spark, rows(texts)), window=512, shard_bytes=2_000).collect()
+    found.sort(key=lambda piece: (piece["sequence_id"], piece["offset"]))
+    beside = [(a["doc_id"] % 12, b["doc_id"] % 12) for a, b in zip(found, found[1:], strict=False) if a["sequence_id"] == b["sequence_id"]]
+    assert len({piece["sequence_id"] >> 32 for piece in found}) >= 20
+    assert sum(a == b for a, b in beside) >= 0.7 * len(beside)
+
+
+def test_packing_scores_with_all_terms_of_the_seed():
+    # The seed's rare terms are its own; what it shares with its neighbour comes after them.
+    seed, like, other = np.r_[1000:1030, 0:10], np.r_[2000:2030, 0:10], np.r_[3000:3040]
+    docs = [part.astype(np.uint32) for part in (seed, other, like)] + [np.r_[n : n + 3, 5000 + 40 * n : 5037 + 40 * n].astype(np.uint32) for n in range(8)]
+    index = packing.Bm25Index(docs, packing.Corpus.of(docs))
+    assert index.neighbours(0, np.arange(len(docs)) > 0)[0] == 2
+
+
 def test_packing_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
