@@ -6,14 +6,15 @@ features may start further turns inside it. Chances come from counts over all
 rows whose role is known; Viterbi recovers the roles from the texts alone, and
 each recovered turn is rendered in one canonical form.
 
-A conversation may hold any share of all rows. It is cut into chunks of turns;
-a chunk is reduced to the best scores between its border states (a max-plus
+A conversation may hold any share of all rows, under any turn numbers. Rows are
+sorted over all tasks and their lines numbered in that order (tasks, then offsets of
+tasks), and each ``CHUNK`` numbers are a chunk; a chunk is reduced to the best scores between its border states (a max-plus
 matrix), matrices are multiplied in groups, level by level, and the border states
 come back down the same levels, so no task sees more than a chunk or a group.
 
 Defined results: null text counts as empty and is one empty line; rows repeated in
 all columns are read once; within one turn number rows are ordered by text; rows
-without a turn come first; rows without a conversation form one conversation; an
+without a turn come first, and roles follow each other in this order; rows without a conversation form one conversation; an
 empty table gives an empty result. Unknown roles do not count for training.
 """
 
@@ -32,7 +33,7 @@ from curveframe.llm.common import stage
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # a role starts (even) or goes on (odd)
-CHUNK = 64  # turns in a chunk
+CHUNK = 512  # lines in a chunk
 GROUP = 256  # matrices that are multiplied at a time
 
 # Names of speakers in public chat formats.
@@ -52,7 +53,7 @@ def lines_of(rows: DataFrame, conversation: str, turn: str, text: str) -> DataFr
         F.col(conversation).alias("conv"),
         F.col(turn).cast("bigint").alias("turn"),
         body.alias("body"),
-        *[F.col(name) for name in rows.columns if name == "role"],
+        *[F.col(name) for name in rows.columns if name in ("role", "first")],
         F.posexplode(F.split(body, "\r?\n")).alias("line_no", "line"),
     )
     marker = F.lit(0)
@@ -94,6 +95,52 @@ def decode(codes: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def in_order(rows: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` columns of rows (conv, turn, body, ...) in the documented order: ``at`` grows with it, ``task`` is the sorted range.
+
+    Any number of tasks may share a conversation, so its rows never meet in one.
+    """
+    names = ["conv", "turn", "body", *[name for name in rows.columns if name not in ("conv", "turn", "body")]]
+    order = [F.col(name).asc_nulls_first() for name in names]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(dealt.select(*kept, F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")), "ordered")
+
+
+def _in_task():
+    return Window.partitionBy("conv", "task").orderBy("at")
+
+
+def _over_tasks():
+    return Window.partitionBy("conv").orderBy("task")
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """``rows`` with what ``carried`` (conv, task, carried) hands on from earlier tasks; null where there are none."""
+    other = carried.where("carried IS NOT NULL").toDF("conv_of", "task_of", "carried")
+    return rows.join(other, F.col("conv").eqNullSafe(F.col("conv_of")) & (F.col("task") == F.col("task_of")), "left").drop("conv_of", "task_of")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv, turn, body) with ``first``: the number of their first line within the conversation."""
+    ordered = in_order(rows, "conv", "turn", "body").withColumn("size", F.size(F.split("body", "\r?\n")).cast("bigint"))
+    before = _over_tasks().rowsBetween(Window.unboundedPreceding, -1)
+    sums = ordered.groupBy("conv", "task").agg(F.sum("size").alias("size")).select("conv", "task", F.sum("size").over(before).alias("carried"))
+    inside = ordered.withColumn("first", F.sum("size").over(_in_task().rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    return _with_carried(inside, sums).select("conv", "turn", "body", (F.col("first") + F.coalesce("carried", F.lit(0))).alias("first"))
+
+
+def transitions(rows: DataFrame) -> DataFrame:
+    """Counts n of known roles after the role before them (before, role); before is null at the start of a conversation."""
+    ordered = in_order(rows, "conv", "role")
+    lasts = ordered.groupBy("conv", "task").agg(F.max(F.struct("at", "role")).alias("last"))
+    lasts = lasts.select("conv", "task", F.lag("last").over(_over_tasks()).alias("carried"))
+    inside = ordered.withColumn("held", F.lag(F.struct("at", "role")).over(_in_task()))
+    after = _with_carried(inside, lasts).withColumn("held", F.coalesce("held", "carried"))
+    # A role after an unknown one says nothing.
+    told = after.where(F.col("role").isin(*ROLES) & (F.col("held").isNull() | F.col("held.role").isin(*ROLES)))
+    return told.groupBy(F.col("held.role").alias("before"), "role").agg(F.count("*").alias("n"))
+
+
 def train(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Model:
     """Counts of transitions and features over all rows with a known role. Only the counts reach the driver."""
     known = rows.where(F.col(role).isin(*ROLES)).select(conversation, turn, F.col(role).alias("role"), text).distinct()
@@ -120,11 +167,10 @@ def train(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", ro
         if name == "weight":
             chances[5] = 1.0  # the size of a block speaks once, on its first line
         emit += np.log(chances)[values]
-    after = known.select(F.col(conversation).alias("conv"), (F.col(turn).cast("bigint") + 1).alias("turn"), F.col("role").alias("before"))
-    pairs = known.select(F.col(conversation).alias("conv"), F.col(turn).cast("bigint").alias("turn"), "role").join(after, ["conv", "turn"], "left")
+    single = rows.select(F.col(conversation).alias("conv"), F.col(turn).cast("bigint").alias("turn"), F.coalesce(text, F.lit("")).alias("body"), F.col(role).alias("role"))
     speak = np.full((len(ROLES) + 1, len(ROLES)), 0.5)
-    for row in pairs.groupBy("before", "role").count().collect():
-        speak[ROLES.index(row["before"]) if row["before"] else len(ROLES), ROLES.index(row["role"])] += row["count"]
+    for row in transitions(single.distinct()).collect():
+        speak[ROLES.index(row["before"]) if row["before"] else len(ROLES), ROLES.index(row["role"])] += row["n"]
     speak /= speak.sum(axis=1, keepdims=True)
     step = np.full((STATES + 1, STATES), -np.inf)
     for state in range(STATES):
@@ -270,12 +316,13 @@ def _label(model: Model):
 
 def label_lines(rows: DataFrame, model: Model, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """Every line with its recovered role and whether it starts a turn."""
-    single = rows.select(F.col(conversation).cast("string").alias(conversation), turn, text).distinct()
-    lines = lines_of(single, conversation, turn, text)
-    part = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 40))).cast("bigint")
-    lines = stage(lines.select("conv", "turn", "body", "line_no", "line", "opens", F.expr(CODE).alias("code"), part.alias("part")), "lines")
-    order = [F.col("conv"), F.col("part"), F.col("turn").asc_nulls_first(), F.col("body"), F.col("line_no")]
-    dealt = lines.select("conv", "part", "turn", F.xxhash64("body").alias("key"), "body", "line_no", "opens", "code")
+    single = rows.select(F.col(conversation).cast("string").alias("conv"), F.col(turn).cast("bigint").alias("turn"), text).distinct()
+    lines = lines_of(numbered(single.select("conv", "turn", F.coalesce(text, F.lit("")).alias("body"))), "conv", "turn", "body")
+    number = F.col("first") + F.col("line_no")
+    part = F.floor(number / CHUNK).cast("bigint")
+    lines = stage(lines.select("conv", "turn", "body", "line_no", "line", "opens", F.expr(CODE).alias("code"), part.alias("part"), number.alias("number")), "lines")
+    dealt = lines.select("conv", "part", "number", "opens", "code")
+    order = ["conv", "part", "number"]
     sorted_ = dealt.repartition("conv", "part").sortWithinPartitions(*order).select("conv", "part", "opens", "code")
     levels = [stage(sorted_.mapInArrow(_reduce(model), "conv string, part bigint, matrix binary"), "level")]
     up = F.floor(F.col("part") / GROUP).cast("bigint")

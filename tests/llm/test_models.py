@@ -176,5 +176,43 @@ def test_transcripts_chunks_agree_with_one_pass(spark, monkeypatch):
     assert whole[8] == whole[1 << 20] and len(whole[8]) >= 400
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """Small inputs keep all tasks of a shuffle."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
+def test_transcripts_chunks_are_bounded_whatever_the_turns(spark, monkeypatch, many_tasks):
+    """Turns that are null or repeated, no conversation id, and a row of many lines."""
+    rows_ = [(None, None if n % 2 else 0, ("user", "assistant")[n % 2], f"text {n:04d}") for n in range(600)]
+    rows_ += [(7, 0, "user", "\n".join(f"line {n}" for n in range(300)))]
+    docs = spark.createDataFrame(rows_, CHAT).repartition(5)
+    model, staged, stage = transcripts.train(docs), {}, transcripts.stage
+
+    def kept(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(transcripts, "CHUNK", 16)
+    monkeypatch.setattr(transcripts, "stage", kept)
+    assert transcripts.label_lines(docs, model).count() == 900
+    sizes = [row["count"] for row in staged["lines"].groupBy("conv", "part").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) == 16
+    numbers = sorted((row["conv"] or "", row["number"]) for row in staged["lines"].collect())
+    assert numbers == [("", n) for n in range(600)] + [("7", n) for n in range(300)]
+    assert staged["ordered"].select("task").distinct().count() > 2
+
+
+def test_transcripts_transitions_are_one_a_row(spark, many_tasks):
+    rows_ = [(1, 0, ("user", "assistant")[n % 2], f"text {n:04d}") for n in range(600)]
+    found = transcripts.transitions(spark.createDataFrame(rows_, "conv bigint, turn bigint, role string, body string").repartition(5))
+    assert {(row["before"], row["role"]): row["n"] for row in found.collect()} == {
+        (None, "user"): 1, ("user", "assistant"): 300, ("assistant", "user"): 299
+    }
+
+
 def test_transcripts_empty(spark):
     assert transcripts.turns(spark.createDataFrame([], CHAT)).collect() == []
