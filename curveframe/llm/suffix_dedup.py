@@ -9,9 +9,9 @@ removed wherever it starts. Three questions to the corpus narrow the work:
    twice as a whole repeats from end to end and needs no sorting.
 3. The other segments of grams that several segments share are sorted: each pack
    is a shard with its own suffix array (Larsson-Sadakane refinement), common
-   prefixes of neighbours (Kasai) give the distinct strings of the shard, and the
-   sorted strings of all shards are merged range by range, binary searches
-   finding each shard's part of a range and the strings of other shards in it.
+   prefixes of neighbours (Kasai) give the distinct strings of the shard. Across
+   shards the order of suffixes is not used: hashes of distinct strings are dealt
+   to ranges of the hash, and each range is sorted by hash to find equal ones.
 
 Across shards segments are compared by 160 bits of hash, strings by 96; inside a
 shard by the bytes themselves.
@@ -267,7 +267,7 @@ def string_keys(ranges: list[int], length: int, gram: int):
 
 
 def judge_strings(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """Whether a string starts twice: in its own shard, or found in another by binary search of the merged order."""
+    """Whether a string starts twice: in its own shard, or in another, by equal hashes in one range of the hash."""
     order = np.lexsort((columns["second"], columns["key"]))
     equal = same_as_before(columns["key"][order], columns["second"][order])
     return [spread(order, equal, 1 + columns["several"].astype(np.int64), np.add) > 1]
