@@ -103,6 +103,21 @@ def test_near_links_in_a_crowd_that_bypass_its_hub(spark):
     assert found == {key: component for key, (_, component) in brute_components(data).items()}
 
 
+def test_near_regions_are_counted_over_batches_and_tasks(spark):
+    """A region of eight whose last row is in a batch of its own: its first and last row may still meet."""
+    size = minhash_forest.TREES * minhash_forest.DEPTH
+    signatures = [b"root" * minhash_forest.ROOT + b"".join((1000 * n + at).to_bytes(4, "big") for at in range(size - 3)) for n in range(8)]
+    classes = spark.createDataFrame(list(enumerate(map(bytearray, signatures))), "node bigint, signature binary")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "7")
+    try:
+        joined = spark.createDataFrame([], "node bigint, component bigint")
+        split = {row["node"]: row["apart"] for row in minhash_forest._split(minhash_forest._crowds(classes), joined).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert set(split) == set(range(8)) and sum(split.values()) == 7
+
+
 def test_near_rows_without_id(spark):
     data = [(None, "a b c d e f", *[None] * 4), (None, "a b c d e f", *[None] * 4), (3, "a b c d e f", *[None] * 4)]
     found = minhash_forest.near_duplicates(frame(spark, data)).collect()
