@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,36 @@ def restored(docs: DataFrame, names: dict[str, str]) -> DataFrame:
     return docs.select(*names.values()).toDF(*names)
 
 
+def with_results(
+    docs: DataFrame,
+    column: str,
+    results: str,
+    make: Callable[[pa.Array], list[pa.Array]],
+    keep: bool = True,
+    limit: int = 4 << 20,
+) -> DataFrame:
+    """``docs`` with the columns that ``results`` (a DDL list) names, made from arrays of ``column`` by tasks.
+
+    An array holds ``limit`` bytes, or one longer value. The results win over columns of the same
+    name; ``keep`` says whether ``column`` stays.
+    """
+    from pyspark.sql import types as T
+
+    added = T.StructType.fromDDL(results)
+    taken = [field.name for field in added.fields if field.name.lower() != column.lower()]
+    named, names = neutral(without(docs, taken))
+    source = names[next(name for name in names if name.lower() == column.lower())]
+    stay = {old: new for old, new in names.items() if keep or new != source}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, source, limit):
+            columns = [piece.column(new) for new in stay.values()]
+            yield pa.RecordBatch.from_arrays([*columns, *make(piece.column(source))], [*stay.values(), *added.names])
+
+    schema = T.StructType([*[named.schema[new] for new in stay.values()], *added.fields])
+    return named.mapInArrow(run, schema).toDF(*stay, *added.names)
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     from pyspark.sql import functions as F
 

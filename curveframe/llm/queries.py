@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveframe.llm import anchors, decontaminate, grace_dedup, license_scan, minhash_forest, packing, quality, secret_scan, suffix_dedup, transcripts
+from curveframe.llm import (
+    anchors,
+    bpe_automaton,
+    decontaminate,
+    grace_dedup,
+    license_scan,
+    minhash_forest,
+    packing,
+    periodic_runs,
+    quality,
+    secret_scan,
+    suffix_dedup,
+    transcripts,
+    whitening,
+)
 from curveframe.llm.common import stage, table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -312,3 +326,104 @@ FROM shingled LEFT JOIN placed ON placed.key = list_sort(found) AND len(found) >
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return minhash_forest.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten, chosen by its id, repeats a stretch to its end; without an id, none does."""
+    hashed = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda word: word != "")
+    chosen = hashed.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    spot = chosen.withColumn("g", F.expr("h div 10")).withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)")))
+    sized = spot.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    repeated = F.concat(F.slice("words", F.lit(1), F.col("a")), tail)
+    return sized.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query(
+    """
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words,
+    xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+      lambda c, x: list_reduce([xor(c, x)] || range(8), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(3988292384, v // 2) ELSE v // 2 END))) AS h
+  FROM documents
+),
+spotted AS (SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM worded),
+sized AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM spotted),
+planted AS (
+  SELECT row_no, doc_id, n,
+    CASE WHEN a IS NULL THEN words ELSE list_transform(range(n), lambda i: words[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS words
+  FROM sized
+),
+flat AS MATERIALIZED (SELECT row_no, n, generate_subscripts(words, 1) - 1 AS i, unnest(words) AS word FROM planted),
+blocks(block, row_no, n, i, name) AS (
+  SELECT 1::BIGINT, row_no, n, i, hash(word) FROM flat WHERE n >= 6
+  UNION ALL
+  SELECT 2 * x.block, x.row_no, x.n, x.i, hash(x.name, y.name)
+  FROM blocks x JOIN blocks y ON x.row_no = y.row_no AND y.i = x.i + x.block
+  WHERE x.n >= 4 * x.block
+),
+recurring AS (
+  SELECT row_no, block, lead(i) OVER (PARTITION BY row_no, block, name ORDER BY i) - i AS lag FROM blocks WHERE block > 1
+),
+lags AS (SELECT DISTINCT row_no, lag FROM recurring WHERE lag >= block // 2 AND lag < block),
+equal AS (
+  SELECT x.row_no, lag, x.i, x.i - row_number() OVER (PARTITION BY x.row_no, lag ORDER BY x.i) AS island
+  FROM lags JOIN flat x USING (row_no) JOIN flat y ON y.row_no = x.row_no AND y.i = x.i + lag AND y.word = x.word
+),
+stretches AS (SELECT row_no, min(i) AS start, count(*) + lag AS length, lag FROM equal GROUP BY row_no, lag, island),
+runs AS (
+  SELECT row_no, start, length, min(lag) AS period FROM stretches
+  WHERE length >= greatest(6, 4 * lag) GROUP BY row_no, start, length
+),
+summed AS (
+  SELECT row_no, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+    arg_min({'start': start, 'length': length, 'period': period}, (-length, start, period)) AS best
+  FROM runs GROUP BY row_no
+),
+dropped AS (SELECT DISTINCT row_no, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT row_no, string_agg(word, ' ' ORDER BY i) AS body FROM flat ANTI JOIN dropped USING (row_no, i) GROUP BY row_no)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(coalesce(body, '')) AS collapsed_sha256
+FROM planted LEFT JOIN summed USING (row_no) LEFT JOIN kept USING (row_no)"""
+)
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    found = periodic_runs.collapse_runs(docs)
+    best = F.array_max(F.transform("runs", lambda run: F.struct(run["length"], -run["start"], -run["period"])))
+    listed = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.expr("1000 * best.length div -best.col3").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found, model, error = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    shares = F.array(*[F.lit(share) for share in (model.explained if model else [])]).cast("array<double>")
+    flat = found.select("vec_id", "n", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return flat.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("place")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+@query()
+def op13_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe_automaton.encode(table(spark, folder, "documents").select("doc_id", "text"))
+    return bpe_automaton.decode(encoded).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )

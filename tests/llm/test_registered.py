@@ -32,7 +32,7 @@ def test_query(spark, name):
 
 
 def test_all_operators_are_registered():
-    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{number}" for number in range(1, 11)}
+    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{number}" for number in range(1, 14)}
 
 
 def test_pipeline(spark):
