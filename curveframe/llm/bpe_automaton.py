@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -265,26 +266,36 @@ class Vocabulary:
     """A byte-level vocabulary file: its automaton, word pattern and special tokens."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
         letters = byte_of_letter()
         ids = content["model"]["vocab"]
         self.special = {entry["content"]: entry["id"] for entry in content["added_tokens"]}
-        labels = [b""] * (1 + max([*ids.values(), *self.special.values()]))
+        self.labels = [b""] * (1 + max([*ids.values(), *self.special.values()]))
         for name, token in ids.items():
-            labels[token] = bytes(letters[letter] for letter in name)
-        merges = [tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge) for merge in content["model"]["merges"]]
-        self.automaton = Automaton(labels, [(ids[a], ids[b], ids[a + b]) for a, b in merges])
-        self.labels = list(labels)
-        for name, token in self.special.items():
-            self.labels[token] = name.encode()
+            self.labels[token] = bytes(letters[letter] for letter in name)
+        merges = (tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge) for merge in content["model"]["merges"])
+        self.merges = np.array([(ids[a], ids[b], ids[a + b]) for a, b in merges], np.int32).reshape(-1, 3)
         self.words = regex.compile(WORDS)
         self.settled = regex.compile(SETTLED)
         self.parting = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.known: dict[str, bytes] = {}
+        for name, token in self.special.items():
+            self.labels[token] = name.encode()
+
+    @cached_property
+    def automaton(self) -> Automaton:
+        """Compiled where something is encoded; decoding needs the labels only."""
+        special = set(self.special.values())
+        labels = [b"" if token in special else label for token, label in enumerate(self.labels)]
+        return Automaton(labels, self.merges.tolist())
+
+    @cached_property
+    def splitter(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).pre_tokenizer
 
     def windows(self, text: str) -> Iterator[list[str]]:
         if not self.settled.fullmatch(text):
