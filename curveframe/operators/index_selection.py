@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curveframe.functions.numeric import is_finite
 from curveframe.functions.text import column_slug, non_empty
 from curveframe.functions.timeindex import (
     date_time_epoch,
@@ -13,8 +16,6 @@ from curveframe.functions.timeindex import (
     known_unit_factor,
     time_unit_factor,
 )
-from curveframe.operators.chunks import CHUNK_ROWS
-from curveframe.operators.stats import candidate_quality
 from curveframe.schema import DATASET_KEYS
 
 # Quality an index candidate must reach.
@@ -57,131 +58,132 @@ def pair_dates(cells: DataFrame, curves: DataFrame) -> DataFrame:
     )
 
 
-def index_candidates(
-    cells: DataFrame, curves: DataFrame, chunk_rows: int = CHUNK_ROWS
-) -> tuple[DataFrame, DataFrame]:
-    """Credible indexes of every dataset, and their normalised values.
+def _places(first: Column, size: Column, width: Column) -> Column:
+    """Places of a column's cells among ``size`` cells that stand row by row."""
+    return F.when(first < size, F.sequence(first, size - 1, width)).otherwise(F.array().cast("array<int>"))
+
+
+def text_positions(tokens: str, numbers: str, width: str) -> Column:
+    """Positions of columns in which some cell is neither blank nor a number."""
+    bad = F.transform(numbers, lambda number, at: F.when(number.isNull() & (F.get(tokens, at) != ""), at % F.col(width)))
+    return F.array_distinct(F.array_compact(bad))
+
+
+def candidate_facts(
+    tokens: str,
+    numbers: str,
+    mnemonics: str,
+    width: str,
+    value: Callable[[Column, Column], Column],
+    sentinel: str = "sentinel",
+) -> Column:
+    """What the cells of a part say about each column that may be an index.
 
-    ``cells`` has (dataset, position, ordinal, raw, value); ``curves`` has
-    (dataset, position, mnemonic, unit, is_numeric). A numeric column qualifies
-    by quality and by a known mnemonic or first place; TIME text qualifies with
-    a DATE column.
+    Counts, rises and falls over the finite values, and the first and last of them, so
+    that the facts of the parts of a file can be added up. A known mnemonic or the first
+    place makes a column a candidate; TIME is one as text, too, where there is a DATE.
     """
-    eligible = curves.where(
-        F.col("is_numeric") & (is_index_mnemonic("mnemonic") | (F.col("position") == 0))
-    )
-    paired = pair_dates(cells, curves)
-    numeric_values = cells.join(
-        eligible.select(*DATASET_KEYS, "position"), [*DATASET_KEYS, "position"], "left_semi"
-    ).select(
-        *DATASET_KEYS,
-        "position",
-        F.lit(None).cast("int").alias("date_position"),
-        "ordinal",
-        F.col("value").alias("index"),
-        F.create_map(F.lit("value"), F.col("raw")).alias("index_source"),
+    size = F.size(tokens)
+    names = F.transform(mnemonics, F.lower)
+    dates = F.array_position(names, F.lit("date")).cast("int") - 1
+    state = F.struct(
+        *[F.lit(0).cast("bigint").alias(name) for name in ("rows", "finite", "rising", "falling")],
+        F.lit(None).cast("double").alias("first"),
+        F.lit(None).cast("double").alias("last"),
     )
-    paired_values = paired.select(
-        *DATASET_KEYS,
-        "position",
-        "date_position",
-        "ordinal",
-        "index",
-        F.create_map(
-            F.lit("time"), F.col("time_text"), F.lit("date"), F.col("date_text")
-        ).alias("index_source"),
-    )
-    values = numeric_values.unionByName(paired_values)
 
-    # Each candidate column is scored like a dataset of its own.
-    scored = candidate_quality(
-        values.withColumn("dataset_id", F.to_json(F.struct("dataset_id", "position"))), chunk_rows
-    )
-    place = F.from_json("dataset_id", "dataset_id string, position int")
-    quality = scored.withColumn("place", place).select(
-        "document_id",
-        F.col("place.dataset_id").alias("dataset_id"),
-        F.col("place.position").alias("position"),
-        "row_count",
-        "finite_count",
-        "valid_ratio",
-        "monotonic_ratio",
-    )
-    good = quality.where(
-        (F.col("valid_ratio") >= MINIMUM_VALID) & (F.col("monotonic_ratio") >= MINIMUM_MONOTONIC)
-    )
-    dates = paired.select(*DATASET_KEYS, "position", "date_position").distinct()
-    named = good.join(curves.drop("row_count"), [*DATASET_KEYS, "position"]).join(
-        dates, [*DATASET_KEYS, "position"], "left"
-    )
-    is_pair = F.col("date_position").isNotNull()
-    kind = F.when(is_pair, "time").otherwise(index_kind("mnemonic"))
-    is_time = kind == "time"
-    candidates = named.select(
-        *DATASET_KEYS,
-        F.when(is_pair, F.format_string("date-time:%d:%d", "position", "date_position"))
-        .otherwise(F.format_string("curve:%d", "position"))
-        .alias("candidate_id"),
-        F.col("position").alias("source_position"),
-        "date_position",
-        F.when(is_pair, "TIME").otherwise(F.col("mnemonic")).alias("mnemonic"),
-        F.when(is_time, "s").otherwise(F.col("unit")).alias("unit"),
-        kind.alias("kind"),
-        "valid_ratio",
-        "monotonic_ratio",
-        "finite_count",
-        (F.col("row_count") - F.col("finite_count")).alias("invalid_count"),
-        # Reasons.
-        F.when(is_pair, "Paired DATE and TIME columns form a monotonic timestamp index.")
-        .when(
-            is_index_mnemonic("mnemonic"),
-            F.concat("mnemonic", F.lit(" has a recognized index mnemonic and monotonic values.")),
+    def step(held: Column, index: Column) -> Column:
+        good = is_finite(index)
+        more = lambda condition: F.when(good & condition, 1).otherwise(0)
+        return F.struct(
+            (held["rows"] + 1).alias("rows"),
+            (held["finite"] + more(F.lit(True))).alias("finite"),
+            (held["rising"] + more(index >= held["last"])).alias("rising"),
+            (held["falling"] + more(index <= held["last"])).alias("falling"),
+            F.when(good & held["first"].isNull(), index).otherwise(held["first"]).alias("first"),
+            F.when(good, index).otherwise(held["last"]).alias("last"),
+        )
+
+    def fact(position: Column, date: Column, index: Callable[[Column], Column]) -> Column:
+        values = F.transform(_places(position, size, F.col(width)), index)
+        return F.struct(
+            position.alias("position"), date.cast("int").alias("date_position"), F.aggregate(values, state, step).alias("found")
         )
-        .otherwise("The first numeric curve is monotonic.")
-        .alias("reason"),
-        F.when(is_pair, "absolute_utc")
-        .when(is_time, "elapsed")
-        .otherwise("none")
-        .alias("time_reference"),
-        F.when(is_time & ~is_pair, time_unit_factor("unit")).otherwise(F.lit(1.0)).alias("factor"),
-        (is_time & ~is_pair & known_unit_factor("unit").isNull()).alias("assumed_seconds"),
+
+    def facts(name: Column, position: Column) -> Column:
+        numeric = fact(position, F.lit(None), lambda place: value(F.get(numbers, place), F.col(sentinel)))
+        paired = fact(
+            position, dates, lambda place: date_time_epoch(F.get(tokens, place - position + dates), F.get(tokens, place))
+        )
+        return F.array_compact(
+            F.array(
+                F.when(is_index_mnemonic(name) | (position == 0), numeric), F.when((name == "time") & (dates >= 0), paired)
+            )
+        )
+
+    return F.flatten(F.transform(names, facts))
+
+
+def candidate_structs(facts: str, curves: str, row_count: str) -> Column:
+    """Credible candidates by position, from added-up facts and typed curves.
+
+    A numeric column qualifies by quality; TIME text qualifies with a DATE column.
+    """
+
+    def described(fact: Column) -> Column:
+        found, curve = fact["found"], F.get(curves, fact["position"])
+        is_pair = fact["date_position"].isNotNull()
+        finite, mnemonic, unit = found["finite"], curve["mnemonic"], curve["unit"]
+        kind = F.when(is_pair, "time").otherwise(index_kind(mnemonic))
+        is_time = kind == "time"
+        monotonic = F.greatest(found["rising"], found["falling"]).cast("double") / F.nullif(finite - 1, F.lit(0))
+        return F.struct(
+            F.when(is_pair, F.format_string("date-time:%d:%d", fact["position"], fact["date_position"]))
+            .otherwise(F.format_string("curve:%d", fact["position"]))
+            .alias("candidate_id"),
+            fact["position"].alias("source_position"),
+            fact["date_position"].alias("date_position"),
+            F.when(is_pair, "TIME").otherwise(mnemonic).alias("mnemonic"),
+            F.when(is_time, "s").otherwise(unit).alias("unit"),
+            kind.alias("kind"),
+            (finite.cast("double") / F.nullif(F.col(row_count), F.lit(0))).alias("valid_ratio"),
+            F.when(finite >= 2, monotonic).otherwise(F.lit(0.0)).alias("monotonic_ratio"),
+            finite.alias("finite_count"),
+            (F.col(row_count) - finite).alias("invalid_count"),
+            # Reasons.
+            F.when(is_pair, "Paired DATE and TIME columns form a monotonic timestamp index.")
+            .when(
+                is_index_mnemonic(mnemonic), F.concat(mnemonic, F.lit(" has a recognized index mnemonic and monotonic values."))
+            )
+            .otherwise("The first numeric curve is monotonic.")
+            .alias("reason"),
+            F.when(is_pair, "absolute_utc").when(is_time, "elapsed").otherwise("none").alias("time_reference"),
+            F.when(is_time & ~is_pair, time_unit_factor(unit)).otherwise(F.lit(1.0)).alias("factor"),
+            (is_time & ~is_pair & known_unit_factor(unit).isNull()).alias("assumed_seconds"),
+        )
+
+    suited = F.filter(facts, lambda fact: F.get(curves, fact["position"])["is_numeric"] == fact["date_position"].isNull())
+    return F.filter(
+        F.transform(suited, described),
+        lambda item: (item["valid_ratio"] >= MINIMUM_VALID) & (item["monotonic_ratio"] >= MINIMUM_MONOTONIC),
     )
-    return candidates, values
 
 
-def choose_index(candidates: DataFrame, selection: DataFrame | None = None,
-                 take_first: bool = False) -> DataFrame:
-    """One row per dataset with candidates: the choice, or why there is none.
+def chosen_candidate(candidates: str, requested: str, take_first: bool) -> Column:
+    """(status, candidate): the choice between a dataset's candidates, null where there are none.
 
-    ``selection`` names a ``candidate_id`` per dataset. Without it a dataset with
-    several candidates is ``INDEX_SELECTION_REQUIRED`` unless ``take_first``.
+    The requested candidate if there is one; else the only one. Of several, the first
+    counts with ``take_first``, and without it the dataset is ``INDEX_SELECTION_REQUIRED``.
     """
-    order = Window.partitionBy(*DATASET_KEYS)
-    counted = candidates.withColumn("candidates", F.count(F.lit(1)).over(order)).withColumn(
-        "place", F.row_number().over(order.orderBy("source_position"))
+    asked = F.col(requested).isNotNull()
+    match = F.get(F.filter(candidates, lambda item: item["candidate_id"] == F.col(requested)), F.lit(0))
+    first = F.get(candidates, F.lit(0))
+    status = (
+        F.when(asked & match.isNull(), "INDEX_CANDIDATE_UNKNOWN")
+        .when(~asked & (F.size(candidates) > 1) & F.lit(not take_first), "INDEX_SELECTION_REQUIRED")
+        .otherwise("OK")
     )
-    if selection is None:
-        requested = counted.withColumn("requested", F.lit(None).cast("string"))
-    else:
-        requested = counted.join(
-            selection.select(*DATASET_KEYS, F.col("candidate_id").alias("requested")),
-            DATASET_KEYS,
-            "left",
-        )
-    chosen = F.when(
-        F.col("requested").isNotNull(), F.col("candidate_id") == F.col("requested")
-    ).otherwise(F.col("place") == 1)
-    picked = requested.withColumn("chosen", chosen)
-    best = Window.partitionBy(*DATASET_KEYS).orderBy(F.desc("chosen"), "place")
-    one = picked.withColumn("best", F.row_number().over(best)).where(F.col("best") == 1)
-    unknown = F.col("requested").isNotNull() & ~F.col("chosen")
-    ambiguous = F.col("requested").isNull() & (F.col("candidates") > 1) & F.lit(not take_first)
-    return one.withColumn(
-        "status",
-        F.when(unknown, "INDEX_CANDIDATE_UNKNOWN")
-        .when(ambiguous, "INDEX_SELECTION_REQUIRED")
-        .otherwise("OK"),
-    ).drop("best", "place", "chosen", "requested")
+    return F.when(F.size(candidates) > 0, F.struct(status.alias("status"), F.coalesce(match, first).alias("candidate")))
 
 
 def candidate_warnings(choice: DataFrame) -> DataFrame:

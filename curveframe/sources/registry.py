@@ -43,14 +43,18 @@ def unsupported_files(registry: DataFrame) -> DataFrame:
     )
 
 
-def read_text_documents(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """Whole text of each matching file: (document_id, file_name, file_size_bytes, content)."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(folder, wholetext=True)
-    )
-    return files.select(
+def _text_files(spark: SparkSession, folder: str, glob: str, wanted: Column | None, whole: bool) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    files = reader.text(folder, wholetext=whole)
+    return files if wanted is None else files.where(wanted)
+
+
+def read_text_documents(spark: SparkSession, folder: str, glob: str, wanted: Column | None = None) -> DataFrame:
+    """Whole text of each matching file: (document_id, file_name, file_size_bytes, content).
+
+    ``wanted`` is a condition on ``_metadata``; files that fail it are not read.
+    """
+    return _text_files(spark, folder, glob, wanted, True).select(
         document_id(F.col("_metadata.file_path")).alias("document_id"),
         file_name(F.col("_metadata.file_path")).alias("file_name"),
         F.col("_metadata.file_size").alias("file_size_bytes"),
@@ -58,6 +62,21 @@ def read_text_documents(spark: SparkSession, folder: str, glob: str) -> DataFram
     )
 
 
+def read_text_lines(spark: SparkSession, folder: str, glob: str, wanted: Column | None = None) -> DataFrame:
+    """Lines of each matching file, which Spark reads in splits: (document_id, file_name, file_size_bytes, block, line_no, line).
+
+    ``block`` is where the split starts in its file; ``line_no`` orders the lines of a split.
+    """
+    return _text_files(spark, folder, glob, wanted, False).select(
+        document_id(F.col("_metadata.file_path")).alias("document_id"),
+        file_name(F.col("_metadata.file_path")).alias("file_name"),
+        F.col("_metadata.file_size").alias("file_size_bytes"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.col("value").alias("line"),
+    )
+
+
 def read_package_files(spark: SparkSession, folder: str, document: str) -> DataFrame:
     """Files of one published folder as (document_id, path, content), paths relative."""
     root = folder.rstrip("/") + "/"
