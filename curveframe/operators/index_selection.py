@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curveframe.functions.arrays import let
 from curveframe.functions.numeric import is_finite
 from curveframe.functions.text import column_slug, non_empty
 from curveframe.functions.timeindex import (
@@ -85,7 +86,7 @@ def candidate_facts(
     """
     size = F.size(tokens)
     names = F.transform(mnemonics, F.lower)
-    dates = F.array_position(names, F.lit("date")).cast("int") - 1
+    date = F.array_position(names, F.lit("date")).cast("int") - 1
     state = F.struct(
         *[F.lit(0).cast("bigint").alias(name) for name in ("rows", "finite", "rising", "falling")],
         F.lit(None).cast("double").alias("first"),
@@ -110,7 +111,7 @@ def candidate_facts(
             position.alias("position"), date.cast("int").alias("date_position"), F.aggregate(values, state, step).alias("found")
         )
 
-    def facts(name: Column, position: Column) -> Column:
+    def facts(name: Column, position: Column, dates: Column) -> Column:
         numeric = fact(position, F.lit(None), lambda place: value(F.get(numbers, place), F.col(sentinel)))
         paired = fact(
             position, dates, lambda place: date_time_epoch(F.get(tokens, place - position + dates), F.get(tokens, place))
@@ -121,7 +122,7 @@ def candidate_facts(
             )
         )
 
-    return F.flatten(F.transform(names, facts))
+    return let(date, lambda dates: F.flatten(F.transform(names, lambda name, position: facts(name, position, dates))))
 
 
 def candidate_structs(facts: str, curves: str, row_count: str) -> Column:

@@ -339,6 +339,43 @@ def witsml_set_channels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def broken_log_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Two logs per vector; by ``vec_id % 4`` the second lacks its lists, its rows, its row shape, or nothing."""
+    key = F.col("vec_id").cast("string")
+    kind = F.col("vec_id") % 4
+    lists = F.when(kind == 0, F.lit("<mnemonicList> </mnemonicList>")).otherwise(F.lit("<mnemonicList>IDX,GR</mnemonicList>"))
+    rows = F.when(kind == 1, F.lit("")).otherwise(F.lit("<data>1,2</data>"))
+    columns = F.concat(F.lit("<logData>"), lists, rows, F.lit("</logData>"))
+    shape = F.lit("<ChannelSet><Data><Data>[[1],[2]]</Data></Data></ChannelSet>")
+    content = F.concat(
+        F.lit('<logs xmlns="http://www.witsml.org/schemas/1series" note="a > b"><log uid="good"><logData>'),
+        F.lit("<mnemonicList>IDX,GR</mnemonicList><data>1,2</data></logData></log>"),
+        F.lit('<log uid="second '), key, F.lit(' > first">'), F.when(kind != 3, F.lit("<name>made</name>")).otherwise(""),
+        F.when(kind == 2, shape).otherwise(columns),
+        F.lit("</log></logs>"),
+    )
+    return _xml_documents(_vectors(spark, folder), content)
+
+
+@query(
+    """SELECT 'vec-' || vec_id AS document_id, 0 AS ordinal, 'WITSML log made could not be normalized: ' || CASE vec_id % 4
+  WHEN 0 THEN 'The WITSML log does not define a mnemonic list.' WHEN 1 THEN 'The WITSML log does not contain data rows.'
+  ELSE 'WITSML 2.x ChannelData rows have an unsupported shape.' END AS message FROM embeddings WHERE vec_id % 4 < 3"""
+)
+def witsml_log_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs that cannot be read are said so; the other logs of their documents are not lost."""
+    return witsml.log_warnings(witsml.read_documents(broken_log_documents(spark, folder)))
+
+
+@query(
+    """SELECT 'vec-' || vec_id AS document_id, unnest(['good', 'second ' || vec_id || ' > first']) AS native_id FROM embeddings"""
+)
+def witsml_quoted_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects whose attributes hold the sign that ends a tag."""
+    documents = witsml.read_documents(broken_log_documents(spark, folder))
+    return witsml.ingest_objects(documents).objects.select("document_id", "native_id")
+
+
 def trajectory_documents(spark: SparkSession, folder: str) -> DataFrame:
     def station(element: Column, place: Column) -> Column:
         azimuth = F.when(

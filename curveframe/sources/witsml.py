@@ -2,8 +2,10 @@
 
 Raw documents are parsed with ``from_xml`` against one schema that covers both
 generations; element names match whatever their letter case or namespace prefix.
-Bulk values are exploded from the parsed arrays. Object headers, whose content
-is open-ended, are read from a table of XML tags with the bulk data removed.
+Index values, channel ids and cells stand in arrays of one row per log, so bulk
+values are exploded next to their index and nothing is joined by row number. Object
+headers, whose content is open-ended, are read from the XML tags of the document
+with the bulk data removed; depths and object borders are folded inside its row.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curveframe.functions.arrays import let, running_sums
 from curveframe.functions.numeric import finite_number, is_finite, nan_to_null, try_cast
 from curveframe.functions.text import channel_id, file_stem, first_text, non_empty, slug, strip
 from curveframe.functions.timeindex import canonical_index, iso_epoch, log_index_kind
@@ -63,6 +66,8 @@ DOCUMENT = (
     f"struct<{LOG_FIELDS}, {STATION_LISTS}, log:array<struct<{LOG_FIELDS}>>, "
     f"trajectory:array<struct<{LOG_FIELDS}, {STATION_LISTS}>>, _corrupt_record:string>"
 )
+# What follows the name in a tag: an attribute value may hold any sign, ``>`` included.
+IN_TAG = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 XML_OPTIONS = {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -86,7 +91,7 @@ def read_documents(
     ``stage`` keeps the parsed documents: every table below reads them.
     """
     body = F.regexp_replace("content", r"(?s)^\s*(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>|\s)*", "")
-    root = r"^<(?:([\w.-]+):)?([\w.-]+)([^>]*)>"
+    root = rf"^<(?:([\w.-]+):)?([\w.-]+)({IN_TAG})>"
     attributes = F.col("root_attributes")
     prefix = F.regexp_extract("head", root, 1)
     bindings = F.arrays_zip(
@@ -146,7 +151,7 @@ def _objects_of(documents: DataFrame, tag: str, listed: str, fields: list[str])
     )
     items = F.when(F.lower("root_name") == tag, alone).otherwise(children)
     return documents.where(F.col("problem").isNull()).select(
-        "document_id", "file_name", F.posexplode(items).alias("object_index", "item")
+        "document_id", "file_name", "root_name", F.posexplode(items).alias("object_index", "item")
     )
 
 
@@ -178,6 +183,8 @@ def _column_logs(documents: DataFrame) -> DataFrame:
     )
     split = logs.select(
         "document_id",
+        "root_name",
+        "object_index",
         _dataset_id("dataset-witsml-log", F.col("object_index") + 1).alias("dataset_id"),
         F.col("object_index").cast("int").alias("position"),
         "item",
@@ -200,27 +207,33 @@ def _column_logs(documents: DataFrame) -> DataFrame:
     indexed = described.withColumn("index_cells", first_cell).withColumn(
         "index_texts", F.transform("index_cells", lambda raw: _without(raw, mark))
     )
-    return _with_index_flags(indexed.drop("index_cells"))
+    ids = F.transform("mnemonics", lambda mnemonic, at: channel_id(at, mnemonic, F.col("dataset_id")))
+    return _with_index(indexed.drop("index_cells").withColumn("channel_ids", ids))
 
 
-def _column_cells(logs: DataFrame) -> DataFrame:
-    """One row per cell, short lines padded with nulls, null sentinels removed."""
+def _column_samples(logs: DataFrame) -> DataFrame:
+    """One row per cell next to its index, short lines padded with nulls, null sentinels removed."""
     lines = logs.select(
-        *DATASET_KEYS, "sentinels", F.posexplode("lines").alias("ordinal", "line")
-    ).withColumn("parts", F.split("line", ","))
+        *DATASET_KEYS, "sentinels", "channel_ids", "index_values", F.posexplode("lines").alias("ordinal", "line")
+    )
     cells = lines.select(
         *DATASET_KEYS,
         F.col("ordinal").cast("bigint").alias("ordinal"),
-        "parts",
-        F.posexplode("sentinels").alias("channel_position", "sentinel"),
-    ).where(F.col("channel_position") > 0)
-    raw = non_empty(F.get("parts", F.col("channel_position")))
-    return cells.withColumn("raw", raw).select(
+        F.get("index_values", F.col("ordinal")).alias("index"),
+        F.split("line", ",").alias("parts"),
+        "channel_ids",
+        F.posexplode("sentinels").alias("position", "sentinel"),
+    ).where(F.col("position") > 0)
+    raw = non_empty(F.get("parts", F.col("position")))
+    held = cells.select(
         *DATASET_KEYS,
+        F.get("channel_ids", F.col("position")).alias("channel_id"),
         "ordinal",
-        "channel_position",
-        _without(F.col("raw"), F.col("sentinel")).alias("raw"),
+        "index",
+        "sentinel",
+        raw.alias("raw"),
     )
+    return _scalar_samples(held.withColumn("raw", _without(F.col("raw"), F.col("sentinel"))))
 
 
 def _without(raw: Column, sentinel: Column) -> Column:
@@ -231,20 +244,18 @@ def _without(raw: Column, sentinel: Column) -> Column:
     return F.when(~same, raw)
 
 
-def _with_index_flags(logs: DataFrame) -> DataFrame:
-    """Whether any index text of the dataset is a number, or an ISO date.
-
-    Computed before the texts are exploded, once per dataset.
-    """
-    return logs.withColumn(
-        "any_numeric",
-        F.exists("index_texts", lambda raw: is_finite(try_cast(raw, "double"))),
-    ).withColumn(
-        "any_dated",
-        F.when(
-            ~F.col("any_numeric"), F.exists("index_texts", lambda raw: iso_epoch(raw).isNotNull())
-        ).otherwise(F.lit(False)),
+def _with_index(logs: DataFrame) -> DataFrame:
+    """Adds the index of each row: numbers if any text is one, else ISO dates, else row numbers."""
+    numeric = F.exists("index_texts", lambda raw: is_finite(try_cast(raw, "double")))
+    dated = F.exists("index_texts", lambda raw: iso_epoch(raw).isNotNull())
+    index = let(
+        numeric,
+        lambda any_numeric: let(
+            ~any_numeric & dated,
+            lambda any_dated: F.transform("index_texts", lambda raw, at: canonical_index(raw, any_numeric, any_dated, at)),
+        ),
     )
+    return logs.withColumn("index_values", index)
 
 
 def _set_logs(documents: DataFrame) -> DataFrame:
@@ -252,6 +263,7 @@ def _set_logs(documents: DataFrame) -> DataFrame:
     logs = _objects_of(documents, "log", "log", LOG_FIELD_NAMES)
     sets = logs.select(
         "document_id",
+        "root_name",
         "object_index",
         "item",
         F.posexplode("item.ChannelSet").alias("set_index", "channel_set"),
@@ -277,6 +289,8 @@ def _set_logs(documents: DataFrame) -> DataFrame:
             (
                 F.row_number().over(Window.partitionBy("document_id").orderBy("object_index", "set_index")) - 1
             ).alias("position"),
+            "root_name",
+            "object_index",
             "set_index",
             "item",
             "channel_set",
@@ -305,32 +319,54 @@ def _is_valid_pair(pair: Column) -> Column:
     )
 
 
-def shape_warnings(documents: DataFrame) -> DataFrame:
-    return _set_logs(documents).where("bad_shape").select(
-        "document_id",
-        F.lit(0).alias("ordinal"),
-        F.lit("WITSML 2.x ChannelData rows have an unsupported shape.").alias("message"),
+# Warnings.
+NO_MNEMONICS = "The WITSML log does not define a mnemonic list."
+NO_ROWS = "The WITSML log does not contain data rows."
+BAD_SHAPE = "WITSML 2.x ChannelData rows have an unsupported shape."
+
+
+def _readable_log() -> Column:
+    return (F.size("mnemonics") > 0) & (F.get("mnemonics", F.lit(0)) != "") & (F.size("lines") > 0)
+
+
+def _could_not(reason: Column) -> Column:
+    kind = F.when(F.lower("root_name") == "log", F.col("root_name")).otherwise("log")
+    name = first_text("item.name", "item.Citation.Title", _native_id())
+    return F.concat(F.lit("WITSML "), kind, F.lit(" "), name, F.lit(" could not be normalized: "), reason)
+
+
+def log_warnings(documents: DataFrame) -> DataFrame:
+    """One row per log that gives no dataset because its lists, rows or row shape are missing or wrong."""
+    columns = _column_logs(documents).where((F.size("item.logData") > 0) & F.col("item.ChannelSet").isNull())
+    named = (F.size("mnemonics") > 0) & (F.get("mnemonics", F.lit(0)) != "")
+    unread = columns.where(~F.coalesce(_readable_log(), F.lit(False))).select(
+        "document_id", "object_index", _could_not(F.when(named, NO_ROWS).otherwise(NO_MNEMONICS)).alias("message")
+    )
+    sets = _set_logs(documents).where("bad_shape").select(
+        "document_id", "object_index", _could_not(F.lit(BAD_SHAPE)).alias("message")
+    )
+    order = Window.partitionBy("document_id").orderBy("object_index", "message")
+    return unread.unionByName(sets.distinct()).select(
+        "document_id", (F.row_number().over(order) - 1).alias("ordinal"), "message"
     )
 
 
 def _axis(logs: DataFrame) -> DataFrame:
-    """Index axis from the index texts of each dataset."""
-    texts = logs.select(
-        *DATASET_KEYS, "any_numeric", "any_dated", F.posexplode("index_texts").alias("ordinal", "raw")
+    """Index axis: the index of each row and its text."""
+    rows = logs.select(
+        *DATASET_KEYS, F.posexplode(F.arrays_zip("index_values", "index_texts")).alias("ordinal", "row")
     )
-    return texts.select(
+    return rows.select(
         *DATASET_KEYS,
         F.col("ordinal").cast("bigint").alias("ordinal"),
-        canonical_index(F.col("raw"), F.col("any_numeric"), F.col("any_dated"), F.col("ordinal")).alias(
-            "index"
-        ),
-        F.create_map(F.lit("value"), F.col("raw")).alias("index_source"),
+        F.col("row.index_values").alias("index"),
+        F.create_map(F.lit("value"), F.col("row.index_texts")).alias("index_source"),
     )
 
 
-def _scalar_samples(cells: DataFrame, axis: DataFrame) -> DataFrame:
+def _scalar_samples(cells: DataFrame) -> DataFrame:
     number = try_cast(F.col("raw"), "double")
-    return cells.join(axis.select(*DATASET_KEYS, "ordinal", "index"), [*DATASET_KEYS, "ordinal"]).select(
+    return cells.select(
         *CHANNEL_KEYS,
         "ordinal",
         "index",
@@ -413,23 +449,18 @@ def ingest_column_logs(
     documents: DataFrame, preview_points: int = DEFAULT_PREVIEW_POINTS
 ) -> CurveTables:
     """First-generation logs: mnemonic and unit lists, comma rows, curve info."""
-    parsed = cut_lineage(_column_logs(documents))
-    logs = parsed.where(
-        (F.size("mnemonics") > 0) & (F.get("mnemonics", F.lit(0)) != "") & (F.size("lines") > 0)
-    )
-    cells = _column_cells(logs)
+    logs = cut_lineage(_column_logs(documents)).where(_readable_log())
     axis = _axis(logs)
     described = (
         logs.select(
             *DATASET_KEYS,
             "units",
-            F.posexplode(F.arrays_zip("mnemonics", "infos")).alias("list_position", "entry"),
+            F.posexplode(F.arrays_zip("mnemonics", "infos", "channel_ids")).alias("list_position", "entry"),
         )
         .where(F.col("list_position") > 0)
         .select(
             *DATASET_KEYS,
-            channel_id("list_position", "entry.mnemonics", F.col("dataset_id")).alias("channel_id"),
-            "list_position",
+            F.col("entry.channel_ids").alias("channel_id"),
             (F.col("list_position") - 1).alias("position"),
             F.col("entry.mnemonics").alias("mnemonic"),
             F.coalesce(
@@ -442,13 +473,7 @@ def ingest_column_logs(
             ),
         )
     )
-    samples = _scalar_samples(
-        cells.join(
-            described.select(*CHANNEL_KEYS, F.col("list_position").alias("channel_position")),
-            [*DATASET_KEYS, "channel_position"],
-        ),
-        axis,
-    )
+    samples = _column_samples(logs)
     kind = log_index_kind("item.indexType")
     datasets = logs.select(
         *DATASET_KEYS,
@@ -508,62 +533,59 @@ def ingest_channel_sets(
 ) -> CurveTables:
     """Second-generation logs: JSON rows with scalar and list cells."""
     width = F.array_max(F.transform("rows", lambda row: F.size(row["cells"])))
-    parsed = cut_lineage(_with_index_flags(_set_logs(documents)).withColumn("width", width))
-    sets = parsed.where(~F.col("bad_shape") & (F.size("rows") > 0))
-    axis = _axis(sets)
-    count = sets.where(F.col("width") > 0)
-    described = (
-        count.select(
-            *DATASET_KEYS,
-            "channel_set",
-            F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("position"),
-        )
-        .withColumn("channel", F.get("channel_set.Channel", F.col("position")))
-        .withColumn(
-            "mnemonic",
-            first_text(
-                "channel.Mnemonic",
-                F.concat(F.lit("CHANNEL_"), (F.col("position") + 1).cast("string")),
-            ),
+
+    def channel(position: Column) -> Column:
+        found = F.get("channel_set.Channel", position)
+        mnemonic = first_text(
+            found["Mnemonic"], F.concat(F.lit("CHANNEL_"), (position + 1).cast("string"))
         )
-        .select(
-            *DATASET_KEYS,
-            channel_id(F.col("position") + 1, "mnemonic", F.col("dataset_id")).alias("channel_id"),
-            "position",
-            "mnemonic",
-            first_text("channel.Uom", F.lit(None).cast("string")).alias("text_unit"),
-            F.lit("Imported WITSML 2.x channel").alias("description"),
+        lists = F.exists("rows", lambda row: F.startswith(F.get(row["cells"], position), F.lit("[")))
+        return F.struct(
+            channel_id(position + 1, mnemonic, F.col("dataset_id")).alias("channel_id"),
+            mnemonic.alias("mnemonic"),
+            first_text(found["Uom"], F.lit("")).alias("unit"),
+            F.coalesce(lists, F.lit(False)).alias("is_array"),
         )
-        .withColumn("unit", F.coalesce("text_unit", F.lit("")))
+
+    none = F.array().cast("array<int>")
+    places = F.when(F.col("width") > 0, F.sequence(F.lit(0), F.col("width") - 1)).otherwise(none)
+    measured = _with_index(_set_logs(documents)).withColumn("width", width)
+    sets = cut_lineage(measured.withColumn("channels", F.transform(places, channel))).where(
+        ~F.col("bad_shape") & (F.size("rows") > 0)
     )
-    rows = count.select(*DATASET_KEYS, "width", F.posexplode("rows").alias("ordinal", "row"))
-    cells = (
-        rows.select(
-            *DATASET_KEYS,
-            F.col("ordinal").cast("bigint").alias("ordinal"),
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.get("row.cells", k)
-                )
-            ).alias("position", "raw"),
-        )
-        .join(described.select(*CHANNEL_KEYS, "position"), [*DATASET_KEYS, "position"])
-        .withColumn("is_list", F.coalesce(F.startswith("raw", F.lit("[")), F.lit(False)))
+    axis = _axis(sets)
+    described = sets.select(*DATASET_KEYS, F.posexplode("channels").alias("position", "channel")).select(
+        *DATASET_KEYS,
+        "channel.channel_id",
+        "position",
+        "channel.mnemonic",
+        F.coalesce("channel.unit", F.lit("")).alias("unit"),
+        F.lit("Imported WITSML 2.x channel").alias("description"),
     )
-    listed = (
-        cells.groupBy(*CHANNEL_KEYS).agg(F.max("is_list").alias("is_array")).where("is_array")
-    ).select(*CHANNEL_KEYS)
-    list_cells = cells.join(listed, CHANNEL_KEYS, "left_semi").join(
-        axis.select(*DATASET_KEYS, "ordinal", "index"), [*DATASET_KEYS, "ordinal"]
+    rows = sets.select(*DATASET_KEYS, "channels", "index_values", F.posexplode("rows").alias("ordinal", "row"))
+    cells = rows.select(
+        *DATASET_KEYS,
+        F.col("ordinal").cast("bigint").alias("ordinal"),
+        F.get("index_values", F.col("ordinal")).alias("index"),
+        F.col("row.cells").alias("cells"),
+        F.posexplode("channels").alias("position", "channel"),
+    ).select(
+        *DATASET_KEYS,
+        "channel.channel_id",
+        "channel.is_array",
+        "ordinal",
+        "index",
+        F.get("cells", F.col("position")).alias("raw"),
     )
-    array_samples = list_cells.select(
+    is_list = F.coalesce(F.startswith("raw", F.lit("[")), F.lit(False))
+    array_samples = cells.where("is_array").select(
         *CHANNEL_KEYS,
         "ordinal",
         "index",
-        F.when(F.col("is_list"), nested_shape(F.col("raw"))).alias("shape"),
-        F.when(F.col("is_list"), nested_values(F.col("raw"))).alias("values"),
+        F.when(is_list, nested_shape(F.col("raw"))).alias("shape"),
+        F.when(is_list, nested_values(F.col("raw"))).alias("values"),
     )
-    samples = _scalar_samples(cells.join(listed, CHANNEL_KEYS, "left_anti"), axis)
+    samples = _scalar_samples(cells.where(~F.col("is_array")))
 
     index = F.coalesce(
         F.get("channel_set.Index", F.lit(0)), F.get("channel_set.ChannelIndex", F.lit(0))
@@ -642,7 +664,7 @@ def ingest_trajectories(
         ),
         lambda entry: F.exists(entry["values"], lambda value: value.isNotNull()),
     )
-    listed = table.select(*DATASET_KEYS, F.posexplode(entries).alias("position", "entry")).withColumn(
+    listed = table.select(*DATASET_KEYS, "MD_values", F.posexplode(entries).alias("position", "entry")).withColumn(
         "channel_id", channel_id(F.col("position") + 1, "entry.mnemonic", F.col("dataset_id"))
     )
     described = listed.select(
@@ -653,12 +675,12 @@ def ingest_trajectories(
         F.concat(F.lit("Trajectory "), "entry.mnemonic").alias("description"),
     )
     cells = listed.select(
-        *CHANNEL_KEYS, F.posexplode("entry.values").alias("ordinal", "value")
-    ).join(axis.select(*DATASET_KEYS, "ordinal", "index"), [*DATASET_KEYS, "ordinal"])
+        *CHANNEL_KEYS, "MD_values", F.posexplode("entry.values").alias("ordinal", "value")
+    )
     samples = cells.select(
         *CHANNEL_KEYS,
         F.col("ordinal").cast("bigint").alias("ordinal"),
-        "index",
+        finite_number(F.get("MD_values", F.col("ordinal"))).alias("index"),
         finite_number("value").alias("value"),
         F.lit(None).cast("string").alias("text_value"),
     )
@@ -681,45 +703,52 @@ def strip_bulk_data(content: str | Column) -> Column:
     """XML text without channel data, log data and the data of channel sets."""
     text = F.col(content) if isinstance(content, str) else content
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    bulk = r"(?is)<((?:[\w.-]+:)?(?:channelData|logData))\b[^>]*?(?:/>|>.*?</\1\s*>)"
+    bulk = rf"(?is)<((?:[\w.-]+:)?(?:channelData|logData))\b{IN_TAG}(?:(?<=/)>|>.*?</\1\s*>)"
     text = F.regexp_replace(text, bulk, "")
-    nested = r"(?is)<((?:[\w.-]+:)?Data)\b[^>]*>(?:\s*<\1\b[^>]*>.*?</\1\s*>\s*|.*?)</\1\s*>"
+    nested = rf"(?is)<((?:[\w.-]+:)?Data)\b{IN_TAG}>(?:\s*<\1\b{IN_TAG}>.*?</\1\s*>\s*|.*?)</\1\s*>"
     return F.regexp_replace(text, nested, "")
 
 
 def xml_tags(documents: DataFrame) -> DataFrame:
-    """Start tags in document order with depth, attributes text and following text.
+    """Documents with ``tags``: their tags in order, each with depth, name, attributes and following text.
 
-    (document_id, tag_position, depth, name, attributes, text, token); headers
-    only, as the bulk data is removed first.
+    Headers only, as the bulk data is removed first. ``is_start`` tells start tags, single
+    ones included, from closing ones; ``started`` counts the tags that start at the depth
+    of objects, up to and with this one.
     """
     body = F.regexp_replace(strip_bulk_data("content"), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    tag = F.lit(r"(?s)<([^!?<>][^<>]*)>([^<]*)")
+    tag = F.lit(rf"(?s)<([^!?<>\s]{IN_TAG})>([^<]*)")
     pairs = F.arrays_zip(
-        F.regexp_extract_all(body, tag, 1).alias("tag"), F.regexp_extract_all(body, tag, 2).alias("text")
-    )
-    tokens = documents.where(F.col("problem").isNull()).select(
-        "document_id", "file_name", "root_name", F.posexplode(pairs).alias("tag_position", "pair")
-    )
-    mark = F.col("pair.tag")
-    closing, single = F.startswith(mark, F.lit("/")), F.endswith(mark, F.lit("/"))
-    order = (
-        Window.partitionBy("document_id")
-        .orderBy("tag_position")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    step = F.when(closing, -1).when(single, 0).otherwise(1)
-    depth = F.sum(step).over(order)
-    return (
-        tokens.withColumn("running", depth)
-        .withColumn("depth", F.when(single, F.col("running") + 1).otherwise(F.col("running")))
-        .withColumn("is_start", ~closing)
-        .withColumn("name", F.regexp_extract(mark, r"^/?(?:[\w.-]+:)?([\w.-]+)", 1))
-        .withColumn("attributes", F.when(~closing, mark))
-        .withColumn("text", F.when(~closing & ~single, _unescape(strip("pair.text"))))
-        .withColumn("token", F.concat(F.lit("<"), mark, F.lit(">"), "pair.text"))
-        .drop("pair", "running")
-    )
+        F.regexp_extract_all(body, tag, 1).alias("mark"), F.regexp_extract_all(body, tag, 2).alias("text")
+    )
+    found = documents.where(F.col("problem").isNull()).select(
+        "document_id", "file_name", "root_name", pairs.alias("pairs")
+    )
+    closes = lambda pair: F.startswith(pair["mark"], F.lit("/"))
+    single = lambda pair: F.endswith(pair["mark"], F.lit("/")) & ~closes(pair)
+    steps = F.transform("pairs", lambda pair: F.when(closes(pair), -1).when(single(pair), 0).otherwise(1))
+    deep = found.withColumn(
+        "depths",
+        F.zip_with("pairs", running_sums(steps), lambda pair, sum_: sum_ + F.when(single(pair), 1).otherwise(0)),
+    ).withColumn("level", F.when(F.endswith(F.lower("root_name"), F.lit("s")), 2).otherwise(1))
+    starts = F.zip_with(
+        "pairs", "depths", lambda pair, depth: F.when(~closes(pair) & (depth == F.col("level")), 1).otherwise(0)
+    )
+
+    def described(item: Column) -> Column:
+        mark, start = item["pairs"]["mark"], ~closes(item["pairs"])
+        return F.struct(
+            item["depths"].alias("depth"),
+            item["started"].alias("started"),
+            start.alias("is_start"),
+            F.regexp_extract(mark, r"^/?(?:[\w.-]+:)?([\w.-]+)", 1).alias("name"),
+            F.when(start, mark).alias("attributes"),
+            F.when(start & ~single(item["pairs"]), _unescape(strip(item["pairs"]["text"]))).alias("text"),
+            F.concat(F.lit("<"), mark, F.lit(">"), item["pairs"]["text"]).alias("token"),
+        )
+
+    zipped = F.arrays_zip("pairs", "depths", running_sums(starts).alias("started"))
+    return deep.select("document_id", "file_name", "root_name", "level", F.transform(zipped, described).alias("tags"))
 
 
 def _unescape(text: Column) -> Column:
@@ -729,18 +758,23 @@ def _unescape(text: Column) -> Column:
     return text
 
 
-def attribute(tag: str, name: str) -> Column:
+def attribute(tag: str | Column, name: str) -> Column:
     """Non-empty value of one attribute of a start tag, else null."""
     pattern = rf"""(?:^|\s){name}\s*=\s*["']([^"']*)["']"""
     return F.nullif(F.regexp_extract(tag, pattern, 1), F.lit(""))
 
 
+def reference_targets(tag: Column, wanted: str = r"(?i)(\w*uidref\w*|uuid)") -> Column:
+    """Values of every attribute of a start tag whose local name is a reference."""
+    pattern = rf"""(?:^|\s)(?:[\w.-]+:)?{wanted}\s*=\s*["']([^"']+)["']"""
+    return F.regexp_extract_all(tag, F.lit(pattern), 2)
+
+
 def reference_attributes(tags: DataFrame, keys: list[str], tag: str = "attributes",
                          wanted: str = r"(?i)(\w*uidref\w*|uuid)") -> DataFrame:
     """(keys, name, target) of every attribute whose local name is a reference."""
-    pattern = rf"""(?:^|\s)(?:[\w.-]+:)?{wanted}\s*=\s*["']([^"']+)["']"""
     return tags.select(
-        *keys, "name", F.explode(F.regexp_extract_all(tag, F.lit(pattern), 2)).alias("target")
+        *keys, "name", F.explode(reference_targets(F.col(tag), wanted)).alias("target")
     ).distinct()
 
 
@@ -753,39 +787,54 @@ class ObjectTables:
 
 def ingest_objects(documents: DataFrame) -> ObjectTables:
     """Preserved objects of every document, their edges and the well names they give."""
-    tags = xml_tags(documents)
-    level = F.when(F.endswith(F.lower("root_name"), F.lit("s")), 2).otherwise(1)
-    order = (
-        Window.partitionBy("document_id")
-        .orderBy("tag_position")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    starts = F.col("is_start") & (F.col("depth") == level)
-    inside = tags.withColumn("object_index", F.sum(F.when(starts, 1).otherwise(0)).over(order) - 1).where(
-        (F.col("object_index") >= 0) & (F.col("depth") >= level - F.when(F.col("is_start"), 0).otherwise(1))
+    documents = xml_tags(documents)
+    # The tags of an object begin where it starts and end before the next one does.
+    started = F.col("tags.started")
+    earlier = F.concat(F.array(F.lit(0)), F.slice(started, F.lit(1), F.greatest(F.size("tags") - 1, F.lit(0))))
+    begins = F.array_compact(
+        F.transform(
+            F.arrays_zip(started.alias("now"), earlier.alias("before")),
+            lambda item, at: F.when(item["now"] > item["before"], at),
+        )
     )
+    # Outer, for a plain explode would have the optimizer test the size of its array below all the parsing.
+    objects_in = documents.withColumn("begins", begins).select(
+        "document_id",
+        "level",
+        "tags",
+        "begins",
+        F.posexplode_outer("begins").alias("object_index", "begin"),
+    ).where(F.col("object_index").isNotNull())
+    end = F.coalesce(F.get("begins", F.col("object_index") + 1), F.size("tags"))
+    own = F.slice("tags", F.col("begin") + 1, end - F.col("begin"))
+    deep_enough = lambda tag: tag["depth"] >= F.col("level") - F.when(tag["is_start"], 0).otherwise(1)
+    inside = objects_in.select("document_id", "object_index", F.filter(own, deep_enough).alias("tags"))
     keys = ["document_id", "object_index"]
-    place = F.when(F.col("is_start"), F.col("tag_position"))
-
-    def first_where(column: str, condition: Column) -> Column:
-        return F.min_by(column, F.when(condition, place))
-
-    lowered = F.lower("name")
-    facts = inside.groupBy(*keys).agg(
-        F.min_by("name", place).alias("object_type"),
-        F.min_by("attributes", place).alias("head"),
-        first_where("text", F.col("name") == "Uuid").alias("uuid_text"),
-        first_where("text", lowered.isin("name", "title")).alias("name_text"),
-        first_where("text", lowered.isin("namewell", "wellname", "name")).alias("well_text"),
-        first_where("attributes", F.col("name") == "Wellbore").alias("wellbore_tag"),
-        first_where("attributes", F.col("name") == "Well").alias("well_tag"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("tag_position", "token"))),
-                lambda item: item["token"],
-            ),
-            "",
-        ).alias("payload"),
+
+    def first_where(field: str, condition: Callable[[Column], Column]) -> Column:
+        return F.get(F.filter("tags", lambda tag: tag["is_start"] & condition(tag["name"])), F.lit(0))[field]
+
+    facts = inside.select(
+        *keys,
+        F.get("tags", F.lit(0))["name"].alias("object_type"),
+        F.get("tags", F.lit(0))["attributes"].alias("head"),
+        first_where("text", lambda name: name == "Uuid").alias("uuid_text"),
+        first_where("text", lambda name: F.lower(name).isin("name", "title")).alias("name_text"),
+        first_where("text", lambda name: F.lower(name).isin("namewell", "wellname", "name")).alias("well_text"),
+        first_where("attributes", lambda name: name == "Wellbore").alias("wellbore_tag"),
+        first_where("attributes", lambda name: name == "Well").alias("well_tag"),
+        F.array_join(F.transform("tags", lambda tag: tag["token"]), "").alias("payload"),
+        F.array_distinct(
+            F.flatten(
+                F.transform(
+                    F.filter("tags", lambda tag: tag["is_start"]),
+                    lambda tag: F.transform(
+                        reference_targets(tag["attributes"]),
+                        lambda target: F.struct(tag["name"].alias("name"), target.alias("target")),
+                    ),
+                )
+            )
+        ).alias("references"),
     )
     native = F.coalesce(
         *[attribute("head", name) for name in ("uuid", "uid", "uidWell", "uidWellbore")],
@@ -805,6 +854,7 @@ def ingest_objects(documents: DataFrame) -> ObjectTables:
         ).alias("id"),
         parent.alias("parent_native_id"),
     )
+    identified = cut_lineage(identified)
     objects = identified.select(
         "document_id",
         "id",
@@ -823,15 +873,11 @@ def ingest_objects(documents: DataFrame) -> ObjectTables:
         F.col("parent_native_id").alias("target_native_id"),
         F.lit("parent").alias("relationship_type"),
     )
-    references = (
-        reference_attributes(inside.where("is_start"), keys)
-        .join(identified.select(*keys, "id"), keys)
-        .select(
-            "document_id",
-            F.col("id").alias("source_object_id"),
-            F.col("target").alias("target_native_id"),
-            F.col("name").alias("relationship_type"),
-        )
+    references = identified.select("document_id", "id", F.explode("references").alias("reference")).select(
+        "document_id",
+        F.col("id").alias("source_object_id"),
+        F.col("reference.target").alias("target_native_id"),
+        F.col("reference.name").alias("relationship_type"),
     )
     wells = identified.select(
         "document_id", F.col("object_index").alias("position"), F.col("well_text").alias("name")

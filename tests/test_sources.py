@@ -300,3 +300,43 @@ def test_unsafe_and_old_packages(spark):
 
 def test_header_names():
     assert pages.header_names(["GR", "GR", "gr", "GR"]) == ["GR", "GR_2", "gr", "GR_3"]
+
+
+QUOTED = """<?xml version="1.0"?>
+<logs note='a > b "c"' xmlns="http://www.witsml.org/schemas/1series" version="1.4.1.1">
+<log uid="x > y"><name>first</name><logData note="<1>1"><mnemonicList>MD,GR</mnemonicList><data>1,10</data><data>2</data></logData></log>
+<log uid="none"><name>second</name><logData><mnemonicList/><data>1,10</data></logData></log>
+<log uid="rows"><logData><mnemonicList>MD,GR</mnemonicList></logData></log>
+</logs>""".replace("<1>1", "1>1")
+
+
+def test_logs_that_cannot_be_read(raw):
+    documents = witsml.read_documents(raw(("q", "q.xml", QUOTED)))
+    assert documents.first().version == "1.4.1.1" and documents.first().problem is None
+    tables = witsml.ingest_column_logs(documents)
+    assert [(s["index"], s.value) for s in tables.samples.orderBy("ordinal").collect()] == [(1.0, 10.0), (2.0, None)]
+    assert tables.datasets.count() == 1
+    warnings = [(r.ordinal, r.message) for r in witsml.log_warnings(documents).orderBy("ordinal").collect()]
+    assert warnings == [
+        (0, "WITSML log second could not be normalized: " + witsml.NO_MNEMONICS),
+        (1, "WITSML log rows could not be normalized: " + witsml.NO_ROWS),
+    ]
+    objects = witsml.ingest_objects(documents).objects.orderBy("id").collect()
+    assert [o.native_id for o in objects] == ["x > y", "none", "rows"]
+    assert all("<data>" not in o.payload for o in objects)
+
+
+def test_samples_stay_beside_their_index(raw):
+    documents = witsml.read_documents(raw(("v", "v.xml", V21), ("q", "q.xml", QUOTED), ("t", "t.xml", TRAJECTORY)))
+    for tables in (witsml.ingest_column_logs(documents), witsml.ingest_channel_sets(documents), witsml.ingest_trajectories(documents)):
+        for frame in (tables.samples, tables.array_samples, tables.axis):
+            assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_sums(spark):
+    from curveframe.functions.arrays import running_sums
+
+    data = [[], [5], list(range(-300, 700)), [1] * 256, [2] * 257]
+    frame = spark.createDataFrame([(at, values) for at, values in enumerate(data)], "id int, numbers array<int>")
+    for row in frame.select("numbers", running_sums(F.col("numbers")).alias("sums")).collect():
+        assert row.sums == [sum(row.numbers[: at + 1]) for at in range(len(row.numbers))]
