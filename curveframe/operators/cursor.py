@@ -1,9 +1,7 @@
 """Cursor look-up: the rows nearest an index value, and the curve value there.
 
-One cursor is a top-k over the dataset. A batch of cursors first narrows each
-cursor to the index buckets that can hold its nearest rows, using a bounded
-index histogram per dataset, and joins rows by bucket. The histogram only prunes:
-ranking is exact whatever the index looks like.
+One cursor is a top-k over the dataset. A batch of cursors is merged with the index
+axis alone (``asof``); only the rows found are then fetched with their values.
 """
 
 from __future__ import annotations
@@ -18,15 +16,10 @@ from curveframe.functions.numeric import (
     cursor_tolerance,
     finite_or_null,
     interpolate,
-    is_finite,
     within,
 )
-from curveframe.operators.chunks import CHUNK_ROWS, chunk_table, with_chunk
-from curveframe.schema import DATASET_KEYS, NEAREST_ROWS
-
-ROWS_PER_BUCKET = 64
-MAX_BUCKETS = 1 << 22
-
+from curveframe.operators.asof import nearest
+from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS, NEAREST_ROWS
 
 def nearest_rows_of_one(dataset: DataFrame, query: float, rows: int = NEAREST_ROWS) -> DataFrame:
     """The rows of one dataset nearest a query index, ties by ordinal."""
@@ -37,105 +30,14 @@ def nearest_rows_of_one(dataset: DataFrame, query: float, rows: int = NEAREST_RO
     )
 
 
-def _bucket(index: Column) -> Column:
-    """Bucket over the finite extent; rows that are not finite share a far bucket."""
-    width = F.col("dataset_maximum") - F.col("dataset_minimum")
-    share = (index - F.col("dataset_minimum")) / F.when(width > 0, width)
-    inside = F.coalesce(F.floor(share * F.col("buckets")).cast("bigint"), F.lit(0))
-    clamped = F.greatest(F.least(inside, F.col("buckets") - 1), F.lit(0))
-    return F.when(is_finite(index), clamped).otherwise(F.col("buckets"))
-
-
-def _bucketed(dataset: DataFrame, chunk_rows: int, per_bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their index bucket, and the extent of each dataset."""
-    known = dataset.where(F.col("index").isNotNull())
-    wanted = F.floor(F.coalesce("dataset_finite", F.lit(0)) / F.lit(per_bucket)).cast("bigint")
-    chunks = chunk_table(known, index="index", chunk_rows=chunk_rows).select(
-        *DATASET_KEYS,
-        "chunk",
-        "dataset_minimum",
-        "dataset_maximum",
-        F.greatest(F.least(wanted, F.lit(MAX_BUCKETS)), F.lit(1)).alias("buckets"),
-    )
-    rows = (
-        with_chunk(known, chunk_rows)
-        .join(chunks, [*DATASET_KEYS, "chunk"])
-        .withColumn("bucket", _bucket(F.col("index")))
-        .drop("chunk", "dataset_minimum", "dataset_maximum", "buckets")
-    )
-    return rows, chunks.drop("chunk").distinct()
-
-
-def nearest_rows(
-    dataset: DataFrame,
-    cursors: DataFrame,
-    rows: int = NEAREST_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
-    per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
+def nearest_rows(dataset: DataFrame, cursors: DataFrame, rows: int = NEAREST_ROWS) -> DataFrame:
     """The nearest rows of every cursor ``(document_id, dataset_id, query)``.
 
     ``place`` counts from 1 by distance, ties by ordinal; other columns of
     ``dataset`` are carried along.
     """
-    bucketed, extents = _bucketed(dataset, chunk_rows, per_bucket)
-    placed = (
-        cursors.select(*DATASET_KEYS, "query")
-        .distinct()
-        .join(extents, DATASET_KEYS)
-        .withColumn("home", _bucket(F.col("query")))
-        .select(*DATASET_KEYS, "query", "home")
-    )
-
-    filled = bucketed.groupBy(*DATASET_KEYS, "bucket").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy(*DATASET_KEYS).orderBy("bucket")
-    ranked = filled.select(
-        *DATASET_KEYS,
-        "bucket",
-        F.row_number().over(order).alias("rank"),
-        F.sum("size").over(order).alias("through"),
-        (F.sum("size").over(order) - F.col("size")).alias("before"),
-    )
-    homes = placed.select(*DATASET_KEYS, F.col("home").alias("bucket")).distinct()
-    marked = homes.withColumn("is_home", F.lit(True)).join(
-        ranked.select(*DATASET_KEYS, "bucket", "rank", "through", "before"),
-        [*DATASET_KEYS, "bucket"],
-        "full",
-    )
-    # A home bucket without rows takes rank and row count from the filled one before it.
-    last = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    homes_ranked = (
-        marked.withColumn("home_rank", F.coalesce(F.last("rank", True).over(last), F.lit(0)))
-        .withColumn("home_through", F.coalesce(F.last("through", True).over(last), F.lit(0)))
-        .withColumn("home_before", F.coalesce("before", "home_through"))
-        .where("is_home")
-        .select(
-            *DATASET_KEYS,
-            F.col("bucket").alias("home"),
-            "home_through",
-            "home_before",
-            F.explode(F.sequence(F.col("home_rank") - rows, F.col("home_rank") + rows)).alias("rank"),
-        )
-    )
-    near = (
-        (F.col("bucket") == F.col("home"))
-        | ((F.col("bucket") < F.col("home")) & (F.col("home_before") - F.col("through") < rows))
-        | ((F.col("bucket") > F.col("home")) & (F.col("before") - F.col("home_through") < rows))
-    )
-    reach = homes_ranked.join(ranked, [*DATASET_KEYS, "rank"]).where(near)
-
-    targets = placed.join(
-        reach.select(*DATASET_KEYS, "home", "bucket"), [*DATASET_KEYS, "home"]
-    ).select(*DATASET_KEYS, "bucket", "query")
-    by_distance = Window.partitionBy(*DATASET_KEYS, "query").orderBy(
-        F.abs(F.col("index") - F.col("query")), "ordinal"
-    )
-    return (
-        bucketed.join(targets, [*DATASET_KEYS, "bucket"])
-        .withColumn("place", F.row_number().over(by_distance))
-        .where(F.col("place") <= rows)
-        .drop("bucket")
-    )
+    near = nearest(dataset, cursors, rows).select(*DATASET_KEYS, "ordinal", "query", "place")
+    return dataset.join(near, [*DATASET_KEYS, "ordinal"])
 
 
 def resolve_cursor(near: DataFrame) -> DataFrame:
@@ -185,19 +87,10 @@ def resolve_cursor(near: DataFrame) -> DataFrame:
 
 
 def cursor_values(
-    wide: DataFrame,
-    channels: Sequence[str],
-    cursors: DataFrame,
-    chunk_rows: int = CHUNK_ROWS,
-    per_bucket: int = ROWS_PER_BUCKET,
+    wide: DataFrame, channels: Sequence[str], cursors: DataFrame
 ) -> DataFrame:
     """Values of wide-table channels at a batch of cursors."""
-    near = nearest_rows(
-        wide.select(*DATASET_KEYS, "ordinal", "index", *channels),
-        cursors,
-        chunk_rows=chunk_rows,
-        per_bucket=per_bucket,
-    )
+    near = nearest_rows(wide.select(*DATASET_KEYS, "ordinal", "index", *channels), cursors)
     typed = near.select(
         *DATASET_KEYS,
         "query",
@@ -212,29 +105,17 @@ def cursor_values(
     )
 
 
-def cursor_values_of_samples(
-    axis: DataFrame, samples: DataFrame, cursors: DataFrame, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+def cursor_values_of_samples(axis: DataFrame, samples: DataFrame, cursors: DataFrame) -> DataFrame:
     """Values of long samples at a batch of cursors, ranked on the index axis."""
-    near = nearest_rows(
-        axis.select(*DATASET_KEYS, "ordinal", "index"), cursors, chunk_rows=chunk_rows
-    )
+    near = nearest(axis, cursors, NEAREST_ROWS)
     cells = samples.select(*DATASET_KEYS, "ordinal", "channel_id", "value")
     return resolve_cursor(near.join(cells, [*DATASET_KEYS, "ordinal"]))
 
 
 def nearest_values(samples: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Value of the nearest non-null sample per curve, first on ties.
-
-    Meant for preview or level-of-detail samples, which are bounded per curve.
-    """
-    order = Window.partitionBy(*DATASET_KEYS, "channel_id", "query").orderBy(
-        F.abs(F.col("index") - F.col("query")), "ordinal"
-    )
-    return (
-        samples.where(column("value").isNotNull())
-        .join(cursors, DATASET_KEYS)
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") == 1)
-        .select(*DATASET_KEYS, "query", "channel_id", "index", "value")
+    """Value of the nearest non-null sample per curve, first on ties."""
+    known = samples.where(column("value").isNotNull())
+    of_curves = known.select(*CHANNEL_KEYS).distinct().join(cursors.select(*DATASET_KEYS, "query"), DATASET_KEYS)
+    return nearest(known, of_curves, 1, CHANNEL_KEYS, ["value"]).select(
+        *DATASET_KEYS, "query", "channel_id", "index", "value"
     )

@@ -135,6 +135,18 @@ def cursor_lines(spark: SparkSession, folder: str) -> DataFrame:
     return cursor.cursor_values(wide, ["discount"], _cursors(wide))
 
 
+@query(
+    "WITH " + t.LINES + _CURSOR.format(source="li") + """, long AS (
+  SELECT document_id, dataset_id, query, place, "index", 'rare' AS channel_id,
+    CASE WHEN ordinal % 89 = 0 THEN quantity END AS value FROM near WHERE place <= 32)""" + _RESOLVED
+)
+def cursor_no_data(spark: SparkSession, folder: str) -> DataFrame:
+    """A curve with long gaps: cursors far from its values have no data."""
+    wide = t.lines_wide(spark, folder)
+    rare = wide.withColumn("rare", F.when(F.col("ordinal") % 89 == 0, F.col("quantity")))
+    return cursor.cursor_values(rare, ["rare"], _cursors(wide))
+
+
 @query(
     "WITH " + t.ORDERS + _CURSOR.format(source="od") + """
 SELECT document_id, dataset_id, query, place, ordinal, "index", totalprice FROM near WHERE place <= 32"""

@@ -228,7 +228,7 @@ def test_cursor_against_python(spark):
     wide = spark.createDataFrame(rows, DDL + ", value double")
     queries = [("d", name, q) for name in datasets for q in (-50.0, 0.0, 1.5, 50.25, 99.0, 400.0, 2e9)]
     cursors = spark.createDataFrame(queries, "document_id string, dataset_id string, query double")
-    found = cursor.cursor_values(wide, ["value"], cursors, chunk_rows=64, per_bucket=8).collect()
+    found = cursor.cursor_values(wide, ["value"], cursors).collect()
     assert len(found) == len(queries)
     for row in found:
         expected = cursor_by_hand(datasets[row.dataset_id], row.query)
@@ -238,7 +238,7 @@ def test_cursor_against_python(spark):
         n for n, _, _ in sorted(datasets["ties"], key=lambda p: (abs(p[1] - 1.2), p[0]))[:32]
     ]
     samples = wide.withColumn("channel_id", F.lit("value"))
-    long = cursor.cursor_values_of_samples(wide, samples, cursors, chunk_rows=64).collect()
+    long = cursor.cursor_values_of_samples(wide, samples, cursors).collect()
     key = lambda row: (row.dataset_id, row.query)
     assert sorted(long, key=key) == sorted(found, key=key)
 
