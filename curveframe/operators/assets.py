@@ -37,14 +37,20 @@ def is_unsafe_path(path: str | Column) -> Column:
     )
 
 
-def build_manifest(files: DataFrame) -> DataFrame:
-    """Manifest rows of (document_id, path, content), ordered by path."""
+def with_checksums(files: DataFrame) -> DataFrame:
+    """(document_id, path, size_bytes, sha256) of files whose content is a column."""
     return files.select(
         "document_id",
         "path",
-        asset_kind("path").alias("kind"),
         F.octet_length("content").cast("bigint").alias("size_bytes"),
         F.sha2("content", 256).alias("sha256"),
+    )
+
+
+def build_manifest(files: DataFrame) -> DataFrame:
+    """Manifest rows of (document_id, path, size_bytes, sha256), ordered by path."""
+    return files.select(
+        "document_id", "path", asset_kind("path").alias("kind"), "size_bytes", "sha256"
     ).orderBy("document_id", "path")
 
 

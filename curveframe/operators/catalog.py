@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curveframe.functions.text import contains_words, like_anywhere, suffix
 from curveframe.functions.timeindex import default_display_mode, time_reference
+from curveframe.operators.paging import SortedPages
 from curveframe.schema import DATASET_KEYS, MAX_DETAIL_BYTES
 
 
@@ -45,35 +46,36 @@ def search_objects(objects: DataFrame, term: str | None) -> DataFrame:
     return objects.where(like_anywhere(term, "name", "object_type", "native_id"))
 
 
+OBJECT_ORDER = ["object_type", "name", "id"]
+OBJECT_FIELDS = ["id", "object_type", "native_id", "name", "parent_native_id"]
+# A page that ends within so many rows is found by top-k, which Spark does before it shuffles.
+SHALLOW_ROWS = 1000
+
+
 def object_page(objects: DataFrame, page: int, page_size: int, term: str | None = None) -> DataFrame:
     """One page of matching objects, ordered by type, name and id."""
-    return (
-        search_objects(objects, term)
-        .orderBy("object_type", "name", "id")
-        .offset(page * page_size)
-        .limit(page_size)
-        .select("id", "object_type", "native_id", "name", "parent_native_id")
-    )
+    found = search_objects(objects, term)
+    start, end = page * page_size, (page + 1) * page_size
+    if end <= SHALLOW_ROWS:
+        return found.orderBy(*OBJECT_ORDER).offset(start).limit(page_size).select(*OBJECT_FIELDS)
+    everything = found.select(*OBJECT_FIELDS).withColumn("all", F.lit(0))
+    deep = SortedPages(everything, ["all"], OBJECT_ORDER).page(start, end)
+    return deep.orderBy("place").select(*OBJECT_FIELDS)
 
 
 def object_pages_by_document(
     objects: DataFrame, page: int, page_size: int, term: str | None = None
 ) -> DataFrame:
     """``object_page`` of every document at once, with the document's match total."""
-    found = search_objects(objects, term)
+    found = search_objects(objects, term).select("document_id", *OBJECT_FIELDS)
+    start, end = page * page_size, (page + 1) * page_size
+    fields = ["document_id", "place", "total", *OBJECT_FIELDS]
+    if end > SHALLOW_ROWS:
+        return SortedPages(found, ["document_id"], OBJECT_ORDER).page(start, end).select(*fields)
     totals = found.groupBy("document_id").agg(F.count(F.lit(1)).alias("total"))
-    order = Window.partitionBy("document_id").orderBy("object_type", "name", "id")
-    placed = found.withColumn("place", F.row_number().over(order)).where(
-        F.col("place") <= (page + 1) * page_size
-    )
-    return (
-        placed.where(F.col("place") > page * page_size)
-        .join(totals, "document_id")
-        .select(
-            "document_id", "place", "total", "id", "object_type", "native_id", "name",
-            "parent_native_id",
-        )
-    )
+    order = Window.partitionBy("document_id").orderBy(*OBJECT_ORDER)
+    placed = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= end)
+    return placed.where(F.col("place") > start).join(totals, "document_id").select(*fields)
 
 
 def object_details(objects: DataFrame) -> DataFrame:
@@ -108,12 +110,15 @@ def object_details(objects: DataFrame) -> DataFrame:
 
 
 def latest_settings(settings: DataFrame) -> DataFrame:
-    """The newest settings row of each dataset."""
-    newest = Window.partitionBy(*DATASET_KEYS).orderBy(F.desc("version"))
-    return (
-        settings.withColumn("place", F.row_number().over(newest))
-        .where(F.col("place") == 1)
-        .drop("place")
+    """The newest settings row of each dataset.
+
+    Of rows with one version the one that sorts last counts, by every column in turn, so
+    that the answer does not depend on the order in which they are read.
+    """
+    rest = [name for name in settings.columns if name not in (*DATASET_KEYS, "version")]
+    newest = F.max(F.struct("version", *rest)).alias("newest")
+    return settings.groupBy(*DATASET_KEYS).agg(newest).select(
+        *DATASET_KEYS, *[F.col(f"newest.{name}").alias(name) for name in settings.columns if name not in DATASET_KEYS]
     )
 
 
@@ -130,9 +135,14 @@ def default_settings(datasets: DataFrame) -> DataFrame:
     )
 
 
-def upsert_settings(settings: DataFrame, updates: DataFrame) -> DataFrame:
-    """Insert or replace by dataset; the higher version wins."""
-    return latest_settings(settings.unionByName(updates))
+def upsert_settings(settings: DataFrame, updates: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    """Insert or replace by dataset; the higher version wins.
+
+    With ``datasets``, updates of datasets that do not exist change nothing; they are
+    the rows of ``unknown_setting_targets``.
+    """
+    known = updates if datasets is None else updates.join(datasets.select(*DATASET_KEYS), DATASET_KEYS, "left_semi")
+    return latest_settings(settings.unionByName(known))
 
 
 def unknown_setting_targets(updates: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -140,6 +150,7 @@ def unknown_setting_targets(updates: DataFrame, datasets: DataFrame) -> DataFram
     return (
         updates.join(datasets.select(*DATASET_KEYS), DATASET_KEYS, "left_anti")
         .select(*DATASET_KEYS)
+        .distinct()
         .withColumn("message", F.concat(F.lit("Dataset "), "dataset_id", F.lit(" was not found.")))
     )
 

@@ -13,13 +13,7 @@ from pyspark.sql import functions as F
 
 from curveframe.functions.numeric import finite_or_null, is_finite, try_cast
 from curveframe.functions.text import is_empty_text
-from curveframe.operators.chunks import (
-    CHUNK_ROWS,
-    chunk_table,
-    dense_ordinal,
-    lag_by_chunk,
-    with_chunk,
-)
+from curveframe.operators.chunks import CHUNK_ROWS, dense_ordinal, lag_by_chunk
 from curveframe.schema import CHANNEL_KEYS, DATASET_KEYS
 
 
@@ -158,49 +152,50 @@ def even_positions(position: Column, rows: Column, points: int) -> Column:
     return (rows <= points) | hit | (position == rows - 1)
 
 
+def even_rows(axis: DataFrame, points: int, chunk_rows: int = CHUNK_ROWS, dense: bool = False) -> DataFrame:
+    """(dataset, ordinal, position) of at most ``points`` evenly spaced rows per dataset.
+
+    With ``dense`` ordinals (0, 1, 2, ... as ingest writes them) the rows follow from the
+    number of rows alone; else the index axis is numbered, once for all curves.
+    """
+    if not dense:
+        numbered = dense_ordinal(axis.select(*DATASET_KEYS, "ordinal"), chunk_rows=chunk_rows)
+        kept = numbered.where(even_positions(F.col("position"), F.col("dataset_rows"), points))
+        return kept.select(*DATASET_KEYS, "ordinal", "position")
+    rows = F.col("rows")
+    step = (rows - 1).cast("double") / F.lit(float(max(points - 1, 1)))
+    places = F.sequence(F.lit(0).cast("bigint"), F.least(rows, F.lit(points)) - 1)
+    spaced = F.transform(places, lambda k: F.floor(k.cast("double") * step).cast("bigint"))
+    chosen = F.when(rows <= points, places).otherwise(
+        F.array_union(F.slice(spaced, F.lit(1), F.lit(max(points - 1, 1))), F.array(rows - 1) if points > 1 else F.array().cast("array<bigint>"))
+    )
+    counted = axis.groupBy(*DATASET_KEYS).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select(*DATASET_KEYS, F.explode(chosen).alias("ordinal")).withColumn("position", F.col("ordinal"))
+
+
 def even_sample(
-    samples: DataFrame,
-    points: int,
-    keys: Sequence[str] = CHANNEL_KEYS,
-    ordinal: str = "ordinal",
-    chunk_rows: int = CHUNK_ROWS,
-    dense: bool = False,
+    axis: DataFrame, samples: DataFrame, points: int, chunk_rows: int = CHUNK_ROWS, dense: bool = False
 ) -> DataFrame:
-    """At most ``points`` evenly spaced samples per group, as preview rows.
+    """Samples of at most ``points`` evenly spaced rows of the axis, as preview rows.
 
     Rows without a finite index drop out after the choice, as they would in a
-    preview; values that are not finite become null. With ``dense`` ordinals (0,
-    1, 2, ... per group, as ingest writes them) rows are chosen where they are;
-    else they are numbered first.
+    preview; values that are not finite become null.
     """
-    keys = list(keys)
-    if dense:
-        totals = chunk_table(samples, keys, ordinal, chunk_rows=chunk_rows)
-        placed = (
-            with_chunk(samples, chunk_rows, ordinal)
-            .join(totals.select(*keys, "chunk", "dataset_rows"), [*keys, "chunk"])
-            .withColumn("position", F.col(ordinal))
-        )
-    else:
-        placed = dense_ordinal(samples, keys, ordinal, "position", chunk_rows)
-    chosen = placed.where(even_positions(F.col("position"), F.col("dataset_rows"), points))
-    return chosen.where(is_finite("index")).select(
-        *keys,
-        "position",
-        F.col("index").alias("index_value"),
-        finite_or_null("value").alias("value"),
+    wanted = even_rows(axis, points, chunk_rows, dense)
+    return (
+        samples.where(is_finite("index"))
+        .join(wanted, [*DATASET_KEYS, "ordinal"])
+        .select(*CHANNEL_KEYS, "position", F.col("index").alias("index_value"), finite_or_null("value").alias("value"))
     )
 
 
-def preview_samples(
-    samples: DataFrame, points: int, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+def preview_samples(axis: DataFrame, samples: DataFrame, points: int) -> DataFrame:
     """Preview rows of ingested samples, numbered per curve.
 
     A curve has at most ``points`` of them, so numbering them is bounded work.
     """
     order = Window.partitionBy(*CHANNEL_KEYS).orderBy("position")
-    return even_sample(samples, points, chunk_rows=chunk_rows, dense=True).select(
+    return even_sample(axis, samples, points, dense=True).select(
         *CHANNEL_KEYS, (F.row_number().over(order) - 1).alias("ordinal"), "index_value", "value"
     )
 

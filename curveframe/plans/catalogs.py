@@ -448,7 +448,7 @@ SELECT lang AS document_id, p AS path, kind, strlen("text")::BIGINT AS size_byte
 FROM paths"""
 )
 def asset_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return assets.build_manifest(_files(spark, folder))
+    return assets.build_manifest(assets.with_checksums(_files(spark, folder)))
 
 
 _ERRORS = "WITH " + _PATHS + "," + _ASSETS + """,
@@ -513,7 +513,7 @@ def manifest_refresh(spark: SparkSession, folder: str) -> DataFrame:
         F.octet_length("content").cast("bigint").alias("size_bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
-    return assets.refresh_manifest(assets.build_manifest(files), fresh)
+    return assets.refresh_manifest(assets.build_manifest(assets.with_checksums(files)), fresh)
 
 
 @query(

@@ -179,7 +179,7 @@ def ingest_frames(
             )
         ).alias("native_metadata"),
     )
-    previews = preview_samples(samples, preview_points)
+    previews = preview_samples(axis, samples, preview_points)
     edges = frame_edges(
         described.select(
             "document_id",
@@ -306,5 +306,5 @@ def ingest_array_collection(
         F.lit(None).cast("string").alias("text_value"),
     )
     return CurveTables(
-        datasets, channels, axis, samples, array_samples, preview_samples(samples, DEFAULT_PREVIEW_POINTS)
+        datasets, channels, axis, samples, array_samples, preview_samples(axis, samples, DEFAULT_PREVIEW_POINTS)
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +23,56 @@ def source_format(name: str | Column) -> Column:
     return chosen
 
 
-def read_registry(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """One row per input file with size, checksum and format (null if unsupported)."""
+# Larger files are hashed in pieces of so many bytes; their content never is a row.
+WHOLE_BYTES = 64 << 20
+PIECE_BYTES = 1 << 20
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import hashlib
+
+    from pyarrow import fs
+
+    for batch in batches:
+        sums = []
+        for path in batch.column("path").to_pylist():
+            store, place = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(place) as stream:
+                while piece := stream.read(PIECE_BYTES):
+                    digest.update(piece)
+            sums.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], [*batch.schema.names, "sha256"])
+
+
+def file_checksums(
+    spark: SparkSession, folder: str, glob: str | None = None, whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
+    """(path, length, sha256) of every file that is not empty, whatever its size.
+
+    Spark hashes files of moderate size, from any store it reads. Larger ones are listed
+    without content, a task each, and streamed from a store that Arrow reads.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(folder)
-    path = F.col("_metadata.file_path")
-    name = file_name(path)
-    return files.select(
-        document_id(path).alias("document_id"),
+    files = reader.load(folder).withColumn("path", F.col("_metadata.file_path"))
+    small = files.where(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole_bytes).select("path", "length")
+    return small.unionByName(large.mapInArrow(_hash_files, "path string, length bigint, sha256 string"))
+
+
+def read_registry(
+    spark: SparkSession, folder: str, glob: str | None = None, whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
+    """One row per input file with size, checksum and format (null if unsupported)."""
+    name = file_name("path")
+    return file_checksums(spark, folder, glob, whole_bytes).select(
+        document_id("path").alias("document_id"),
         name.alias("file_name"),
         source_format(name).alias("source_format"),
         F.col("length").alias("file_size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
+        "sha256",
     )
 
 
@@ -43,6 +82,12 @@ def unsupported_files(registry: DataFrame) -> DataFrame:
     )
 
 
+def decoded(text: str | Column) -> Column:
+    """Text as read from a file: UTF-8, and Latin-1 where the bytes are no UTF-8."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1"))
+
+
 def _text_files(spark: SparkSession, folder: str, glob: str, wanted: Column | None, whole: bool) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     files = reader.text(folder, wholetext=whole)
@@ -58,7 +103,7 @@ def read_text_documents(spark: SparkSession, folder: str, glob: str, wanted: Col
         document_id(F.col("_metadata.file_path")).alias("document_id"),
         file_name(F.col("_metadata.file_path")).alias("file_name"),
         F.col("_metadata.file_size").alias("file_size_bytes"),
-        F.col("value").alias("content"),
+        decoded("value").alias("content"),
     )
 
 
@@ -73,22 +118,20 @@ def read_text_lines(spark: SparkSession, folder: str, glob: str, wanted: Column
         F.col("_metadata.file_size").alias("file_size_bytes"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
-        F.col("value").alias("line"),
+        decoded("value").alias("line"),
     )
 
 
-def read_package_files(spark: SparkSession, folder: str, document: str) -> DataFrame:
-    """Files of one published folder as (document_id, path, content), paths relative."""
+def read_package_files(
+    spark: SparkSession, folder: str, document: str, whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
+    """Files of one published folder as (document_id, path, size_bytes, sha256), paths relative."""
     root = folder.rstrip("/") + "/"
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select(
-            F.lit(document).alias("document_id"),
-            F.substring_index("path", root, -1).alias("path"),
-            "content",
-        )
+    return file_checksums(spark, folder, whole_bytes=whole_bytes).select(
+        F.lit(document).alias("document_id"),
+        F.substring_index("path", root, -1).alias("path"),
+        F.col("length").alias("size_bytes"),
+        "sha256",
     )
 
 

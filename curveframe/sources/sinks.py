@@ -8,6 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curveframe.operators.catalog import latest_settings
 from curveframe.schema import CATALOG_TABLES, CHANNEL_KEYS, DATASET_KEYS, PACKAGE_VERSION
 
 # Rows per Parquet page and per row group check; groups stay near 65,536 rows.
@@ -82,22 +83,24 @@ def write_catalog(tables: Mapping[str, DataFrame], folder: str) -> str:
 
 
 def read_catalog(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Tables of the newest published version."""
+    """Tables of the newest published version; of two published at one instant, that with the greater name."""
     newest = (
-        spark.read.parquet(f"{folder}/published").orderBy(F.desc("published_at")).limit(1).collect()
+        spark.read.parquet(f"{folder}/published").orderBy(F.desc("published_at"), F.desc("version")).limit(1).collect()
     )
     root = f"{folder}/versions/{newest[0].version}"
     return {name: spark.read.parquet(f"{root}/{name}") for name in CATALOG_TABLES}
 
 
-def write_wide(wide: DataFrame, path: str) -> None:
-    """A wide table (index and curve columns) in row order."""
-    order = [*DATASET_KEYS, "ordinal"]
-    (
-        wide.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode("overwrite")
-        .option("compression", "zstd")
-        .option("parquet.block.size", ROW_GROUP_BYTES)
-        .parquet(path)
-    )
+def append_settings(updates: DataFrame, folder: str) -> None:
+    """Add a batch of settings rows to the log of a catalog; nothing written before changes."""
+    updates.withColumn("batch", F.lit(uuid4().hex)).write.mode("append").option("compression", "zstd").parquet(f"{folder}/settings_log")
+
+
+def read_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest settings row of each dataset in the log."""
+    return latest_settings(spark.read.parquet(f"{folder}/settings_log").drop("batch"))
+
+
+def compact_settings(spark: SparkSession, folder: str, target: str) -> None:
+    """Write the log's newest rows as the log of another folder, from which later updates go on."""
+    append_settings(read_settings(spark, folder), target)

@@ -427,7 +427,7 @@ def _finish(
         F.to_json(F.struct(F.col("column_name").alias("parquet_column"))).alias("native_metadata"),
     )
     extent = index_extent(axis).select(*DATASET_KEYS, "row_count", "index_minimum", "index_maximum")
-    previews = preview_samples(samples, preview_points)
+    previews = preview_samples(axis, samples, preview_points)
     full = datasets.join(extent, DATASET_KEYS).select(
         *DATASET_KEYS, "position", "name", "kind", "well_name", "wellbore_name", "row_count",
         "index_mnemonic", "index_unit", "index_kind", "index_minimum", "index_maximum",

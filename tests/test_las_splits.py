@@ -92,3 +92,13 @@ def test_samples_are_not_shuffled(spark, tmp_path):
     tables = las.ingest_folder(spark, str(tmp_path), take_first=True)
     for frame in (tables.samples, tables.axis):
         assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latin_letters(spark, tmp_path):
+    text = "~V\nVERS. 2.0 :\n~W\nWELL. Bohrung Süd : Größe\n~C\nDEPT.M : Tiefe\nTEMP.°C : Wärme\n~A\n1 20\n2 21\n"
+    for name, encoding in (("latin.las", "latin-1"), ("unicode.las", "utf-8")):
+        (tmp_path / name).write_bytes(text.encode(encoding))
+    for whole_bytes in (0, las.WHOLE_BYTES):
+        tables = las.ingest_folder(spark, str(tmp_path), whole_bytes=whole_bytes)
+        assert [r.well_name for r in tables.datasets.collect()] == ["Bohrung Süd"] * 2
+        assert [(r.unit, r.description) for r in tables.channels.collect()] == [("°C", "Wärme")] * 2
