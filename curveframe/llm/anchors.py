@@ -9,7 +9,8 @@ runs that repeat merge to maximal repeats.
 
 A run is removed when its words also start in a document with a smaller id.
 
-Runs are compared by 96 bits of hash, anchors by fewer: a false anchor only costs work.
+Runs are compared by 96 bits of two independent hashes of their words' bytes, anchors by
+fewer: a false anchor only costs work.
 
 Defined results: null and wordless texts have no words; rows without an id count
 as larger than all others, and keep what only they share; rows that share an id
@@ -24,19 +25,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from curveframe.llm.common import SPACE, owners, total_bytes, window_hashes, word_hashes, word_spans
+from curveframe.llm.common import SPACE, content_hashes, owners, run_hashes, total_bytes, word_spans
 from curveframe.llm.exchange import Keys, Pack, ask, gather, masks_for, packs_of, same_as_before, spread, with_answers
 
 WINDOW = 50
 BLOCK = 25
-SECOND = np.uint64(0xC2B2AE3D27D4EB4F)  # odd multiplier of the second hash
 LAST = np.int64((1 << 63) - 1)
 
 
-def words_of(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, word ends, n + 1 word offsets of the texts, and word hashes."""
-    starts, ends, firsts = word_spans(pack.raw, pack.offsets, SPACE)
-    return starts, ends, firsts, word_hashes(pack.raw, starts, ends)
+def words_of(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, word ends, and n + 1 word offsets of the texts."""
+    return word_spans(pack.raw, pack.offsets, SPACE)
+
+
+def hashes_of(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n + 1 word offsets of the texts, and two hashes of each word that do not depend on each other."""
+    starts, ends, firsts = words_of(pack)
+    return firsts, *content_hashes(pack.raw, starts, ends)
 
 
 def _runs(hashes: np.ndarray, firsts: np.ndarray, size: int) -> np.ndarray:
@@ -50,9 +55,9 @@ def anchor_keys(block: int):
     """Distinct rolling windows of a pack, whether one of them is a reference block, whether two texts hold it."""
 
     def make(pack: Pack, _: dict) -> Keys:
-        _, _, firsts, hashes = words_of(pack)
+        firsts, hashes, _ = hashes_of(pack)
         at = _runs(hashes, firsts, block)
-        found = window_hashes(hashes, block)[at]
+        found = run_hashes(hashes, block)[at]
         doc = owners(firsts)[at]
         aligned = (at - firsts[doc]) % block == 0
         order = np.argsort(found, kind="stable")
@@ -79,20 +84,20 @@ def judge_anchors(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
 
 def _windows(pack: Pack, anchors: list[dict] | None, ranges: int, window: int, block: int) -> tuple[np.ndarray, ...]:
     """Runs around anchor hits: place, text, key and second hash."""
-    _, _, firsts, hashes = words_of(pack)
+    firsts, hashes, others = hashes_of(pack)
     keys = anchor_keys(block)(pack, {})
     hit_keys = keys.key[masks_for(keys, anchors, ranges, 1)[0]]
     at = _runs(hashes, firsts, window)
     if not len(hit_keys) or not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint32)
-    rolling = window_hashes(hashes, block)
+    rolling = run_hashes(hashes, block)
     place = np.minimum(np.searchsorted(hit_keys, rolling), len(hit_keys) - 1)
     hits = np.concatenate([[0], np.cumsum(hit_keys[place] == rolling)])
     at = at[hits[at + window - block + 1] > hits[at]]
     doc = owners(firsts)[at]
-    second = window_hashes(hashes, window, SECOND)[at] >> np.uint64(32)
-    return at, doc, window_hashes(hashes, window)[at], second.astype(np.uint32)
+    second = run_hashes(others, window)[at] >> np.uint64(32)
+    return at, doc, run_hashes(hashes, window)[at], second.astype(np.uint32)
 
 
 def _ids(pack: Pack) -> np.ndarray:
@@ -129,7 +134,7 @@ def judge_windows(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
 def _remove(ranges: int, window_ranges: int, window: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, others in packs_of(batches):
-            starts, ends, firsts, _ = words_of(pack)
+            starts, ends, firsts = words_of(pack)
             at, doc, key, second = _windows(pack, others["anchors"], ranges, window, block)
             gone = np.zeros(len(starts), dtype=bool)
             if len(at):

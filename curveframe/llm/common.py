@@ -6,6 +6,7 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,59 @@ def window_hashes(hashes: np.ndarray, size: int, base: np.uint64 = BASE) -> np.n
     return span_hash(prefix, starts, starts + size, base)
 
 
+LANES = np.array([(1 << 8 * size) - 1 for size in range(9)], dtype=np.uint64)
+# Odd 64-bit constants of the two chains and of joining them.
+CHAINS = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+LONG_WORD = 256
+
+
+def content_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word's bytes, for comparing words by content.
+
+    Two chains take eight bytes at a time and are mixed after each step, so that no pattern
+    of bytes cancels out, as it can in a polynomial; words beyond ``LONG_WORD`` bytes are
+    hashed by BLAKE2.
+    """
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    sizes = ends - starts
+    one = mix(sizes.astype(np.uint64) * CHAINS[0])
+    two = mix(one ^ CHAINS[1])
+    rows, at = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(rows):
+        left = sizes[rows] - at
+        if at:
+            rows, left = rows[left > 0], left[left > 0]
+        chunk = lanes[starts[rows] + at] & LANES[np.minimum(left, 8)]
+        one[rows] = mix(one[rows] ^ chunk)
+        two[rows] = mix((two[rows] + chunk) * CHAINS[2])
+        at += 8
+    for row in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = blake2b(raw[starts[row] : ends[row]].tobytes(), digest_size=16).digest()
+        one[row], two[row] = np.frombuffer(digest, "<u8")
+    return mix(one + (two << np.uint64(32) | two >> np.uint64(32))), mix(two * CHAINS[3] ^ one)
+
+
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix((left ^ CHAINS[1]) * CHAINS[2] + mix(right ^ CHAINS[3]))
+
+
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` items, joined from runs of powers of two; runs may cross text borders, callers mask those."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    power, width, found, covered = mix(hashes ^ CHAINS[0]), 1, None, 0
+    while True:
+        if size & width:
+            found = power[:n] if found is None else _join(found, power[covered : covered + n])
+            covered += width
+        if covered == size:
+            return found
+        power = _join(power[:-width], power[width:])
+        width *= 2
+
+
 def owners(offsets: np.ndarray) -> np.ndarray:
     """Index of the text each item belongs to."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

@@ -6,7 +6,7 @@ the rarest of its ``shingle``-word runs by document frequency over the whole
 corpus. Documents meet only windows whose prefix shingle they hold; the
 position of the shingle bounds where the window starts and ends, windows that
 would leave the document are skipped (length and positional bounds), and the
-rest is verified word by word.
+rest is verified word by word, first by hashes and then by the words' bytes.
 
 Items are joined in blocks of at most ``BLOCK_BYTES`` of text, so what a task
 holds of them is bounded however large the benchmark is; further blocks are
@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curveframe.llm.common import (
+    content_hashes,
     lower_ascii,
     neutral,
     owners,
     pieces,
     restored,
+    run_hashes,
     text_bytes,
-    window_hashes,
     without,
-    word_hashes,
     word_spans,
 )
 
@@ -61,12 +61,27 @@ ADDED = T.StructType(
 )
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts and the n + 1 offsets of each text's words."""
+@dataclass
+class Words:
+    """Words of all texts of a column: their bytes, places and hashes, and the n + 1 offsets of each text's words."""
+
+    raw: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    firsts: np.ndarray
+
+    def spelled(self, first: int, size: int) -> bytes:
+        """A run of words as they are compared in the end, one blank apart."""
+        places = zip(self.starts[first : first + size].tolist(), self.ends[first : first + size].tolist(), strict=True)
+        return b" ".join([self.raw[start:end].tobytes() for start, end in places])
+
+
+def words_of(column: pa.Array) -> Words:
     raw, offsets = text_bytes(column)
     raw = lower_ascii(raw)
     starts, ends, firsts = word_spans(raw, offsets, BREAKS)
-    return word_hashes(raw, starts, ends), firsts
+    return Words(raw, starts, ends, content_hashes(raw, starts, ends)[0], firsts)
 
 
 @dataclass
@@ -74,6 +89,7 @@ class Windows:
     """Distinct windows of one block of items, by size."""
 
     hashes: dict[int, np.ndarray]  # size -> word hashes, one row per window
+    spelled: dict[int, list[bytes]]  # size -> the words themselves
     items: dict[int, list[list[str]]]  # size -> ids of the items with that window
     prefix: dict[int, np.ndarray]  # size -> sorted prefix shingles
     offset: dict[int, np.ndarray]  # size -> place of the shingle in its window, in prefix order
@@ -81,23 +97,31 @@ class Windows:
     shingles: dict[int, int]  # size -> words in a shingle
 
 
-def item_windows(rows: list[tuple[str | None, str | None]], window: int) -> tuple[dict[int, np.ndarray], dict[int, list[list[str]]]]:
-    hashes, firsts = words_of(pa.array([text for _, text in rows], pa.string()))
-    held: dict[int, dict[bytes, set[str]]] = {}
-    for (item, _), start, end in zip(rows, firsts[:-1], firsts[1:], strict=True):
+def item_windows(
+    rows: list[tuple[str | None, str | None]], window: int
+) -> tuple[dict[int, np.ndarray], dict[int, list[bytes]], dict[int, list[list[str]]]]:
+    """Distinct windows by size: their word hashes, their words, and the items that have them."""
+    words = words_of(pa.array([text for _, text in rows], pa.string()))
+    held: dict[int, dict[bytes, tuple[bytes, set[str]]]] = {}
+    for (item, _), start, end in zip(rows, words.firsts[:-1], words.firsts[1:], strict=True):
         size = min(window, int(end - start))
         if size == 0:
             continue
         for at in range(start, end - size + 1):
-            held.setdefault(size, {}).setdefault(hashes[at : at + size].tobytes(), set()).add(item or "")
-    arrays = {size: np.frombuffer(b"".join(found), np.uint64).reshape(-1, size) for size, found in held.items()}
-    return arrays, {size: [sorted(ids) for ids in found.values()] for size, found in held.items()}
+            found = held.setdefault(size, {}).setdefault(words.spelled(at, size), (words.hashes[at : at + size].tobytes(), set()))
+            found[1].add(item or "")
+    arrays = {
+        size: np.frombuffer(b"".join(hashes for hashes, _ in found.values()), np.uint64).reshape(-1, size)
+        for size, found in held.items()
+    }
+    spelled = {size: list(found) for size, found in held.items()}
+    return arrays, spelled, {size: [sorted(ids) for _, ids in found.values()] for size, found in held.items()}
 
 
 def shingle_rows(windows: np.ndarray, shingle: int) -> np.ndarray:
     """Hashes of the shingles of each window, one row per window."""
     n, size = windows.shape
-    flat = window_hashes(np.ascontiguousarray(windows).reshape(-1), shingle)
+    flat = run_hashes(np.ascontiguousarray(windows).reshape(-1), shingle)
     places = np.arange(n)[:, None] * size + np.arange(size - shingle + 1)[None, :]
     return flat[places]
 
@@ -108,8 +132,8 @@ def frequencies(docs: DataFrame, text_column: str, wanted: np.ndarray, shingle:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(wanted), dtype=np.int64)
         for piece in pieces(batches, text_column, PIECE_BYTES):
-            hashes, firsts = words_of(piece.column(text_column))
-            found = window_hashes(hashes, shingle)
+            words = words_of(piece.column(text_column))
+            firsts, found = words.firsts, run_hashes(words.hashes, shingle)
             place = np.searchsorted(wanted, found)
             hit = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == found)
             doc = owners(firsts)
@@ -125,14 +149,14 @@ def frequencies(docs: DataFrame, text_column: str, wanted: np.ndarray, shingle:
 
 
 def index_block(docs: DataFrame, text_column: str, rows: list[tuple[str | None, str | None]], window: int, shingle: int) -> Windows:
-    arrays, items = item_windows(rows, window)
+    arrays, spelled, items = item_windows(rows, window)
     shingles = {size: min(shingle, size) for size in arrays}
     tables = {size: shingle_rows(found, shingles[size]) for size, found in arrays.items()}
     # A window of one shingle has no choice of prefix and needs no frequencies.
     choosing = [found.reshape(-1) for size, found in tables.items() if found.shape[1] > 1]
     wanted = np.unique(np.concatenate(choosing)) if choosing else np.zeros(0, np.uint64)
     df = frequencies(docs, text_column, wanted, shingle) if len(wanted) else {}
-    index = Windows(arrays, items, {}, {}, {}, shingles)
+    index = Windows(arrays, spelled, items, {}, {}, {}, shingles)
     for size, found in tables.items():
         counts = np.array([[df.get(value, 0) for value in row] for row in found.view(np.int64).tolist()])
         place = counts.argmin(axis=1)
@@ -142,8 +166,9 @@ def index_block(docs: DataFrame, text_column: str, rows: list[tuple[str | None,
     return index
 
 
-def find_hits(hashes: np.ndarray, firsts: np.ndarray, index: Windows) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def find_hits(words: Words, index: Windows) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Starts and ends of all verified occurrences (in words of the batch), and their (size, window)."""
+    hashes, firsts = words.hashes, words.firsts
     starts, ends, which = [], [], []
     doc_end = np.repeat(firsts[1:], np.diff(firsts))
     doc_start = np.repeat(firsts[:-1], np.diff(firsts))
@@ -151,7 +176,7 @@ def find_hits(hashes: np.ndarray, firsts: np.ndarray, index: Windows) -> tuple[n
     for size, prefix in index.prefix.items():
         k = index.shingles[size]
         if k not in by_shingle:
-            by_shingle[k] = window_hashes(hashes, k)
+            by_shingle[k] = run_hashes(hashes, k)
         found = by_shingle[k]
         low, high = np.searchsorted(prefix, found, "left"), np.searchsorted(prefix, found, "right")
         at = np.flatnonzero(high > low)
@@ -166,6 +191,8 @@ def find_hits(hashes: np.ndarray, firsts: np.ndarray, index: Windows) -> tuple[n
         for cut in range(0, len(start), 100_000):
             some, numbers = start[cut : cut + 100_000], window[cut : cut + 100_000]
             same = (hashes[some[:, None] + np.arange(size)] == index.hashes[size][numbers]).all(axis=1)
+            for at in np.flatnonzero(same).tolist():
+                same[at] = words.spelled(some[at], size) == index.spelled[size][numbers[at]]
             starts.append(some[same])
             ends.append(some[same] + size)
             which.extend((size, int(number)) for number in numbers[same])
@@ -178,8 +205,9 @@ def join_block(text_column: str, index: Windows):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text_column, PIECE_BYTES):
-            hashes, firsts = words_of(piece.column(text_column))
-            starts, ends, which = find_hits(hashes, firsts, index)
+            words = words_of(piece.column(text_column))
+            hashes, firsts = words.hashes, words.firsts
+            starts, ends, which = find_hits(words, index)
             spans: list[list[dict]] = [[] for _ in range(piece.num_rows)]
             ids: list[set[str]] = [set() for _ in range(piece.num_rows)]
             if len(starts):

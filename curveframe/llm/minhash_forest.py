@@ -32,16 +32,14 @@ from pyspark.sql import functions as F
 
 from curveframe.llm.common import (
     SPACE,
+    content_hashes,
     lower_ascii,
     mix,
     owners,
     pieces,
-    span_hash,
-    prefix_hash,
+    run_hashes,
     stage,
     text_bytes,
-    window_hashes,
-    word_hashes,
     word_spans,
 )
 from curveframe.llm.components import Forest, components
@@ -66,13 +64,16 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
     raw, offsets = text_bytes(column)
     raw = lower_ascii(raw)
     starts, ends, firsts = word_spans(raw, offsets, SPACE)
-    words = word_hashes(raw, starts, ends)
+    words, _ = content_hashes(raw, starts, ends)
     doc = owners(firsts)
-    runs = window_hashes(words, shingle)
+    runs = run_hashes(words, shingle)
     at = np.flatnonzero(doc[: len(runs)] == doc[shingle - 1 :][: len(runs)]) if len(runs) else np.zeros(0, np.int64)
     counts = np.diff(firsts)
     short = np.flatnonzero((counts > 0) & (counts < shingle))
-    whole = span_hash(prefix_hash(mix(words)), firsts[short], firsts[short + 1]) if len(short) else np.zeros(0, np.uint64)
+    whole = np.zeros(len(short), np.uint64)
+    for size in range(1, shingle):
+        fit = counts[short] == size
+        whole[fit] = run_hashes(words, size)[firsts[short[fit]]] if fit.any() else 0
     owner = np.concatenate([doc[at], short])
     hashes = np.concatenate([runs[at], whole])
     order = np.lexsort((hashes, owner))
