@@ -13,8 +13,8 @@ removed wherever it starts. Three questions to the corpus narrow the work:
    shards the order of suffixes is not used: hashes of distinct strings are dealt
    to ranges of the hash, and each range is sorted by hash to find equal ones.
 
-Across shards segments are compared by 160 bits of hash, strings by 96; inside a
-shard by the bytes themselves.
+Across shards segments are compared by a hash of their bytes and that of their least
+gram, strings by 96 bits of hash; inside a shard by the bytes themselves.
 
 Defined results: null text counts as empty; matches never cross texts; strings
 are judged on the input; repeated rows repeat each other; an empty table gives
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from curveframe.llm.common import BASE, BYTE_VALUES, mix, prefix_hash, span_hash, total_bytes
+from curveframe.llm.common import BASE, BYTE_VALUES, content_hashes, mix, prefix_hash, span_hash, stage, total_bytes
 from curveframe.llm.exchange import Keys, Pack, ask, gather, masks_for, packs_of, same_as_before, spread, with_answers
 
 LENGTH = 400
@@ -138,9 +138,9 @@ class Segments:
         self.first, self.last = self.first[chosen], self.last[chosen]
         self.gram_place, self.gram_hash = self.gram_place[chosen], self.gram_hash[chosen]
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, raw: np.ndarray) -> np.ndarray:
         """Of each segment's bytes and of where its gram lies in them."""
-        body = span_hash(self.prefix, self.first, self.last + self.length)
+        body, _ = content_hashes(raw, self.first, self.last + self.length)
         return mix(body + (self.gram_place - self.first).astype(np.uint64) * BASE)
 
 
@@ -174,9 +174,9 @@ def _open_segments(pack: Pack, others: dict, ranges: list[int], length: int, gra
     return segments
 
 
-def _distinct_segments(segments: Segments) -> tuple[Keys, np.ndarray]:
+def _distinct_segments(pack: Pack, segments: Segments) -> tuple[Keys, np.ndarray]:
     """Distinct segments by gram, whether the pack has two of one, and the number of each segment."""
-    hashes = segments.hashes()
+    hashes = segments.hashes(pack.raw)
     order = np.lexsort((hashes, segments.gram_hash))
     new = ~same_as_before(segments.gram_hash[order], hashes[order])
     which = np.empty(len(order), np.int64)
@@ -188,7 +188,7 @@ def _distinct_segments(segments: Segments) -> tuple[Keys, np.ndarray]:
 
 def segment_keys(ranges: list[int], length: int, gram: int):
     def make(pack: Pack, others: dict) -> Keys:
-        return _distinct_segments(_open_segments(pack, others, ranges, length, gram))[0]
+        return _distinct_segments(pack, _open_segments(pack, others, ranges, length, gram))[0]
 
     return make
 
@@ -212,7 +212,7 @@ def _sorted_strings(pack: Pack, others: dict, ranges: list[int], length: int, gr
     empty = Keys(none.astype(np.uint64), {"second": none.astype(np.uint32), "several": none.astype(np.uint8)})
     if not len(segments.first):
         return np.zeros((0, 2), np.int64), none, empty, none
-    keys, which = _distinct_segments(segments)
+    keys, which = _distinct_segments(pack, segments)
     twice, mixed = (mask[which] for mask in masks_for(keys, others["segments"], ranges[1], 2))
     whole = np.stack([segments.first[twice], segments.last[twice]], axis=1)
     # Of equal segments of one pack the first is sorted for all; those that occur
@@ -259,11 +259,36 @@ def _sorted_strings(pack: Pack, others: dict, ranges: list[int], length: int, gr
     )
 
 
-def string_keys(ranges: list[int], length: int, gram: int):
-    def make(pack: Pack, others: dict) -> Keys:
-        return _sorted_strings(pack, others, ranges, length, gram)[2]
+SORTED = "pack bigint, ids array<bigint>, sizes array<bigint>, body binary, whole binary, starts binary, which binary, key binary, second binary, several binary"
 
-    return make
+
+def _sort(ranges: list[int], length: int, gram: int):
+    """What ``_sorted_strings`` finds in each pack, as a row of its own that holds no text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, others in packs_of(batches):
+            whole, starts, keys, which = _sorted_strings(pack, others, ranges, length, gram)
+            columns = {
+                "whole": whole.astype("<i8"),
+                "starts": starts.astype("<u4"),
+                "which": which.astype("<u4"),
+                "key": keys.key.astype("<u8"),
+                "second": keys.beside["second"].astype("<u4"),
+                "several": keys.beside["several"].astype("u1"),
+            }
+            none = pa.array([[]], pa.list_(pa.int64()))
+            held = [pa.array([column.tobytes()], pa.binary()) for column in columns.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([pack.number], pa.int64()), none, none, pa.array([b""], pa.binary()), *held],
+                ["pack", "ids", "sizes", "body", *columns],
+            )
+
+    return run
+
+
+def _held_keys(others: dict) -> Keys:
+    beside = {"second": np.frombuffer(others["second"], "<u4"), "several": np.frombuffer(others["several"], "u1")}
+    return Keys(np.frombuffer(others["key"], "<u8"), beside)
 
 
 def judge_strings(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -273,15 +298,16 @@ def judge_strings(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
     return [spread(order, equal, 1 + columns["several"].astype(np.int64), np.add) > 1]
 
 
-def _remove(ranges: list[int], length: int, gram: int):
+def _remove(ranges: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, others in packs_of(batches):
-            whole, starts, keys, which = _sorted_strings(pack, others, ranges, length, gram)
+            whole = np.frombuffer(others["whole"], "<i8").reshape(-1, 2)
+            starts, which = np.frombuffer(others["starts"], "<u4").astype(np.int64), np.frombuffer(others["which"], "<u4")
             change = np.zeros(len(pack.raw) + 1, np.int64)
             np.add.at(change, whole[:, 0], 1)
             np.add.at(change, whole[:, 1] + length, -1)
             if len(starts):
-                repeated = starts[masks_for(keys, others["strings"], ranges[2], 1)[0][which]]
+                repeated = starts[masks_for(_held_keys(others), others["strings"], ranges, 1)[0][which]]
                 np.add.at(change, repeated, 1)
                 np.add.at(change, repeated + length, -1)
             gone = np.cumsum(change[:-1]) > 0
@@ -319,8 +345,10 @@ def remove_repeats(
     kinds = {"segment": "<u8", "several": "u1"}
     answers, n = ask(packs, answers, segment_keys(list(ranges), length, gram), judge_segments, grams // 2, "segments", kinds=kinds)
     ranges.append(n)
+    # Strings are searched and sorted once; the last pass reads what was found.
+    found = stage(with_answers(packs, answers).mapInArrow(_sort(ranges, length, gram), SORTED), "sorted")
     kinds = {"second": "<u4", "several": "u1"}
-    answers, n = ask(packs, answers, string_keys(list(ranges), length, gram), judge_strings, size // 10, "strings", kinds=kinds)
-    ranges.append(n)
+    repeats, n = ask(found, None, lambda pack, others: _held_keys(others), judge_strings, size // 10, "strings", kinds=kinds)
+    held = with_answers(packs, found.drop("ids", "sizes", "body").join(repeats, "pack", "left"))
     schema = "id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept_bytes binary"
-    return with_answers(packs, answers).mapInArrow(_remove(ranges, length, gram), schema).withColumnRenamed("id", id_column)
+    return held.mapInArrow(_remove(n, length), schema).withColumnRenamed("id", id_column)
