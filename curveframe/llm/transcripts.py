@@ -47,12 +47,16 @@ ANY_SPEAKER = "(?i)" + OPEN + "|".join(SPEAKERS.values()) + CLOSE
 
 
 def lines_of(rows: DataFrame, conversation: str, turn: str, text: str) -> DataFrame:
-    """Lines of all rows with their features: conv, turn, body, line_no, line, and one small number per feature."""
+    """Lines of all rows with their features: conv, turn, row_key, line_no, line, and one small number per feature.
+
+    A line carries a hash and the length of its row's text, not the text.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = rows.select(
         F.col(conversation).alias("conv"),
         F.col(turn).cast("bigint").alias("turn"),
-        body.alias("body"),
+        F.xxhash64(body).alias("row_key"),
+        F.length(body).alias("block"),
         *[F.col(name) for name in rows.columns if name in ("role", "first")],
         F.posexplode(F.split(body, "\r?\n")).alias("line_no", "line"),
     )
@@ -61,7 +65,7 @@ def lines_of(rows: DataFrame, conversation: str, turn: str, text: str) -> DataFr
         marker = F.when(F.col("line").rlike("(?i)" + OPEN + SPEAKERS[role] + CLOSE), number).otherwise(marker)
     size = F.length("line")
     width = F.when(size == 0, 0).when(size < 24, 1).when(size < 60, 2).when(size < 120, 3).when(size < 240, 4).otherwise(5)
-    block = F.length("body")
+    block = F.col("block")
     weight = F.when(F.col("line_no") > 0, 5).when(block < 80, 0).when(block < 200, 1).when(block < 400, 2).when(block < 800, 3).otherwise(4)
     return lines.select(
         "*",
@@ -297,7 +301,7 @@ def _descend(batches):
 
 def _label(model: Model):
     schema = pa.schema(
-        [("conv", pa.string()), ("turn", pa.int64()), ("body", pa.string()), ("line_no", pa.int32()), ("line", pa.string()), ("role", pa.string()), ("starts", pa.bool_())]
+        [("conv", pa.string()), ("turn", pa.int64()), ("first", pa.int64()), ("row_key", pa.int64()), ("line_no", pa.int32()), ("line", pa.string()), ("role", pa.string()), ("starts", pa.bool_())]
     )
 
     def run(batches):
@@ -306,7 +310,7 @@ def _label(model: Model):
                 lines = list(lines)
                 scores = _scores(model, np.array([row["opens"] for row in lines]), np.array([row["code"] for row in lines]))
                 for row, state in zip(lines, viterbi(model, scores, lines[0]["before"], lines[0]["after"]).tolist(), strict=True):
-                    kept = {name: row[name] for name in ("conv", "turn", "body", "line_no", "line")}
+                    kept = {name: row[name] for name in ("conv", "turn", "first", "row_key", "line_no", "line")}
                     yield kept | {"role": ROLES[state // 2], "starts": state % 2 == 0}
 
         yield from _in_batches(rows(), schema)
@@ -320,7 +324,7 @@ def label_lines(rows: DataFrame, model: Model, conversation: str = "conv_id", tu
     lines = lines_of(numbered(single.select("conv", "turn", F.coalesce(text, F.lit("")).alias("body"))), "conv", "turn", "body")
     number = F.col("first") + F.col("line_no")
     part = F.floor(number / CHUNK).cast("bigint")
-    lines = stage(lines.select("conv", "turn", "body", "line_no", "line", "opens", F.expr(CODE).alias("code"), part.alias("part"), number.alias("number")), "lines")
+    lines = stage(lines.select("conv", "turn", "first", "row_key", "line_no", "line", "opens", F.expr(CODE).alias("code"), part.alias("part"), number.alias("number")), "lines")
     dealt = lines.select("conv", "part", "number", "opens", "code")
     order = ["conv", "part", "number"]
     sorted_ = dealt.repartition("conv", "part").sortWithinPartitions(*order).select("conv", "part", "opens", "code")
@@ -340,7 +344,7 @@ def label_lines(rows: DataFrame, model: Model, conversation: str = "conv_id", tu
         F.col("conv").eqNullSafe(F.col("conv_up")) & (F.col("part") == F.col("part_up")),
     ).drop("conv_up", "part_up")
     found = found.repartition("conv", "part").sortWithinPartitions(*order)
-    return found.mapInArrow(_label(model), "conv string, turn bigint, body string, line_no int, line string, role string, starts boolean")
+    return found.mapInArrow(_label(model), "conv string, turn bigint, first bigint, row_key bigint, line_no int, line string, role string, starts boolean")
 
 
 def render(role: Column, lines: Column) -> Column:
@@ -353,11 +357,11 @@ def render(role: Column, lines: Column) -> Column:
 def turns(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
     """Recovered turns: conversation, turn, row_key (hash of the row's text), part, role, n_lines, rendered."""
     labelled = label_lines(rows, train(rows, conversation, turn, role, text), conversation, turn, text)
-    inside = Window.partitionBy("conv", "turn", "row_key").orderBy("line_no")
-    numbered = labelled.withColumn("row_key", F.xxhash64("body")).withColumn("part", F.sum(F.col("starts").cast("int")).over(inside) - 1)
+    inside = Window.partitionBy("conv", "first").orderBy("line_no")
+    numbered = labelled.withColumn("part", F.sum(F.col("starts").cast("int")).over(inside) - 1)
     kind = dict(rows.dtypes)[conversation]
     return (
-        numbered.groupBy("conv", "turn", "row_key", "part", "role")
+        numbered.groupBy("conv", "turn", "first", "row_key", "part", "role")
         .agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
         .select(
             F.col("conv").cast(kind).alias(conversation),
