@@ -17,8 +17,8 @@ of (1 - 0.75 ** ROOT) ** TREES, about 2e-5; all that share one are joined.
 
 Defined results: null and wordless texts have no shingles and are linked with
 nothing; rows without an id are linked with nothing and have no component;
-repeated rows share a class; rows that share an id but not a text are judged row
-by row.
+repeated rows share a class; rows that share an id but not a text are kept or dropped
+each by the class of its own text, and other texts are compared with one of theirs.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ from curveframe.llm.common import (
     content_hashes,
     lower_ascii,
     mix,
+    neutral,
     owners,
     pieces,
+    restored,
     run_hashes,
     stage,
     text_bytes,
@@ -109,8 +111,9 @@ def _describe(id_column: str, text_column: str, shingle: int):
                     pa.array(keys[0]),
                     pa.array(keys[1]),
                     pa.array([row.tobytes() for row in signature], pa.binary()),
+                    piece.column("_digest"),
                 ],
-                ["id", "n_shingles", "key_a", "key_b", "signature"],
+                ["id", "n_shingles", "key_a", "key_b", "signature", "digest"],
             )
 
     return run
@@ -342,17 +345,11 @@ def _rest(held: DataFrame, shingle: int, similarity: int) -> DataFrame:
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    shingle: int = SHINGLE,
-    similarity: int = SIMILARITY,
-) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, class_id (smallest id of equal sets), component_id, kept."""
+def _classed(docs: DataFrame, id_column: str, text_column: str, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with the keys of their class, the classes, and the component of each class that has links."""
     described = stage(
-        docs.select(id_column, text_column).mapInArrow(
-            _describe(id_column, text_column, shingle), "id bigint, n_shingles bigint, key_a bigint, key_b bigint, signature binary"
+        docs.select(id_column, text_column, F.md5(F.coalesce(text_column, F.lit(""))).alias("_digest")).mapInArrow(
+            _describe(id_column, text_column, shingle), "id bigint, n_shingles bigint, key_a bigint, key_b bigint, signature binary, digest string"
         ),
         "signatures",
     )
@@ -360,7 +357,6 @@ def near_duplicates(
     classes = usable.groupBy("key_a", "key_b").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = stage(classes, "classes")
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, classes.count() // 10_000)
-    # Of rows that share an id, the text whose set is the class's own is compared.
     texts = docs.select(F.col(id_column).cast("bigint").alias("node"), F.col(text_column).alias("text")).where(F.col(id_column).isNotNull())
     found = forest(classes, tasks)
     first = found.where(F.col("kind") == PAIR).select("a", "b").unionAll(_crossing(found)).unionAll(_hubs(found)).distinct()
@@ -373,17 +369,43 @@ def near_duplicates(
     # The components found so far are stars; only links between them are new.
     stars = joined.where("node <> component").toDF("a", "b")
     found = components(stars.unionAll(more)) if more.count() else joined
+    return described.drop("signature"), classes, found
+
+
+def _judged(described: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (id, digest) with their class and component."""
     placed = classes.join(found, "node", "left").select("key_a", "key_b", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return described.drop("signature").join(placed, ["key_a", "key_b"], "left").select(
-        F.col("id").alias(id_column),
+    return described.join(placed, ["key_a", "key_b"], "left").select(
+        "id",
+        "digest",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.when(F.col("n_shingles") > 0, component).otherwise(F.col("id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_column), F.lit(True)))
+    )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    shingle: int = SHINGLE,
+    similarity: int = SIMILARITY,
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, class_id (smallest id of equal sets), component_id, kept."""
+    found = _judged(*_classed(docs, id_column, text_column, shingle, similarity)).drop("digest")
+    kept = F.coalesce(F.col("component_id") == F.col("id"), F.lit(True))
+    return found.withColumn("kept", kept).withColumnRenamed("id", id_column)
 
 
 def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component."""
-    kept = near_duplicates(docs, id_column, text_column).where("kept").select(id_column).distinct()
-    return docs.join(kept, docs[id_column].eqNullSafe(kept[id_column]), "left_semi")
+    """The rows of ``docs`` whose id is the smallest of their component.
+
+    Rows are told apart by id and text: of rows that share an id, a dropped one does not come back with a kept one.
+    """
+    named, names = neutral(docs)
+    key, text = names[id_column], names[text_column]
+    described, classes, found = _classed(docs.select(id_column, text_column), id_column, text_column, SHINGLE, SIMILARITY)
+    kept = _judged(described, classes, found).where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "digest").distinct()
+    matched = F.col(key).eqNullSafe(F.col("id")) & (F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("digest"))
+    return restored(named.join(kept, matched, "left_semi"), names)

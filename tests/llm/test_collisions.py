@@ -64,3 +64,12 @@ def test_substring_dedup(spark):
 def test_near_duplicates(spark):
     rows = minhash_forest.near_duplicates(docs(spark, with_words(EVEN), with_words(ODD), with_words(EVEN))).orderBy("doc_id").collect()
     assert [row["component_id"] for row in rows] == [0, 1, 0]
+
+
+def test_survivors_are_told_apart_by_text(spark):
+    text, other = prose(80, 5), prose(80, 6)
+    rows = [(0, text, 1), (1, text, 2), (1, other, 3), (2, other + " end", 4), (None, text, 5), (3, None, 6), (4, "", 7)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, digest int")
+    left = minhash_forest.survivors(frame)
+    assert left.columns == frame.columns
+    assert sorted(row["digest"] for row in left.collect()) == [1, 3, 5, 6, 7]
