@@ -7,18 +7,21 @@ from curveframe.operators import assets, catalog, pages
 from curveframe.sources import las, registry, sinks, witsml
 from curveframe.sources.frames import ingest_array_collection, ingest_frames
 
-NUMERIC_TIME = """~Version
- VERS. 2.0 : CWLS LOG ASCII STANDARD
- WRAP. NO  :
-~Well
- NULL. -999.25 :
-~Curve
- TIME.MS : elapsed
- GR.GAPI : gamma
-~ASCII
- 0 10
- 1000 11
- 2000 12
+NUMERIC_TIME = """~Version block
+ VERS. 2.0 : two
+~Well block
+ NULL. -1 : missing
+ WELL. Kestrel 12 : hole
+~Curve block
+ ETIME.min : minutes since start
+ FLOW.L/S : rate
+~Ascii block
+ 0.5 3.25
+ 1 3.5
+ 1 3.5
+ -1 9
+ 4 -1
+ 6.5 8
 """
 DATE_TIME = """~Version
 VERS. 1.2 : old layout
@@ -61,11 +64,13 @@ GR.GAPI : gamma
 def test_numeric_elapsed_time(raw):
     tables = las.ingest_las(raw(("t", "t.las", NUMERIC_TIME)))
     dataset = tables.datasets.first()
-    assert (dataset.index_unit, dataset.index_minimum, dataset.index_maximum) == ("s", 0.0, 2.0)
+    assert (dataset.index_unit, dataset.index_minimum, dataset.index_maximum) == ("s", 30.0, 390.0)
     assert '"time_index_reference":"elapsed"' in dataset.native_metadata
-    assert '"TIME":"source_time"' in dataset.native_metadata
-    assert [r.value for r in tables.samples.orderBy("ordinal").collect()] == [10.0, 11.0, 12.0]
-    assert [r.index_source["value"] for r in tables.axis.orderBy("ordinal").collect()] == ["0", "1000", "2000"]
+    assert '"ETIME":"source_etime"' in dataset.native_metadata and dataset.row_count == 6
+    assert [r.value for r in tables.samples.orderBy("ordinal").collect()] == [3.25, 3.5, 3.5, 9.0, None, 8.0]
+    axis = tables.axis.orderBy("ordinal").collect()
+    assert [str(r["index"]) for r in axis] == ["30.0", "60.0", "60.0", "nan", "240.0", "390.0"]
+    assert [r.index_source["value"] for r in axis] == ["0.5", "1", "1", "-1", "4", "6.5"]
 
 
 def test_date_and_time_pair(raw):
