@@ -36,22 +36,26 @@ LENGTH = 400
 GRAM = 256
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 PLACE_BITS = np.uint64(36)
+SCAN = 128  # suffixes of a block of Kasai's scan
 
 
 def suffix_array(values: np.ndarray) -> np.ndarray:
     """All suffixes in order.
 
     Larsson-Sadakane: ranks double the number of items they reflect; only suffixes
-    whose group is not settled are sorted again.
+    whose group is not settled are sorted again. Small items start four to a key.
     """
     n = len(values)
-    order = np.argsort(values, kind="stable")
+    first, width = values.astype(np.int64), 1
+    if n and first.max() < (1 << 15) - 1:
+        padded = np.append(first + 1, np.zeros(3, np.int64))
+        first, width = padded[:n] << 45 | padded[1 : n + 1] << 30 | padded[2 : n + 2] << 15 | padded[3:], 4
+    order = np.argsort(first)
     new = np.ones(n, dtype=bool)
-    new[1:] = values[order][1:] != values[order][:-1]
+    new[1:] = first[order][1:] != first[order][:-1]
     rank = np.empty(n, dtype=np.int64)
     starts = np.flatnonzero(new)
     rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-    width = 1
     while width < n:
         sizes = np.diff(np.append(np.flatnonzero(new), n))
         open_ = np.flatnonzero(np.repeat(sizes, sizes) > 1)  # places in the order that groups of two or more hold
@@ -60,12 +64,11 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
         suffixes = order[open_]
         ahead = suffixes + width
         next_rank = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        group = rank[suffixes]
-        again = np.lexsort((next_rank, group))
-        suffixes, group, next_rank = suffixes[again], group[again], next_rank[again]
+        both = rank[suffixes] * (n + 1) + next_rank + 1
+        again = np.argsort(both)
+        suffixes, both = suffixes[again], both[again]
         order[open_] = suffixes
-        new[open_[1:]] = new[open_[1:]] | (next_rank[1:] != next_rank[:-1]) | (group[1:] != group[:-1])
-        new[open_[0]] = True
+        new[open_[1:]] |= both[1:] != both[:-1]
         starts = np.flatnonzero(new)
         rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
         width *= 2
@@ -73,25 +76,44 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
 
 
 def kasai(values: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in order, ``most`` at most."""
+    """Length of the common prefix of each suffix with the one before it in order, ``most`` at most.
+
+    Kasai's scan, in which a suffix starts from one less than the suffix before it,
+    runs over all blocks of ``SCAN`` suffixes in step, eight items a comparison.
+    """
     n = len(values)
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    places, sorted_, items = place.tolist(), order.tolist(), values.tolist()
-    common = [0] * n
-    held = 0
-    for suffix in range(n):
-        at = places[suffix]
-        if at == 0:
-            held = 0
-            continue
-        other = sorted_[at - 1]
-        end = min(n - suffix, n - other, most)
-        while held < end and items[suffix + held] == items[other + held]:
-            held += 1
-        common[at] = held
-        held = max(held - 1, 0)
-    return np.array(common)
+    before = np.full(n, -1, dtype=np.int64)
+    before[order[1:]] = order[:-1]
+    # Eight low bytes from each place on, and where the items beyond a byte start: those are compared one by one.
+    low = np.append((values & 255).astype(np.uint8), np.zeros(8, np.uint8))
+    words = np.lib.stride_tricks.sliding_window_view(low, 8)[: n + 1].copy().view("<u8").ravel()
+    wide = np.append(np.flatnonzero(values > 255), n)
+    until = np.repeat(wide, np.diff(np.append(-1, wide)))[:n]
+    common = np.zeros(n, dtype=np.int64)
+    heads = np.arange(0, n, SCAN)
+    held = np.zeros(len(heads), dtype=np.int64)
+    for step in range(min(SCAN, n)):
+        heads = heads[: np.searchsorted(heads, n - step)]
+        suffix, other = heads + step, before[heads + step]
+        held = np.where(other < 0, 0, np.maximum(held[: len(heads)] - 1, 0))
+        active = np.flatnonzero(other >= 0)
+        while len(active):
+            a, b, at = suffix[active], other[active], held[active]
+            end = np.minimum(np.minimum(n - a, n - b), most)
+            inside = at < end
+            active, a, b, at, end = active[inside], a[inside], b[inside], at[inside], end[inside]
+            if not len(active):
+                break
+            a, b = a + at, b + at
+            differ = words[a] ^ words[b]
+            equal = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+            room = np.minimum(until[a] - a, until[b] - b)
+            one = (room == 0) & (values[a] == values[b])
+            grown = np.where(one, 1, np.minimum(np.minimum(equal, room), end - at))
+            held[active] = at + grown
+            active = active[one | (grown == np.minimum(8, room)) & (grown > 0)]
+        common[suffix] = held
+    return common[order]
 
 
 class Segments:
