@@ -154,9 +154,10 @@ def _judge(verdict: Callable[[dict[str, np.ndarray]], list[np.ndarray]], wide: i
                     [
                         pa.array(packs[some], pa.int64()),
                         pa.array([place] * len(packs[some]), pa.int32()),
+                        pa.array(sizes[some], pa.int32()),
                         pa.array([list(found) for found in zip(*[bit[some] for bit in bits], strict=True)], pa.list_(pa.binary())),
                     ],
-                    ["pack", "place", "masks"],
+                    ["pack", "place", "n", "masks"],
                 )
 
     return run
@@ -182,8 +183,8 @@ def ask(
     schema = "place int, pack bigint, key binary" + "".join(f", {kind} binary" for kind in kinds)
     asked = source.mapInArrow(_ask(make, ranges, wide, kinds), schema)
     dealt = asked.repartition(ranges, "place").sortWithinPartitions("place")
-    judged = dealt.mapInArrow(_judge(verdict, wide, kinds), "pack bigint, place int, masks array<binary>")
-    found = judged.groupBy("pack").agg(F.collect_list(F.struct("place", "masks")).alias(name))
+    judged = dealt.mapInArrow(_judge(verdict, wide, kinds), "pack bigint, place int, n int, masks array<binary>")
+    found = judged.groupBy("pack").agg(F.collect_list(F.struct("place", "n", "masks")).alias(name))
     if answers is not None:
         found = found.join(answers, "pack", "full")
     return stage(found, name), ranges
@@ -200,6 +201,13 @@ def masks_for(keys: Keys, answer: list[dict] | None, ranges: int, number: int) -
     return masks
 
 
+def mask_in_order(answer: list[dict] | None) -> np.ndarray:
+    """The only mask of an answer, in the order of the pack's keys: every range that has keys answers."""
+    parts = sorted(answer or [], key=lambda part: part["place"])
+    bits = [np.unpackbits(np.frombuffer(part["masks"][0], np.uint8), count=part["n"]) for part in parts]
+    return np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)
+
+
 def with_answers(packs: DataFrame, answers: DataFrame) -> DataFrame:
     return packs.join(answers, "pack", "left")
 

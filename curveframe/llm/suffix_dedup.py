@@ -29,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from curveframe.llm.common import BASE, BYTE_VALUES, content_hashes, mix, prefix_hash, span_hash, stage, total_bytes
-from curveframe.llm.exchange import Keys, Pack, ask, gather, masks_for, packs_of, same_as_before, spread, with_answers
+from curveframe.llm.common import BASE, BASE_INVERSE, BYTE_VALUES, content_hashes, mix, powers, prefix_hash, span_hash, stage, total_bytes
+from curveframe.llm.exchange import Keys, Pack, ask, gather, mask_in_order, masks_for, packs_of, same_as_before, spread, with_answers
 
 LENGTH = 400
 GRAM = 256
@@ -122,18 +122,17 @@ class Segments:
     def __init__(self, pack: Pack, length: int, gram: int) -> None:
         self.length = length
         raw, n = pack.raw, len(pack.raw)
-        self.values = BYTE_VALUES[raw]
-        self.prefix = prefix_hash(self.values)
+        self.prefix = prefix_hash(BYTE_VALUES[raw])
         none = np.zeros(0, dtype=np.int64)
         self.first, self.last, self.gram_place, self.gram_hash = none, none, none, none.astype(np.uint64)
         sizes = np.diff(pack.offsets)
         strings = max(n - length + 1, 0)
         if not strings:
             return
-        places = np.arange(n - gram + 1)
-        grams = span_hash(self.prefix, places, places + gram)
+        places = np.arange(n - gram + 1, dtype=np.uint64)
+        grams = mix((self.prefix[gram:] - self.prefix[:-gram]) * powers(BASE_INVERSE, n + 1)[: n - gram + 1] + np.uint64(gram))
         # The upper bits of a hash decide, then the leftmost place: content alone, either way.
-        ranked = (grams >> PLACE_BITS << PLACE_BITS) | places.astype(np.uint64)
+        ranked = (grams >> PLACE_BITS << PLACE_BITS) | places
         span = length - gram + 1
         blocks = -(-len(ranked) // span)
         padded = np.full(blocks * span, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -141,12 +140,10 @@ class Segments:
         padded = padded.reshape(blocks, span)
         ahead = np.minimum.accumulate(padded, axis=1).ravel()
         behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = np.arange(strings)
-        least = np.minimum(behind[starts], ahead[starts + span - 1])
-        at = (least & np.uint64((1 << 36) - 1)).astype(np.int64)
+        least = np.minimum(behind[:strings], ahead[span - 1 : span - 1 + strings])
         ends = np.repeat(pack.offsets[1:], sizes)
-        good = starts + length <= ends[:strings]
-        starts, at = starts[good], at[good]
+        starts = np.flatnonzero(np.arange(length, length + strings) <= ends[:strings])
+        at = (least[starts] & np.uint64((1 << 36) - 1)).astype(np.int64)
         if not len(starts):
             return
         cut = np.ones(len(starts), dtype=bool)
@@ -188,31 +185,54 @@ def judge_counts(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
     return [spread(order, equal, 1 + columns["several"].astype(np.int64), np.add) > 1]
 
 
-def _open_segments(pack: Pack, others: dict, ranges: list[int], length: int, gram: int) -> Segments:
-    """Segments whose least gram has other places."""
-    segments = Segments(pack, length, gram)
-    keys, which = _distinct_grams(segments)
-    segments.keep(masks_for(keys, others["grams"], ranges[0], 1)[0][which])
-    return segments
-
-
-def _distinct_segments(pack: Pack, segments: Segments) -> tuple[Keys, np.ndarray]:
+def _distinct_segments(gram: np.ndarray, hashes: np.ndarray) -> tuple[Keys, np.ndarray]:
     """Distinct segments by gram, whether the pack has two of one, and the number of each segment."""
-    hashes = segments.hashes(pack.raw)
-    order = np.lexsort((hashes, segments.gram_hash))
-    new = ~same_as_before(segments.gram_hash[order], hashes[order])
+    order = np.lexsort((hashes, gram))
+    new = ~same_as_before(gram[order], hashes[order])
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     counts = np.bincount(which, minlength=int(new.sum()))
     first = order[new]
-    return Keys(segments.gram_hash[first], {"segment": hashes[first], "several": (counts > 1).astype(np.uint8)}), which
+    return Keys(gram[first], {"segment": hashes[first], "several": (counts > 1).astype(np.uint8)}), which
 
 
-def segment_keys(ranges: list[int], length: int, gram: int):
-    def make(pack: Pack, others: dict) -> Keys:
-        return _distinct_segments(pack, _open_segments(pack, others, ranges, length, gram))[0]
+def _row(pack: Pack, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """What a pass found in a pack, as a row of its own that holds no text."""
+    none = pa.array([[]], pa.list_(pa.int64()))
+    held = [pa.array([column.tobytes()], pa.binary()) for column in columns.values()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([pack.number], pa.int64()), none, none, pa.array([b""], pa.binary()), *held], ["pack", "ids", "sizes", "body", *columns]
+    )
 
-    return make
+
+FOUND = "pack bigint, ids array<bigint>, sizes array<bigint>, body binary"
+OPEN = f"{FOUND}, first binary, last binary, gram binary, segment binary"
+SORTED = f"{FOUND}, whole binary, starts binary, counts binary, key binary, second binary"
+
+
+def _open(ranges: int, length: int, gram: int):
+    """Segments whose least gram has other places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, others in packs_of(batches):
+            segments = Segments(pack, length, gram)
+            keys, which = _distinct_grams(segments)
+            segments.keep(masks_for(keys, others["grams"], ranges, 1)[0][which])
+            yield _row(
+                pack,
+                {
+                    "first": segments.first.astype("<u4"),
+                    "last": segments.last.astype("<u4"),
+                    "gram": segments.gram_hash.astype("<u8"),
+                    "segment": segments.hashes(pack.raw).astype("<u8"),
+                },
+            )
+
+    return run
+
+
+def _held_segments(others: dict) -> tuple[Keys, np.ndarray]:
+    return _distinct_segments(np.frombuffer(others["gram"], "<u8"), np.frombuffer(others["segment"], "<u8"))
 
 
 def judge_segments(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -227,24 +247,24 @@ def judge_segments(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
     return [twice, spread(order, of_gram, firsts, np.add) > 1]
 
 
-def _sorted_strings(pack: Pack, others: dict, ranges: list[int], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, Keys, np.ndarray]:
-    """Segments that repeat as a whole (as spans), starts of the strings left to sort, their distinct keys, and the key of each start."""
-    segments = _open_segments(pack, others, ranges, length, gram)
+def _sorted_strings(pack: Pack, others: dict, ranges: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments that repeat as a whole (as spans), and of the strings left to sort: starts in the order
+    of their keys, the number of starts of each distinct string, its key and its second key."""
     none = np.zeros(0, np.int64)
-    empty = Keys(none.astype(np.uint64), {"second": none.astype(np.uint32), "several": none.astype(np.uint8)})
-    if not len(segments.first):
-        return np.zeros((0, 2), np.int64), none, empty, none
-    keys, which = _distinct_segments(pack, segments)
-    twice, mixed = (mask[which] for mask in masks_for(keys, others["segments"], ranges[1], 2))
-    whole = np.stack([segments.first[twice], segments.last[twice]], axis=1)
+    if not others["first"]:
+        return np.zeros((0, 2), np.int64), none, none, none, none
+    firsts, lasts = (np.frombuffer(others[name], "<u4").astype(np.int64) for name in ("first", "last"))
+    keys, which = _held_segments(others)
+    twice, mixed = (mask[which] for mask in masks_for(keys, others["segments"], ranges, 2))
+    whole = np.stack([firsts[twice], lasts[twice]], axis=1)
     # Of equal segments of one pack the first is sorted for all; those that occur
     # twice only stand there for other segments to be compared with.
     chosen = np.zeros(len(which), dtype=bool)
     chosen[np.unique(which, return_index=True)[1]] = True
     chosen &= mixed
-    first, last = segments.first[chosen], segments.last[chosen] + length
+    first, last = firsts[chosen], lasts[chosen] + length
     if not len(first):
-        return whole, none, empty, none
+        return whole, none, none, none, none
     # Segments that overlap or touch are sorted as one stretch; stretches end in items no other has.
     cut = np.ones(len(first), dtype=bool)
     cut[1:] = first[1:] > np.maximum.accumulate(last)[:-1]
@@ -266,51 +286,39 @@ def _sorted_strings(pack: Pack, others: dict, ranges: list[int], length: int, gr
     real = (places[order] >= 0) & wanted[np.maximum(places[order], 0)]
     starts, string = places[order][real], string[real]
     # The same place may be told by two stretches only if they overlap, and those are one.
-    numbers, index, which, counts = np.unique(string, return_index=True, return_inverse=True, return_counts=True)
-    head = starts[index]
-    key = span_hash(segments.prefix, head, head + length)
-    other = span_hash(prefix_hash(segments.values, SECOND), head, head + length, SECOND) >> np.uint64(32)
+    cuts = np.flatnonzero(np.append(True, string[1:] != string[:-1])) if len(string) else none
+    counts, head = np.diff(np.append(cuts, len(string))), starts[cuts]
+    byte_values = BYTE_VALUES[pack.raw]
+    key = span_hash(prefix_hash(byte_values), head, head + length)
+    other = span_hash(prefix_hash(byte_values, SECOND), head, head + length, SECOND) >> np.uint64(32)
     by_key = np.argsort(key, kind="stable")
     rank = np.empty(len(by_key), np.int64)
     rank[by_key] = np.arange(len(by_key))
-    return (
-        whole,
-        starts,
-        Keys(key[by_key], {"second": other[by_key].astype(np.uint32), "several": (counts[by_key] > 1).astype(np.uint8)}),
-        rank[which],
-    )
-
-
-SORTED = "pack bigint, ids array<bigint>, sizes array<bigint>, body binary, whole binary, starts binary, which binary, key binary, second binary, several binary"
+    starts = starts[np.argsort(np.repeat(rank, counts), kind="stable")]
+    return whole, starts, counts[by_key], key[by_key], other[by_key]
 
 
-def _sort(ranges: list[int], length: int, gram: int):
-    """What ``_sorted_strings`` finds in each pack, as a row of its own that holds no text."""
-
+def _sort(ranges: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, others in packs_of(batches):
-            whole, starts, keys, which = _sorted_strings(pack, others, ranges, length, gram)
-            columns = {
-                "whole": whole.astype("<i8"),
-                "starts": starts.astype("<u4"),
-                "which": which.astype("<u4"),
-                "key": keys.key.astype("<u8"),
-                "second": keys.beside["second"].astype("<u4"),
-                "several": keys.beside["several"].astype("u1"),
-            }
-            none = pa.array([[]], pa.list_(pa.int64()))
-            held = [pa.array([column.tobytes()], pa.binary()) for column in columns.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([pack.number], pa.int64()), none, none, pa.array([b""], pa.binary()), *held],
-                ["pack", "ids", "sizes", "body", *columns],
+            whole, starts, counts, key, second = _sorted_strings(pack, others, ranges, length)
+            yield _row(
+                pack,
+                {
+                    "whole": whole.astype("<i8"),
+                    "starts": starts.astype("<u4"),
+                    "counts": counts.astype("<u4"),
+                    "key": key.astype("<u8"),
+                    "second": second.astype("<u4"),
+                },
             )
 
     return run
 
 
-def _held_keys(others: dict) -> Keys:
-    beside = {"second": np.frombuffer(others["second"], "<u4"), "several": np.frombuffer(others["several"], "u1")}
-    return Keys(np.frombuffer(others["key"], "<u8"), beside)
+def _held_strings(others: dict) -> Keys:
+    several = (np.frombuffer(others["counts"], "<u4") > 1).astype(np.uint8)
+    return Keys(np.frombuffer(others["key"], "<u8"), {"second": np.frombuffer(others["second"], "<u4"), "several": several})
 
 
 def judge_strings(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
@@ -320,16 +328,16 @@ def judge_strings(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
     return [spread(order, equal, 1 + columns["several"].astype(np.int64), np.add) > 1]
 
 
-def _remove(ranges: int, length: int):
+def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack, others in packs_of(batches):
             whole = np.frombuffer(others["whole"], "<i8").reshape(-1, 2)
-            starts, which = np.frombuffer(others["starts"], "<u4").astype(np.int64), np.frombuffer(others["which"], "<u4")
+            starts, counts = np.frombuffer(others["starts"], "<u4").astype(np.int64), np.frombuffer(others["counts"], "<u4")
             change = np.zeros(len(pack.raw) + 1, np.int64)
             np.add.at(change, whole[:, 0], 1)
             np.add.at(change, whole[:, 1] + length, -1)
             if len(starts):
-                repeated = starts[masks_for(_held_keys(others), others["strings"], ranges, 1)[0][which]]
+                repeated = starts[np.repeat(mask_in_order(others["strings"]), counts)]
                 np.add.at(change, repeated, 1)
                 np.add.at(change, repeated + length, -1)
             gone = np.cumsum(change[:-1]) > 0
@@ -361,16 +369,15 @@ def remove_repeats(
     # Numbers of keys only size the key ranges.
     size = total_bytes(docs, text_column)
     grams = 2 * size // (length - gram + 2)
-    ranges: list[int] = []
     answers, n = ask(packs, None, gram_keys(length, gram), judge_counts, grams, "grams", kinds={"several": "u1"})
-    ranges.append(n)
+    # Each later pass writes what it found beside the packs, so nothing is searched twice.
+    opened = stage(with_answers(packs, answers).mapInArrow(_open(n, length, gram), OPEN), "open")
     kinds = {"segment": "<u8", "several": "u1"}
-    answers, n = ask(packs, answers, segment_keys(list(ranges), length, gram), judge_segments, grams // 2, "segments", kinds=kinds)
-    ranges.append(n)
-    # Strings are searched and sorted once; the last pass reads what was found.
-    found = stage(with_answers(packs, answers).mapInArrow(_sort(ranges, length, gram), SORTED), "sorted")
+    answers, n = ask(opened, None, lambda pack, others: _held_segments(others)[0], judge_segments, grams // 2, "segments", kinds=kinds)
+    opened = opened.drop("ids", "sizes", "body").join(answers, "pack", "left")
+    found = stage(with_answers(packs, opened).mapInArrow(_sort(n, length), SORTED), "sorted")
     kinds = {"second": "<u4", "several": "u1"}
-    repeats, n = ask(found, None, lambda pack, others: _held_keys(others), judge_strings, size // 10, "strings", kinds=kinds)
-    held = with_answers(packs, found.drop("ids", "sizes", "body").join(repeats, "pack", "left"))
+    repeats, _ = ask(found, None, lambda pack, others: _held_strings(others), judge_strings, size // 10, "strings", kinds=kinds)
+    held = with_answers(packs, found.select("pack", "whole", "starts", "counts").join(repeats, "pack", "left"))
     schema = "id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept_bytes binary"
-    return held.mapInArrow(_remove(n, length), schema).withColumnRenamed("id", id_column)
+    return held.mapInArrow(_remove(length), schema).withColumnRenamed("id", id_column)
