@@ -7,9 +7,12 @@
    posterior of a pattern is its label. Patterns number ``3 ** labellers`` at most.
 3. A hashed linear scorer is fitted to the posterior labels of a sample and
    scores every document. Where a table of reviewed rows is given, a reviewer is
-   one more labeller, whose vote replaces the posterior. Both samples, of texts
+   one more labeller, whose vote replaces the posterior and weighs ten times as
+   much. Both samples, of texts
    and of reviewed rows, have ``sample_rows`` rows at most and are chosen by hash;
-   they are the only bounded part.
+   they are the only bounded part. Texts stay in the tasks: those sum up in how
+   many texts of each class a token occurs, and the driver gets the numbers of the
+   telling tokens of each sampled text alone.
 
 The same machinery runs for two targets: quality and freedom from abuse. A
 document is kept when both scores are at least one half.
@@ -27,25 +30,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curveframe.llm.common import SPACE, lower_ascii, mix, neutral, owners, pieces, restored, text_bytes, without, word_hashes, word_spans
+from curveframe.llm.common import SPACE, lower_ascii, mix, neutral, owners, pieces, restored, stage, text_bytes, without, word_hashes, word_spans
 
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 4_000
 HASHED = 1 << 18
 BUCKETS = HASHED + 64  # and three for each labeller
 SHIFT = np.uint64(64 - 18)
 LEAST_Z = 5.0
+OFTEN = 3
+WEAK_WEIGHT = 0.1  # of a text that no reviewer has read, beside one that a reviewer has
+STEMS = (4, 6)  # bytes of a word's beginning that are a token too: abuse is inflected and compounded
 PENALTY = 1e-6
 FULL_WORDS = 40  # texts of fewer words have shorter vectors: they show less
 PIECE_BYTES = 2 << 20
 ROUNDS = 60
 
-# Words of abuse; a public, everyday list.
-ABUSE = """idiot moron stupid trash scum pathetic worthless loser clown disgusting imbecile dumb garbage filth
-vermin jerk creep fool crap bastard bitch asshole damn shit fuck nazi retard slut whore""".split()
+# Words of abuse in English, Spanish, French and German; public, everyday lists.
+INSULTS = """idiot idiots moron morons stupid loser losers clown imbecile dumb jerk creep fool pathetic worthless retard
+idiota idiotas imbécil imbéciles estúpido estúpida tonto pendejo gilipollas inútil payaso patético
+idiote idiotes imbécile imbéciles stupide crétin crétins débile abruti connard connasse minable
+dummkopf trottel vollidiot depp schwachkopf versager blödmann dumm erbärmlich""".split()
+VULGAR = """crap bastard bitch asshole damn shit fuck fucking slut whore
+mierda cabrón bastardo maldito maldita puta hijoputa
+merde putain salaud salope enculé bâtard
+arschloch scheiße scheisse wichser hurensohn schlampe mistkerl""".split()
+CONTEMPT = """trash scum garbage filth vermin disgusting nazi
+basura escoria asqueroso asquerosa
+ordure ordures racaille vermine dégoûtant
+abschaum dreck ungeziefer widerlich""".split()
+ABUSE = (INSULTS, VULGAR, CONTEMPT)
 
 SIGN = np.zeros(256, dtype=bool)
 SIGN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -71,13 +89,13 @@ class Features:
     repeat: np.ndarray  # words equal to the word before, per word
     variety: np.ndarray  # distinct words per word
     length: np.ndarray  # mean word length in bytes
-    abuse: np.ndarray  # words of abuse
-    words: tuple[np.ndarray, np.ndarray]  # owner and hash of each word, signs and case ignored
+    abuse: np.ndarray  # words of each list of abuse, a row for each list
+    words: tuple[np.ndarray, np.ndarray]  # owner and hash of each word and stem, signs and case ignored
     shapes: tuple[np.ndarray, np.ndarray]  # owner and hash of each word's shape
 
 
-def _abuse_hashes() -> np.ndarray:
-    raw, offsets = text_bytes(pa.array(ABUSE))
+def _listed(words: list[str]) -> np.ndarray:
+    raw, offsets = text_bytes(pa.array(words))
     return np.sort(word_hashes(raw, offsets[:-1], offsets[1:]))
 
 
@@ -114,8 +132,15 @@ def features(column: pa.Array) -> Features:
         first_seen[1:] = (core[order][1:] != core[order][:-1]) | (core_docs[order][1:] != core_docs[order][:-1])
     distinct = np.bincount(core_docs[order][first_seen], minlength=len(words)) if len(core) else np.zeros(len(words))
     n_core = np.diff(core_firsts)
-    known = _abuse_hashes()
-    abusive = known[np.minimum(np.searchsorted(known, core), len(known) - 1)] == core
+    abuse = np.zeros((len(ABUSE), len(words)))
+    for row, known in zip(abuse, map(_listed, ABUSE), strict=True):
+        abusive = known[np.minimum(np.searchsorted(known, core), len(known) - 1)] == core
+        row += np.bincount(core_docs[abusive], minlength=len(words))
+    tokens = [(core_docs, core)]
+    for size in STEMS:
+        long = core_ends - core_starts > size
+        stems = word_hashes(low, core_starts[long], core_starts[long] + size)
+        tokens.append((core_docs[long], mix(stems + np.uint64(size))))
     ascii_letters = by_text(UPPER[raw] | LOWER[raw])
     # Tokens: the words, and of each word its shape (case, size, signs, whether it repeats).
     upper = _sums(UPPER[raw], starts, ends)
@@ -133,8 +158,8 @@ def features(column: pa.Array) -> Features:
         repeat=np.bincount(core_docs, weights=same, minlength=len(words)) / np.maximum(n_core, 1) if len(core) else np.zeros(len(words)),
         variety=distinct / np.maximum(n_core, 1),
         length=_sums(letters, offsets[:-1], offsets[1:]) / per,
-        abuse=np.bincount(core_docs, weights=abusive, minlength=len(words)) if len(core) else np.zeros(len(words)),
-        words=(core_docs, core),
+        abuse=abuse,
+        words=tuple(np.concatenate(column) for column in zip(*tokens, strict=True)),
         shapes=(np.concatenate([docs, core_docs]), np.concatenate([shape, echo])),
     )
 
@@ -161,16 +186,10 @@ def quality_votes(f: Features) -> np.ndarray:
 
 
 def abuse_votes(f: Features) -> np.ndarray:
-    """Abuse by count, by density, and shouting as a weak hint."""
-    some, density = f.n_words >= 1, f.abuse / np.maximum(f.n_words, 1)
-    return np.stack(
-        [
-            _vote(f.abuse == 0, f.abuse >= 1, some),
-            _vote(f.abuse == 0, f.abuse >= 2, some),
-            _vote(density == 0, density > 0.002, some),
-        ],
-        axis=1,
-    )
+    """Three kinds of abuse, each with its own words in four languages, and the density of all."""
+    some, density = f.n_words >= 1, f.abuse.sum(axis=0) / np.maximum(f.n_words, 1)
+    kinds = [_vote(count == 0, count >= 1, some) for count in f.abuse]
+    return np.stack([*kinds, _vote(density == 0, density > 0.002, some)], axis=1)
 
 
 def pattern(votes: np.ndarray) -> np.ndarray:
@@ -229,38 +248,37 @@ def quality_vector(f: Features) -> Vector:
 
 
 def word_vector(f: Features) -> Vector:
-    """(text, bucket, value): presence of words. One word can decide, however long the text is."""
+    """(text, bucket, value): presence of words and stems, once and ``OFTEN`` times. One word can decide, however long the text is."""
     owner, tokens = f.words
-    key = np.unique(owner * HASHED + (mix(tokens) >> SHIFT).astype(np.int64))
+    key, counts = np.unique(owner * HASHED + (mix(tokens) >> SHIFT).astype(np.int64), return_counts=True)
+    often = key[counts >= OFTEN]
+    again = (mix((often % HASHED).astype(np.uint64)) >> SHIFT).astype(np.int64)
+    key = np.unique(np.concatenate([key, often // HASHED * HASHED + again]))
     return _with_votes((key // HASHED, key % HASHED, np.ones(len(key))), abuse_votes(f))
 
 
 TARGETS = (("quality", quality_votes, quality_vector), ("abuse", abuse_votes, word_vector))
 
 
-def telling(doc: np.ndarray, bucket: np.ndarray, target: np.ndarray) -> np.ndarray:
+def telling(counts: DataFrame, good: float, bad: float) -> DataFrame:
     """Buckets whose presence differs between the classes by ``LEAST_Z`` standard errors or more."""
-    good, bad = max(target.sum(), 1e-9), max((1 - target).sum(), 1e-9)
-    in_good = np.bincount(bucket, weights=target[doc], minlength=BUCKETS)
-    in_bad = np.bincount(bucket, weights=1 - target[doc], minlength=BUCKETS)
-    share = np.clip((in_good + in_bad) / (good + bad), 1e-9, 1 - 1e-9)
-    error = np.sqrt(share * (1 - share) * (1 / good + 1 / bad))
-    return np.abs(in_good / good - in_bad / bad) >= LEAST_Z * error
+    share = F.greatest(F.least((F.col("in_good") + F.col("in_bad")) / (good + bad), F.lit(1 - 1e-9)), F.lit(1e-9))
+    error = F.sqrt(share * (1 - share) * (1 / good + 1 / bad))
+    return counts.where(F.abs(F.col("in_good") / good - F.col("in_bad") / bad) >= LEAST_Z * error).select("bucket")
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 800) -> np.ndarray:
-    """Logistic regression on soft labels over the telling buckets. The last weight is the bias."""
+def fit(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 800) -> np.ndarray:
+    """Logistic regression on soft labels over telling buckets. The last weight is the bias."""
     n = len(target)
-    used = telling(doc, bucket, target)[bucket]
-    doc, bucket, value = doc[used], bucket[used], value[used]
-    share = np.clip(target.mean(), 1e-3, 1 - 1e-3)
+    share = np.clip(np.average(target, weights=weight), 1e-3, 1 - 1e-3)
+    weight = weight / weight.sum()
     weights = np.zeros(BUCKETS + 1)
     weights[-1] = np.log(share / (1 - share))
     names, place = np.unique(bucket, return_inverse=True)
     held, grown = np.append(np.zeros(len(names)), weights[-1]), np.full(len(names) + 1, 1e-8)
     for _ in range(rounds):
         score = np.bincount(doc, weights=value * held[place], minlength=n) + held[-1]
-        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - target) / n
+        error = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - target) * weight
         slope = np.append(np.bincount(place, weights=value * error[doc], minlength=len(names)), error.sum())
         slope[:-1] += PENALTY * held[:-1]
         grown += slope**2
@@ -309,19 +327,82 @@ def _hash_share(column: str, rows: int, total: int):
     return F.pmod(F.xxhash64(column), F.lit(1 << 32)) < int((1 << 32) * 0.9 * rows / total)
 
 
-def _sample(docs: DataFrame, text_column: str, total: int, labels: DataFrame | None, id_column: str, rows: int) -> pa.Table:
+def _sample(docs: DataFrame, text_column: str, total: int, labels: DataFrame | None, id_column: str, rows: int) -> DataFrame:
     """Texts with the reviewer's votes on quality and abuse, null where none has looked."""
     # Copies share their hash, so a group of copies takes one place whatever its size.
-    sample = docs.select(text_column).where(_hash_share(text_column, rows, total)).distinct().limit(rows)
-    sample = sample.select(text_column, F.lit(None).cast("double").alias("quality"), F.lit(None).cast("double").alias("abuse"))
+    chosen = docs.where(_hash_share(text_column, rows, total))
+    unread = [F.lit(None).cast("double").alias(name) for name in ("quality", "abuse")]
     if labels is None:
-        return sample.toArrow()
+        return chosen.select(text_column, *unread).distinct()
     votes = labels.where(F.col(id_column).isNotNull()).groupBy(id_column)
-    votes = votes.agg(F.avg("quality").alias("quality"), F.avg(1 - F.col("toxic")).alias("abuse"))
+    votes = votes.agg(F.avg("quality").cast("double").alias("quality"), F.avg(1 - F.col("toxic")).cast("double").alias("abuse"))
     reviewed = votes.where(_hash_share(id_column, rows, votes.count())).limit(rows)
     # At most ``rows`` rows of three numbers: small enough to broadcast at any scale.
-    read = docs.select(id_column, text_column).join(F.broadcast(reviewed), id_column).select(sample.columns)
-    return sample.unionAll(read.distinct().limit(rows)).toArrow()
+    reviewed = F.broadcast(reviewed)
+    read = docs.select(id_column, text_column).join(reviewed, id_column).select(text_column, "quality", "abuse")
+    # A reviewer's vote replaces the posterior, so texts that have one are not sampled beside it.
+    sample = chosen.select(id_column, text_column).join(reviewed, id_column, "left_anti").select(text_column, *unread)
+    return sample.distinct().unionAll(read.distinct())
+
+
+def _vectors(text_column: str, posteriors: list[dict[int, float]]):
+    """For each target a row per text: its label and that label's weight, its buckets and their values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, text_column, PIECE_BYTES):
+            f = features(piece.column(text_column))
+            for number, (posterior, (name, votes, vector)) in enumerate(zip(posteriors, TARGETS, strict=True)):
+                doc, bucket, value = vector(f)
+                order = np.argsort(doc, kind="stable")
+                offsets = pa.array(np.searchsorted(doc[order], np.arange(piece.num_rows + 1)).astype(np.int32))
+                reviewer = piece.column(name).to_numpy(zero_copy_only=False)
+                voted = np.array([posterior[code] for code in pattern(votes(f)).tolist()])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(piece.num_rows, number)),
+                        pa.array(np.where(np.isnan(reviewer), voted, reviewer).astype(float)),
+                        pa.array(np.where(np.isnan(reviewer), WEAK_WEIGHT, 1.0)),
+                        pa.ListArray.from_arrays(offsets, pa.array(bucket[order], pa.int32())),
+                        pa.ListArray.from_arrays(offsets, pa.array(value[order], pa.float32())),
+                    ],
+                    ["target", "label", "weight", "buckets", "values"],
+                )
+
+    return run
+
+
+def _fitted(vectors: DataFrame) -> np.ndarray:
+    """Weights from one target's vectors; only telling buckets reach the driver."""
+    in_good, in_bad = F.sum(F.col("weight") * F.col("label")), F.sum(F.col("weight") * (1 - F.col("label")))
+    sums = vectors.agg(in_good.alias("good"), in_bad.alias("bad")).first()
+    if sums["good"] is None:
+        return np.zeros(BUCKETS + 1)
+    present = vectors.select("label", "weight", F.explode("buckets").alias("bucket")).groupBy("bucket")
+    counts = present.agg(in_good.alias("in_good"), in_bad.alias("in_bad"))
+    names = np.array([row["bucket"] for row in telling(counts, max(sums["good"], 1e-9), max(sums["bad"], 1e-9)).collect()], dtype=np.int64)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BUCKETS, dtype=bool)
+        bits[names] = True
+        for batch in batches:
+            lists = batch.column("buckets")
+            bucket = lists.flatten().to_numpy()
+            value = batch.column("values").flatten().to_numpy()
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            used = bits[bucket]
+            offsets = pa.array(np.searchsorted(doc[used], np.arange(batch.num_rows + 1)).astype(np.int32))
+            columns = [
+                batch.column("label"),
+                batch.column("weight"),
+                pa.ListArray.from_arrays(offsets, pa.array(bucket[used], pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(value[used], pa.float32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "weight", "buckets", "values"])
+
+    held = vectors.mapInArrow(narrow, "label double, weight double, buckets array<int>, values array<float>").toArrow().combine_chunks()
+    sizes = pc.list_value_length(held["buckets"]).to_numpy()
+    bucket, value = (pc.list_flatten(held[name]).to_numpy() for name in ("buckets", "values"))
+    return fit(np.repeat(np.arange(held.num_rows), sizes), bucket, value, held["label"].to_numpy(), held["weight"].to_numpy())
 
 
 def train(
@@ -337,29 +418,16 @@ def train(
     total = sum(row["n"] for row in rows if row["target"] == 0)
     if not total:
         return [np.zeros(BUCKETS + 1) for _ in TARGETS]
-    sample = _sample(docs, text_column, total, labels, id_column, sample_rows)
-    parts: list[list[tuple]] = [[] for _ in TARGETS]
-    base = 0
-    for piece in pieces(sample.to_batches(), text_column, PIECE_BYTES):
-        f = features(piece.column(text_column))
-        for held, (name, votes, vector) in zip(parts, TARGETS, strict=True):
-            doc, bucket, value = vector(f)
-            reviewer = piece.column(name).to_numpy(zero_copy_only=False)
-            held.append((doc + np.int32(base), bucket, value, pattern(votes(f)), reviewer))
-        base += piece.num_rows
-        del f, piece
-    del sample
-    weights = []
+    posteriors = []
     for target, (_, votes, _) in enumerate(TARGETS):
         codes = np.array([row["code"] for row in rows if row["target"] == target])
         counts = np.array([row["n"] for row in rows if row["target"] == target], dtype=float)
         labellers = votes(features(pa.array([""]))).shape[1]
-        posterior = dict(zip(codes.tolist(), estimate(codes, counts, labellers).tolist(), strict=True))
-        doc, bucket, value, voted, reviewer = (np.concatenate(column) for column in zip(*parts[target], strict=True))
-        label = np.array([posterior[code] for code in voted.tolist()])
-        parts[target] = []
-        weights.append(fit(doc, bucket, value, np.where(np.isnan(reviewer), label, reviewer)))
-        del doc, bucket, value, voted, reviewer
+        posteriors.append(dict(zip(codes.tolist(), estimate(codes, counts, labellers).tolist(), strict=True)))
+    schema = "target bigint, label double, weight double, buckets array<int>, values array<float>"
+    sample = _sample(docs, text_column, total, labels, id_column, sample_rows)
+    vectors = stage(sample.mapInArrow(_vectors(text_column, posteriors), schema), "vectors")
+    weights = [_fitted(vectors.where(F.col("target") == target).drop("target")) for target in range(len(TARGETS))]
     # The driver lives on through later stages.
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -27,6 +27,20 @@ def test_classifier_on_reviewed_rows_it_has_not_seen(spark):
     assert sum(row["p_civil"] >= 0.5 for row in civil) >= 0.99 * len(civil)
 
 
+def test_abuse_in_each_language_on_reviewed_rows_it_has_not_seen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = "pmod(hash(doc_id), 2) = 0"
+    found = quality.score(docs.join(labels, "doc_id", "semi"), labels.where(half)).join(labels.where(f"NOT {half}"), "doc_id").collect()
+    shares = {}
+    for lang in ("en", "fr", "de", "es"):
+        toxic = [row["p_civil"] < 0.5 for row in found if row["toxic"] == 1 and row["lang"] == lang]
+        shares[lang] = sum(toxic) / len(toxic)
+    assert shares["en"] >= 0.9 and min(shares.values()) >= 0.5, shares
+    civil = [row["p_civil"] >= 0.5 for row in found if row["toxic"] == 0]
+    assert sum(civil) >= 0.99 * len(civil)
+
+
 def test_classifier_edges(spark):
     docs = frame(spark, rows() + rows()[:4])
     found = quality.score(docs)
