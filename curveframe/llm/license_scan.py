@@ -1,14 +1,31 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams.
 
-Lines, blank-line separated paragraphs and the whole text of each document are
-the units compared, in DataFrame functions only and without any shuffle. A unit
-can only reach the threshold with templates of like size (size bounds), and only
-if it holds one of the bigrams of a template's prefix in a fixed order; documents
-without such a bigram are not taken apart.
+Texts fall into sentences, which end at a line break or behind one of ``.!?;:`` and
+a blank. Words are runs of letters and digits, so comment signs and blank lines
+vanish. The units compared are runs of whole sentences: for a template of m words,
+from each sentence on the longest run of at most and the shortest run of at least
+3m/4, m and 4m/3 words (2m at most), so a notice is found inside code and prose and
+with a part missing or added. Everything is done by DataFrame functions inside the
+row, without a shuffle.
+
+Pruning loses nothing: a text needs one of the words without which no template can
+be reached, then one of the bigrams of a template's prefix in a fixed order, and a
+block of it as many bigrams of a template as the threshold asks for; the size of a
+run must lie within the template's size bounds. Long texts are scanned in blocks
+that hold whatever a run that starts in them, or competes with it, can reach.
+
+Of the runs that reach the threshold and start at one sentence the one with the
+greatest weight counts (then the first licence by id, then the longer run). The
+weight is the number of common bigrams less those missing and those added, so a
+short template does not win over the longer text that begins with it. The run is a
+finding unless one of more weight (then by licence, then the earlier) has more than
+half of the words of the shorter of both in common with it.
 
 Defined results: null and empty texts have no finding; of templates with equal
-scores the first by id counts; repeated rows each get theirs; units are counted
-from 0 within their kind.
+weights the first by id counts; repeated rows each get theirs. ``unit`` is ``line``,
+or ``paragraph`` for a run over several lines; ``unit_no`` and ``last_no`` are the
+numbers of its first and last line from 0, ``start`` and ``words`` its place in
+words of the text.
 """
 
 from __future__ import annotations
@@ -16,75 +33,42 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curveframe.llm.license_texts import TEMPLATES
+
 THRESHOLD = 0.75
+BLOCK_WORDS = 4096
+SENTENCE_END = r"[.!?;:][ \t\r]+"
+NO_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+
+# Words too common to tell a notice from other text.
+COMMON_WORDS = (
+    "a all an and any are as at be been by can for from has have in is it its may no not of on one or other shall should "
+    "such that the these this to under use was which will with without you your"
+).split()
+
 
-# Notices and short licence texts as their publishers word them.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
-        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
-        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
-        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
-        "specific language governing permissions and limitations under the License."
-    )],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
-        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
-        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
-        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
-        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
-        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
-        "DEALINGS IN THE SOFTWARE."
-    )],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
-        "General Public License for more details."
-    )],
-    "ISC": [(
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."
-    )],
-    "BSD-2-Clause": [(
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
-        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
-        "materials provided with the distribution."
-    )],
-    "CC-BY-4.0": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "CC-BY-SA-4.0": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-}
+def _word_list(text: str) -> list[str]:
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
 
 
 def _bigrams(text: str) -> list[str]:
-    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+    words = _word_list(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def template_rows(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
-    """(licence id, distinct bigrams) of every template text, by id."""
-    return [(name, _bigrams(text)) for name in sorted(templates) for text in templates[name]]
+def template_rows(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str, list[str], int]]:
+    """(licence id, distinct bigrams, number of words) of every template text, by id."""
+    return [
+        (name, _bigrams(text), len(_word_list(text)))
+        for name in sorted(templates)
+        for text in templates[name]
+        if len(_word_list(text)) > 1
+    ]
 
 
 def size_bounds(size: int, threshold: float) -> tuple[int, int]:
@@ -92,34 +76,110 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(threshold * size / (2 - threshold)), math.floor((2 - threshold) * size / threshold)
 
 
-def prefix_bigrams(rows: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+def targets(words: int) -> list[int]:
+    """Lengths in words that runs compared with a template of ``words`` words aim at."""
+    return [3 * words // 4, words, 4 * words // 3]
+
+
+def prefix_bigrams(rows: list[tuple[str, list[str], int]], threshold: float) -> list[str]:
     """Bigrams of which a unit needs one to reach ``threshold`` with any template.
 
     The overlap with a template of n bigrams is threshold / (2 - threshold) * n at
     least, so one of any n - overlap + 1 of them is in the unit; those with the
     longest words, which are the rarest in running text, are taken.
     """
-    shared = Counter(bigram for _, bigrams in rows for bigram in set(bigrams))
+    shared = Counter(bigram for _, bigrams, _ in rows for bigram in set(bigrams))
     needed: set[str] = set()
-    for _, bigrams in rows:
-        overlap = math.ceil(threshold * len(bigrams) / (2 - threshold))
+    for _, bigrams, _ in rows:
+        overlap = size_bounds(len(bigrams), threshold)[0]
         order = sorted(bigrams, key=lambda b: (-min(len(w) for w in b.split()), -len(b), shared[b], b))
         needed.update(order[: len(bigrams) - overlap + 1])
     return sorted(needed)
 
 
-def _normal(text: Column) -> Column:
-    """Lower case, other signs to single blanks; line breaks stay."""
-    return F.regexp_replace(F.lower(text), r"[^0-9a-z\x{80}-\x{10FFFF}\n]+", " ")
+def needed_words(rows: list[tuple[str, list[str], int]], threshold: float) -> tuple[list[str], list[str]]:
+    """Words of which a text needs one to reach ``threshold`` with any template: long ones, and short ones.
+
+    Words are taken until more bigrams of a template hold one of them than a unit may
+    lack; long words, those taken before and those in many bigrams come first.
+    """
+    taken: set[str] = set()
+    for _, bigrams, _ in rows:
+        overlap = size_bounds(len(bigrams), threshold)[0]
+        left = {bigram for bigram in bigrams if not set(bigram.split()) & taken}
+        while len(left) >= overlap:
+            held = Counter(word for bigram in left for word in set(bigram.split()))
+            best = min(
+                held, key=lambda w: (w in COMMON_WORDS or w.isdigit(), len(w) < 5, -held[w] * min(len(w), 8), w)
+            )
+            taken.add(best)
+            left = {bigram for bigram in left if best not in bigram.split()}
+    long = {word for word in taken if len(word) >= 5}
+    long = {word for word in long if not any(other != word and other in word for other in long)}
+    return sorted(long), sorted(word for word in taken if len(word) < 5 and not any(part in word for part in long))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _texts(values: list[str]) -> Column:
+    """An array of texts without line breaks; one literal, which Spark splits once."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def _tokens(text: Column) -> Column:
+    """Words of a text in order: word, whether a sentence starts with it, number of its line."""
+
+    def sentence(body: Column, line: Column) -> Column:
+        words = F.filter(F.split(body, NO_WORD), lambda word: word != "")
+        return F.transform(words, lambda word, i: F.struct(word.alias("word"), (i == 0).alias("first"), line.alias("line")))
+
+    def of_line(body: Column, line: Column) -> Column:
+        return F.flatten(F.transform(F.split(body, SENTENCE_END), lambda part: sentence(part, line)))
+
+    return F.flatten(F.transform(F.split(F.lower(text), "\n"), of_line))
 
 
-def _pairs(words: Column) -> Column:
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+def _pairs(tokens: Column) -> Column:
+    n = F.size(tokens)
+    return F.zip_with(
+        F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))),
+        F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))),
+        lambda a, b: F.concat_ws(" ", a["word"], b["word"]),
+    )
+
+
+def _blocks(text: Column, needed: list[str], reach: int, block: int) -> Column:
+    """Blocks of ``block`` words of a text that holds a needed bigram, with what lies ``reach`` before and twice that behind."""
+
+    def of(tokens: Column, pairs: Column) -> Column:
+        n = F.size(tokens)
+
+        def cut(number: Column) -> Column:
+            own = number * block
+            first = F.greatest(own - reach, F.lit(0))
+            last = F.least(own + block + 2 * reach, n)
 
+            def of_held(held: Column) -> Column:
+                flags = F.transform(held, lambda token, i: F.when(token["first"], i))
+                return F.struct(
+                    first.alias("at"),
+                    (own - first).alias("own"),
+                    F.least(own + block, n).alias("until"),
+                    (last == n).alias("ends"),
+                    F.transform(held, lambda token: token["line"]).alias("lines"),
+                    F.filter(flags, lambda i: i.isNotNull()).alias("starts"),
+                    F.slice(pairs, first + 1, F.greatest(last - first - 1, F.lit(0))).alias("pairs"),
+                )
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[ \n]+"), lambda word: word != "")
+            return _let(F.slice(tokens, first + 1, last - first), of_held)
+
+        numbers = F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))
+        return F.when(F.arrays_overlap(pairs, _texts(needed)), F.transform(numbers, cut))
+
+    return _let(_tokens(text), lambda tokens: _let(_pairs(tokens), lambda pairs: of(tokens, pairs)))
 
 
 def findings(
@@ -128,42 +188,115 @@ def findings(
     text_column: str = "text",
     templates: dict[str, list[str]] = TEMPLATES,
     threshold: float = THRESHOLD,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per unit that reaches ``threshold`` with a licence: id, unit, unit_no, license_id, dice."""
+    """One row per finding: id, unit, unit_no, last_no, start, words, license_id, dice."""
     rows = template_rows(templates)
-    needed = prefix_bigrams(rows, threshold)
-    held = F.exists(_pairs(_words(F.col("normal"))), lambda pair: pair.isin(needed))
-    normal = docs.select(F.col(id_column), _normal(F.col(text_column)).alias("normal")).where(held)
-    lines = F.split("normal", "\n")
-    paragraphs = F.split("normal", r"\n *\n[ \n]*")
-    kinds = F.array(
-        _units("line", lines),
-        _units("paragraph", F.when(F.size(paragraphs) < F.size(lines), paragraphs)),
-        _units("text", F.when((F.size(lines) > 1) & (F.size(paragraphs) > 1), F.array("normal"))),
+    names = list(dict.fromkeys(name for name, _, _ in rows))
+    reach = 2 * max(words for _, _, words in rows)
+    lowered = F.lower(F.col(text_column))
+    long, short = needed_words(rows, threshold)
+    asked = [lowered.contains(word) for word in long]
+    if short:
+        asked.append(lowered.rlike(rf"(?<![0-9a-z\x{{80}}-\x{{10FFFF}}])(?:{'|'.join(short)})(?![0-9a-z\x{{80}}-\x{{10FFFF}}])"))
+    some = asked[0]
+    for other in asked[1:]:
+        some = some | other
+    blocks = docs.where(some).select(
+        F.col(id_column), F.explode(_blocks(F.col(text_column), prefix_bigrams(rows, threshold), reach, block_words)).alias("block")
     )
-    units = normal.select(id_column, F.explode(F.flatten(kinds)).alias("at")).select(
-        id_column, "at.unit", "at.unit_no", F.array_distinct(_pairs(_words(F.col("at.body")))).alias("pairs")
+    found = blocks.select(id_column, "block.lines", "block.at", F.explode(_best(F.col("block"), rows, names, threshold)).alias("one"))
+    first, last = F.get("lines", F.col("one.start")), F.get("lines", F.col("one.stop") - 1)
+    license_id = F.element_at(_texts(names), (1 - F.col("one.rank.number")).cast("int"))
+    return found.select(
+        id_column,
+        F.when(first == last, "line").otherwise("paragraph").alias("unit"),
+        first.alias("unit_no"),
+        last.alias("last_no"),
+        (F.col("at") + F.col("one.start")).alias("start"),
+        (F.col("one.stop") - F.col("one.start")).alias("words"),
+        license_id.alias("license_id"),
+        F.round("one.rank.dice", 6).alias("dice"),
     )
-    names = list(dict.fromkeys(name for name, _ in rows))
-    scores = F.array(*[_score(names.index(name), bigrams, threshold) for name, bigrams in rows])
-    best = F.array_max(F.filter(scores, lambda score: score["dice"] >= threshold))
-    license_id = F.element_at(F.array(*map(F.lit, names)), (1 - F.col("best.number")).cast("int"))
-    return units.select(id_column, "unit", "unit_no", best.alias("best")).where("best IS NOT NULL").select(
-        id_column, "unit", "unit_no", license_id.alias("license_id"), F.round("best.dice", 6).alias("dice")
+
+
+def _best(block: Column, rows: list[tuple[str, list[str], int]], names: list[str], threshold: float) -> Column:
+    """Findings of a block that start in its own words: start, stop, rank."""
+    known = F.array(
+        *[
+            F.struct(
+                F.lit(-names.index(name)).alias("number"),
+                _texts(bigrams).alias("bigrams"),
+                F.lit(words).alias("words"),
+                F.array(*map(F.lit, targets(words))).alias("targets"),
+                *[F.lit(bound).alias(key) for key, bound in zip(("low", "high"), size_bounds(len(bigrams), threshold), strict=True)],
+            )
+            for name, bigrams, words in rows
+        ]
     )
+    pairs, starts = block["pairs"], block["starts"]
+    cuts = F.when(block["ends"], F.concat(starts, F.array(F.size(block["lines"])))).otherwise(starts)
 
+    def held(hits: Column) -> Column:
+        return F.filter(known, lambda t: F.size(F.array_intersect(hits, t["bigrams"])) >= t["low"])
 
-def _units(kind: str, bodies: Column) -> Column:
-    none = F.array().cast("array<struct<unit:string,unit_no:int,body:string>>")
-    rows = F.transform(bodies, lambda body, i: F.struct(F.lit(kind).alias("unit"), i.alias("unit_no"), body.alias("body")))
-    return F.coalesce(rows, none)
+    def stops(start: Column, ahead: Column, t: Column) -> Column:
+        def around(target: Column) -> Column:
+            under = F.array_max(F.filter(ahead, lambda cut: cut <= start + target))
+            over = F.array_min(F.filter(ahead, lambda cut: cut >= start + target))
+            return F.array(under, over)
 
+        both = F.array_distinct(F.flatten(F.transform(t["targets"], around)))
+        return F.filter(both, lambda cut: cut.isNotNull())
 
-def _score(number: int, bigrams: list[str], threshold: float) -> Column:
-    low, high = size_bounds(len(bigrams), threshold)
-    size = F.size("pairs")
-    common = F.size(F.array_intersect("pairs", F.array(*map(F.lit, bigrams))))
-    return F.when(
-        size.between(low, high),
-        F.struct((2.0 * common / (size + len(bigrams))).alias("dice"), F.lit(-number).alias("number")),
-    )
+    def score(start: Column, stop: Column, t: Column) -> Column:
+        def of(run: Column) -> Column:
+            common = F.size(F.array_intersect(run, t["bigrams"]))
+            dice = 2.0 * common / (F.size(run) + F.size(t["bigrams"]))
+            return F.when(
+                F.size(run).between(t["low"], t["high"]),
+                F.struct(
+                    (3 * common - F.size(run) - F.size(t["bigrams"])).alias("weight"),
+                    t["number"].alias("number"),
+                    stop.alias("stop"),
+                    dice.alias("dice"),
+                ),
+            )
+
+        return _let(F.array_distinct(F.slice(pairs, start + 1, F.greatest(stop - start - 1, F.lit(0)))), of)
+
+    def best_from(start: Column, cuts: Column, place: Column, templates: Column) -> Column:
+        def of(t: Column) -> Column:
+            ahead = F.filter(F.slice(cuts, place + 2, 2 * t["words"]), lambda cut: cut <= start + 2 * t["words"])
+            return _let(ahead, lambda near: F.transform(stops(start, near, t), lambda stop: score(start, stop, t)))
+
+        scores = F.filter(F.flatten(F.transform(templates, of)), lambda one: one["dice"] >= threshold)
+        return F.struct(start.alias("start"), F.array_max(scores).alias("rank"))
+
+    def better(a: Column, b: Column) -> Column:
+        return (a["rank"]["weight"] > b["rank"]["weight"]) | (
+            (a["rank"]["weight"] == b["rank"]["weight"])
+            & (
+                (a["rank"]["number"] > b["rank"]["number"])
+                | ((a["rank"]["number"] == b["rank"]["number"]) & (a["start"] < b["start"]))
+            )
+        )
+
+    def shares(a: Column, b: Column) -> Column:
+        common = F.least(a["rank"]["stop"], b["rank"]["stop"]) - F.greatest(a["start"], b["start"])
+        return 2 * common > F.least(a["rank"]["stop"] - a["start"], b["rank"]["stop"] - b["start"])
+
+    def chosen(all_: Column) -> Column:
+        own = F.filter(all_, lambda a: (a["start"] >= block["own"]) & (a["start"] < block["until"] - block["at"]))
+        kept = F.filter(own, lambda a: ~F.exists(all_, lambda b: shares(a, b) & better(b, a)))
+        return F.transform(
+            kept, lambda a: F.struct(a["start"].alias("start"), a["rank"]["stop"].alias("stop"), a["rank"].alias("rank"))
+        )
+
+    def of(templates: Column, cuts: Column) -> Column:
+        runs = F.transform(starts, lambda start, place: best_from(start, cuts, place, templates))
+        return F.when(F.size(templates) > 0, _let(F.filter(runs, lambda run: run["rank"].isNotNull()), chosen))
+
+    every = sorted({bigram for _, bigrams, _ in rows for bigram in bigrams})
+    hits = F.array_intersect(pairs, _texts(every))
+    return _let(_let(hits, held), lambda templates: _let(cuts, lambda cuts: of(templates, cuts)))

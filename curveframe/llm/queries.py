@@ -120,43 +120,75 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    rows = license_scan.template_rows()
-    quoted = [(name, "[" + ",".join("'" + pair.replace("'", "''") + "'" for pair in pairs) + "]") for name, pairs in rows]
-    values = ",".join(f"('{name}', {pairs})" for name, pairs in quoted)
-    words = "list_filter(string_split_regex({}, '[ \\n]+'), lambda w: w <> '')"
+    values = ",".join(
+        f"('{name}', [{','.join(repr(pair) for pair in pairs)}], {words}, {license_scan.targets(words)})"
+        for name, pairs, words in license_scan.template_rows()
+    )
+    least = license_scan.THRESHOLD / (2 - license_scan.THRESHOLD)
     return f"""
-WITH templates(license_id, wanted) AS (VALUES {values}),
-normal AS (
-  SELECT doc_id, regexp_replace(lower(text), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}\\n]+', ' ', 'g') AS body FROM documents
+WITH listed(license_id, wanted, size, aims) AS (VALUES {values}),
+templates AS (SELECT row_number() OVER () AS template, * FROM listed),
+docs AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(lower(text), chr(10)) AS bodies FROM documents),
+lines AS (SELECT row_no, generate_subscripts(bodies, 1) - 1 AS line, unnest(bodies) AS body FROM docs),
+cut AS (SELECT row_no, line, string_split_regex(body, '[.!?;:][ \\t\\r]+') AS parts FROM lines),
+sentences AS (SELECT row_no, line, generate_subscripts(parts, 1) AS part, unnest(parts) AS body FROM cut),
+worded AS (
+  SELECT row_no, line, part,
+    list_filter(string_split_regex(body, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w <> '') AS words
+  FROM sentences
 ),
-cut AS (
-  SELECT doc_id, body, string_split(body, chr(10)) AS lines,
-    string_split_regex(body, '\\n *\\n[ \\n]*') AS paragraphs
-  FROM normal
+single AS (SELECT row_no, line, part, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM worded),
+tokens AS (
+  SELECT row_no, line, i, row_number() OVER seq - 1 AS place, word || ' ' || lead(word) OVER seq AS pair
+  FROM single WINDOW seq AS (PARTITION BY row_no ORDER BY line, part, i)
 ),
-units AS (
-  SELECT doc_id, 'line' AS unit, generate_subscripts(lines, 1) - 1 AS unit_no, unnest(lines) AS body FROM cut
-  UNION ALL
-  SELECT doc_id, 'paragraph', generate_subscripts(paragraphs, 1) - 1, unnest(paragraphs) FROM cut
-  WHERE len(paragraphs) < len(lines)
-  UNION ALL
-  SELECT doc_id, 'text', 0, body FROM cut WHERE len(lines) > 1 AND len(paragraphs) > 1
+held AS (
+  SELECT row_no, template FROM (SELECT DISTINCT row_no, pair FROM tokens)
+  JOIN (SELECT template, unnest(wanted) AS pair, len(wanted) AS n FROM templates) USING (pair)
+  GROUP BY row_no, template, n HAVING count(*) >= {least} * n - 1e-9
 ),
-worded AS (SELECT doc_id, unit, unit_no, {words.format("body")} AS words FROM units),
-paired AS (
-  SELECT doc_id, unit, unit_no,
-    list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs
-  FROM worded
+whole AS (
+  SELECT row_no, list(pair ORDER BY place) AS pairs, list(line ORDER BY place) AS at_line
+  FROM tokens WHERE row_no IN (SELECT row_no FROM held) GROUP BY row_no
 ),
+cuts AS (
+  SELECT row_no, place AS cut FROM tokens WHERE i = 1
+  UNION ALL SELECT row_no, len(pairs) FROM whole
+),
+aimed AS (
+  SELECT row_no, template, license_id, wanted, size, cut AS start, unnest(aims) AS aim
+  FROM held JOIN templates USING (template) JOIN cuts USING (row_no)
+),
+reached AS (
+  SELECT a.row_no, template, license_id, wanted, start, aim,
+    max(cut) FILTER (cut <= start + aim) AS under, min(cut) FILTER (cut >= start + aim) AS above
+  FROM aimed a JOIN cuts c ON a.row_no = c.row_no AND c.cut > start AND c.cut <= start + 2 * size
+  GROUP BY ALL
+),
+runs AS (
+  SELECT row_no, template, license_id, wanted, start, under AS stop FROM reached WHERE under IS NOT NULL
+  UNION SELECT row_no, template, license_id, wanted, start, above FROM reached WHERE above IS NOT NULL
+),
+paired AS (SELECT r.*, list_distinct(pairs[start + 1:stop - 1]) AS held FROM runs r JOIN whole USING (row_no)),
 scored AS (
-  SELECT doc_id, unit, unit_no, license_id,
-    2.0::DOUBLE * len(list_intersect(pairs, wanted)) / (len(pairs) + len(wanted)) AS dice
-  FROM paired JOIN templates ON len(pairs) BETWEEN len(wanted) / 3 AND 3 * len(wanted)
-),
-ranked AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, unit, unit_no) AS best FROM scored)
-SELECT doc_id, unit, unit_no::INT AS unit_no, min(license_id) FILTER (dice = best) AS license_id,
-  round(max(dice), 6) AS dice
-FROM ranked WHERE dice >= {license_scan.THRESHOLD} GROUP BY doc_id, unit, unit_no"""
+  SELECT *, 2.0::DOUBLE * common / (len(held) + len(wanted)) AS dice, 3 * common - len(held) - len(wanted) AS weight
+  FROM (SELECT *, len(list_intersect(held, wanted)) AS common FROM paired)
+),
+best AS (
+  SELECT row_no, start, license_id, stop, dice, weight FROM scored WHERE dice >= {license_scan.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY row_no, start ORDER BY weight DESC, license_id, stop DESC) = 1
+),
+chosen AS (
+  SELECT * FROM best a WHERE NOT EXISTS (
+    SELECT 1 FROM best b WHERE b.row_no = a.row_no
+      AND 2 * (least(a.stop, b.stop) - greatest(a.start, b.start)) > least(a.stop - a.start, b.stop - b.start)
+      AND (b.weight > a.weight OR b.weight = a.weight AND (b.license_id < a.license_id
+        OR b.license_id = a.license_id AND b.start < a.start)))
+)
+SELECT doc_id, CASE WHEN at_line[start + 1] = at_line[stop] THEN 'line' ELSE 'paragraph' END AS unit,
+  at_line[start + 1]::INT AS unit_no, at_line[stop]::INT AS last_no, start::INT AS start, (stop - start)::INT AS words,
+  license_id, round(dice, 6) AS dice
+FROM chosen JOIN whole USING (row_no) JOIN docs USING (row_no)"""
 
 
 @query(_license_sql())

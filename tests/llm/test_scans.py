@@ -1,6 +1,7 @@
 """Secret, licence and benchmark scans against brute force."""
 
 import re
+import textwrap
 
 import pytest
 from helpers import awkward_texts, frame, lower, prose, rows
@@ -69,6 +70,76 @@ def test_licences(spark):
     assert license_scan.findings(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def _licence_texts():
+    """Notices in code and prose, with usual line breaks and comment signs, cut, enlarged, doubled and side by side."""
+    texts = license_scan.TEMPLATES
+    code = [f"    value_{i} = compute(value_{i - 1}, {i})  # step {i}" for i in range(1, 400)]
+
+    def comment(text, sign, width=66):
+        paragraphs = text.split(". ")
+        lines = []
+        for part in paragraphs:
+            lines += [f"{sign} {line}" for line in textwrap.wrap(part + ".", width)] + [sign]
+        return lines
+
+    mit, apache, gpl, bsd = (texts[name][-1] for name in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause"))
+    words = mit.split()
+    return [
+        "\n".join([*comment(mit, "//"), *code[:80]]),
+        "\n".join([*code[:120], *comment(apache, " *"), *code[:300]]),
+        prose(300, 1) + "\n\n" + gpl + " " + prose(200, 2),
+        "\n".join(["#!/bin/sh", *comment(bsd, "#"), "", *comment(mit, "#"), *code[:50]]),
+        "\n".join([*comment(" ".join(words[:120]), "--"), *code[:200]]),
+        "\n".join(comment(" ".join(w for at, w in enumerate(words) for w in ([w, "indeed"] if at % 12 == 0 else [w])), "")),
+        "\n".join([*comment(mit, "//"), *comment(mit, "//")] * 5),
+        prose(40, 3) + ". Licensed under the MIT License. " + prose(40, 4) + ". Licensed under CC BY-NC 4.0! " + prose(9, 5),
+        "Licensed under the Apache License, Version 2.0 or Licensed under the MIT License",
+        "licensed under", "the software is provided as is", "\n".join(code),
+    ]
+
+
+def test_licences_inside_code_and_prose(spark):
+    texts = _licence_texts()
+    found = license_scan.findings(frame(spark, rows(texts))).collect()
+    got = {at: sorted(row["license_id"] for row in found if row["doc_id"] == at) for at in range(len(texts))}
+    assert got[0] == ["MIT"] and got[1] == ["Apache-2.0"] and got[2] == ["GPL-3.0"]
+    assert got[3] == ["BSD-3-Clause", "MIT"] and got[4] == ["MIT"] and got[5] == ["MIT"]
+    assert got[6] == ["MIT"] * 10 and got[7] == ["CC-BY-NC-4.0", "MIT"]
+    assert got[9] == got[10] == got[11] == []
+    apache = next(row for row in found if row["doc_id"] == 1)
+    lines = texts[1].split("\n")
+    assert "Licensed under the Apache" in lines[apache["unit_no"]] and "limitations" in "".join(
+        lines[apache["last_no"] - 1 : apache["last_no"] + 1]
+    )
+    small = license_scan.findings(frame(spark, rows(texts)), block_words=64).collect()
+    assert sorted(small) == sorted(found)
+
+
+def test_licences_equal_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from curveframe.llm.queries import ORACLES
+
+    data = rows([*awkward_texts(), *_licence_texts()])
+    documents = pd.DataFrame([row[:2] for row in data], columns=["doc_id", "text"])
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        expected = con.sql(ORACLES["op4_license_scan"]).fetchall()
+    found = [tuple(row) for row in license_scan.findings(frame(spark, data)).collect()]
+    assert sorted(found) == sorted(expected) and len(found) > 15
+
+
+def test_licence_text_is_scanned_in_bounded_blocks(spark):
+    """A very long text costs in proportion to its length: its notices are found at its ends and in between."""
+    mit = "\n".join(textwrap.wrap(license_scan.TEMPLATES["MIT"][-1], 70))
+    filler = "\n".join(prose(9, at) for at in range(20000))
+    text = "\n".join([mit, filler, mit, filler, mit])
+    found = license_scan.findings(frame(spark, rows([text]))).orderBy("start").collect()
+    assert [row["license_id"] for row in found] == ["MIT"] * 3 and found[0]["start"] == 0
+    assert found[-1]["last_no"] == text.count("\n")
+
+
 def test_licence_bounds_lose_nothing():
     sizes = range(1, 60)
     for a in sizes:
