@@ -2,6 +2,9 @@
 
 Each stage reads what the stage before it has kept; all but the last return the
 columns of documents, the last returns the pieces of packed token sequences.
+
+For every stage: a null text counts as empty, extra columns may have any name and
+come through unchanged, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,23 +16,27 @@ from curveframe.llm.common import stage, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows the classifier takes for good and civil; without labels only the labellers' votes train it."""
     return quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per distinct text, the one with the largest id."""
     return grace_dedup.survivors(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per class of near duplicates, the one with the smallest id; texts without words are in no class and stay."""
     return minhash_forest.survivors(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which less than a twentieth of the words is hit by benchmark windows; without items all of them."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces: doc_id, start, length, ids (unsigned little-endian 32-bit), doc_tokens, sequence_id, offset."""
+    """Pieces of all rows, an empty text being its final id alone: doc_id, start, length, ids (unsigned little-endian 32-bit), doc_tokens, sequence_id, offset."""
     return packing.pack(docs)
 
 
