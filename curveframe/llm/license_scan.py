@@ -97,11 +97,11 @@ def prefix_bigrams(rows: list[tuple[str, list[str], int]], threshold: float) ->
     return sorted(needed)
 
 
-def needed_words(rows: list[tuple[str, list[str], int]], threshold: float) -> tuple[list[str], list[str]]:
-    """Words of which a text needs one to reach ``threshold`` with any template: long ones, and short ones.
+def needed_words(rows: list[tuple[str, list[str], int]], threshold: float) -> list[str]:
+    """Words of which a text needs one to reach ``threshold`` with any template.
 
     Words are taken until more bigrams of a template hold one of them than a unit may
-    lack; long words, those taken before and those in many bigrams come first.
+    lack; long words and those in many bigrams come first.
     """
     taken: set[str] = set()
     for _, bigrams, _ in rows:
@@ -114,9 +114,7 @@ def needed_words(rows: list[tuple[str, list[str], int]], threshold: float) -> tu
             )
             taken.add(best)
             left = {bigram for bigram in left if best not in bigram.split()}
-    long = {word for word in taken if len(word) >= 5}
-    long = {word for word in long if not any(other != word and other in word for other in long)}
-    return sorted(long), sorted(word for word in taken if len(word) < 5 and not any(part in word for part in long))
+    return sorted(taken)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -129,6 +127,15 @@ def _texts(values: list[str]) -> Column:
     return F.split(F.lit("\n".join(values)), "\n")
 
 
+def _may_hold(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of the words: one pattern, tried where a word starts, first letter first."""
+    rest: dict[str, list[str]] = {}
+    for word in words:
+        rest.setdefault(word[0], []).append(re.escape(word[1:]))
+    choices = "|".join(f"{letter}(?:{'|'.join(ends)})" for letter, ends in sorted(rest.items()))
+    return F.concat(F.lit(" "), F.lower(text)).rlike(f"[^0-9a-z](?:{choices})(?![0-9a-z])")
+
+
 def _tokens(text: Column) -> Column:
     """Words of a text in order: word, whether a sentence starts with it, number of its line."""
 
@@ -194,15 +201,7 @@ def findings(
     rows = template_rows(templates)
     names = list(dict.fromkeys(name for name, _, _ in rows))
     reach = 2 * max(words for _, _, words in rows)
-    lowered = F.lower(F.col(text_column))
-    long, short = needed_words(rows, threshold)
-    asked = [lowered.contains(word) for word in long]
-    if short:
-        asked.append(lowered.rlike(rf"(?<![0-9a-z\x{{80}}-\x{{10FFFF}}])(?:{'|'.join(short)})(?![0-9a-z\x{{80}}-\x{{10FFFF}}])"))
-    some = asked[0]
-    for other in asked[1:]:
-        some = some | other
-    blocks = docs.where(some).select(
+    blocks = docs.where(_may_hold(F.col(text_column), needed_words(rows, threshold))).select(
         F.col(id_column), F.explode(_blocks(F.col(text_column), prefix_bigrams(rows, threshold), reach, block_words)).alias("block")
     )
     found = blocks.select(id_column, "block.lines", "block.at", F.explode(_best(F.col("block"), rows, names, threshold)).alias("one"))
