@@ -135,24 +135,40 @@ def read_package_files(
     )
 
 
-def row_ordinals(df: DataFrame) -> DataFrame:
+# Rows of a file meet their offset in blocks of so many rows.
+BLOCK_ROWS = 1 << 15
+
+
+def row_ordinals(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``ordinal``: rows of the first file (by path) first, in file order, without gaps.
 
     Row order of foreign Parquet is the only order its curves have. A file's
     offset is the number of rows in the files before it; the offsets have one
     row per file, so their running sum is small where the rows are not. One plan
     serves any number of files, and no file name passes through the driver.
+    Rows join by file and block, with an offset row for each block: by file alone
+    all rows of a file would meet in one task.
     """
     file_path, position = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    sizes = df.select(file_path.alias("file_path")).groupBy("file_path").agg(F.count("*").alias("rows"))
+    block = lambda row: F.floor(row / F.lit(block_rows)).cast("bigint")
+    sizes = (
+        df.select(file_path.alias("file_path"), position.alias("position"))
+        .groupBy("file_path")
+        .agg(F.count("*").alias("rows"), F.max("position").alias("last"))
+    )
     before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col("file_path").alias("_offset_path"),
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_offset"),
-    )
+        F.sequence(F.lit(0).cast("bigint"), block(F.col("last"))).alias("blocks"),
+    ).select("_offset_path", "_offset", F.explode("blocks").alias("_offset_block"))
     return (
         df.select("*", file_path.alias("_row_path"), position.alias("_row_position"))
-        .join(offsets, F.col("_row_path") == F.col("_offset_path"))
+        .withColumn("_row_block", block(F.col("_row_position")))
+        .join(
+            offsets,
+            (F.col("_row_path") == F.col("_offset_path")) & (F.col("_row_block") == F.col("_offset_block")),
+        )
         .withColumn("ordinal", F.col("_offset") + F.col("_row_position"))
-        .drop("_row_path", "_row_position", "_offset_path", "_offset")
+        .drop("_row_path", "_row_position", "_row_block", "_offset_path", "_offset", "_offset_block")
     )

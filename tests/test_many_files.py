@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from curveframe.sources.registry import row_ordinals
@@ -40,3 +41,30 @@ def test_queries_read_all_files(spark, tmp_path, name):
     folder = cut_table(tmp_path, "lineitem", 3)
     parts = {tuple(map(str, row)) for row in queries()[name](spark, folder).collect()}
     assert parts == whole and parts
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as on tables too large to be broadcast, their tasks not put together."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_rows_of_one_file_are_dealt_to_many_tasks(no_broadcast, tmp_path):
+    no_broadcast.range(600_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    numbered = row_ordinals(no_broadcast.read.parquet(str(tmp_path / "one")))
+    assert numbered.where("ordinal = id").count() == 600_000
+    held = numbered.groupBy(F.spark_partition_id()).count().collect()
+    assert max(row["count"] for row in held) < 450_000
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 100, 1 << 15])
+def test_ordinals_in_blocks(no_broadcast, tmp_path, block_rows):
+    for name, first, size in (("b", 0, 150), ("a", 500, 250), ("c", 900, 0), ("d", 1000, 1)):
+        no_broadcast.range(first, first + size).coalesce(1).write.parquet(str(tmp_path / "parts" / f"part={name}"))
+    found = row_ordinals(no_broadcast.read.parquet(str(tmp_path / "parts")), block_rows).orderBy("ordinal").collect()
+    assert [row["ordinal"] for row in found] == list(range(401))
+    assert [row["id"] for row in found] == [*range(500, 750), *range(150), 1000]
