@@ -20,6 +20,8 @@ from curveframe.functions.numeric import INFINITY, is_finite
 from curveframe.schema import DATASET_KEYS
 from curveframe.session import cut_lineage
 
+SLOT = "_slot"
+
 
 def _between_cursors(rows: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with ``cursor``, the last query at or before them; null before the first."""
@@ -76,13 +78,21 @@ def _outwards(ends: DataFrame, marks: DataFrame, count: int, keys: list[str]) ->
     order = Window.partitionBy(*side).orderBy(F.when(F.col("upwards"), lowest).otherwise(-lowest))
     through = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     passed = F.col("through") - F.when(F.col("upwards"), F.col("size")).otherwise(0)
+    # A query asks for blocks of ``count`` places, not for each place, and for none past the last row.
+    block = lambda place: F.floor((place - 1) / F.lit(count)).cast("bigint")
+    final = F.least(passed + count, F.col("total"))
     wanted = (
         gaps.withColumn("through", through)
-        .where(F.col("query").isNotNull())
-        .select(*side, "query", F.explode(F.sequence(passed + 1, passed + count)).alias("place"))
+        .withColumn("total", F.sum("size").over(Window.partitionBy(*side)))
+        .where(F.col("query").isNotNull() & (F.col("total") > passed))
+        .select(*side, "query", passed.alias("passed"), F.explode(F.sequence(block(passed + 1), block(final))).alias("block"))
     )
     ranked = ends.withColumn("place", F.row_number().over(Window.partitionBy(*side).orderBy("away", "ordinal")))
-    return wanted.join(ranked.drop("cursor", "away"), [*side, "place"]).drop("place", "upwards")
+    return (
+        wanted.join(ranked.drop("cursor", "away").withColumn("block", block(F.col("place"))), [*side, "block"])
+        .where((F.col("place") > F.col("passed")) & (F.col("place") <= F.col("passed") + count))
+        .drop("place", "passed", "block", "upwards")
+    )
 
 
 def nearest(
@@ -99,11 +109,13 @@ def nearest(
     told apart by their index. Rows without an index and cursors that are not finite are
     left out.
     """
-    keys = list(keys)
+    # Keys that begin alike are slow to sort; their hash, put first, tells most of them apart.
+    rows, cursors = (side.withColumn(SLOT, F.xxhash64(*keys)) for side in (rows, cursors))
+    keys = [SLOT, *keys]
     marks = cursors.where(is_finite("query")).select(*keys, F.col("query").cast("double").alias("query")).distinct()
     marks = cut_lineage(marks)
     known = rows.where(F.col("index").isNotNull()).select(*keys, "index", "ordinal", *carry)
     placed = _between_cursors(known.join(marks.select(*keys).distinct(), keys, "left_semi"), marks, keys)
     sides = _outwards(_ends_of_gaps(placed, count, keys), marks, count, keys)
     by_distance = Window.partitionBy(*keys, "query").orderBy(F.abs(F.col("index") - F.col("query")), "ordinal")
-    return sides.withColumn("place", F.row_number().over(by_distance)).where(F.col("place") <= count)
+    return sides.withColumn("place", F.row_number().over(by_distance)).where(F.col("place") <= count).drop(SLOT)

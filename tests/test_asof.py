@@ -76,3 +76,14 @@ def test_one_cursor_in_one_large_dataset(spark):
     points = spark.createDataFrame([("d", "hot", 500.2)], CURSORS)
     found = nearest(large, points, 32).orderBy("place").collect()
     assert [row["ordinal"] for row in found] == [500 + 1000 * at for at in range(32)]
+
+
+def test_more_places_than_rows(spark):
+    """Places that no row takes are not written out, however many are asked for."""
+    rows = [("d", "few", at, float(at), None) for at in range(3)]
+    marks = spark.createDataFrame([("d", "few", 0.4), ("d", "few", 9.0), ("d", "none", 1.0)], CURSORS)
+    found = nearest(spark.createDataFrame(rows, ROWS), marks, 1 << 31).collect()
+    assert set(found[0].__fields__) == {"document_id", "dataset_id", "query", "ordinal", "index", "place"}
+    assert sorted((row["query"], row["place"], row["ordinal"]) for row in found) == [
+        (0.4, 1, 0), (0.4, 2, 1), (0.4, 3, 2), (9.0, 1, 2), (9.0, 2, 1), (9.0, 3, 0)
+    ]
