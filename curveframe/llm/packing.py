@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curveframe.llm.common import pieces, stage, total_bytes, worker_memory
+from curveframe.llm.common import forget, pieces, stage, total_bytes, worker_memory
 
 WINDOW = 2048
 FINAL_ID = 1
@@ -38,6 +38,7 @@ DENSE = 8  # terms in more than one of so many documents of a shard are held as
 K1, B = 1.2, 0.75
 CACHED = 350_000
 PIECE_BYTES = 4 << 20
+ENCODERS = "curveframe_word_encoders"
 
 
 def tokenizer_path() -> str:
@@ -112,7 +113,7 @@ class WordEncoder:
 
 def _tokenise(id_column: str, text_column: str, path: str, final_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = worker_memory("curveframe_word_encoders")
+        memory = worker_memory(ENCODERS)
         if path not in memory:
             memory[path] = WordEncoder(path)
         encode, end = memory[path].encode, np.array([final_id], dtype="<u4").tobytes()
@@ -282,6 +283,8 @@ DOCUMENTS, TOKENS = -1, -2  # rows of the counts that stand for no term
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Texts are tokenised by now; an encoder and its words would stay in the worker, whatever runs there next.
+    forget(ENCODERS)
     spread, documents, tokens = np.zeros(1 << 16, np.int64), 0, 0
     for batch in batches:
         for packed_ids in batch.column("ids").to_pylist():
