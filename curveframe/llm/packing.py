@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curveframe.llm.common import forget, pieces, stage, total_bytes, worker_memory
+from curveframe.llm.common import forget, pieces, stage, staged, total_bytes, worker_memory
 
 WINDOW = 2048
 FINAL_ID = 1
@@ -390,9 +390,9 @@ def pack(
     tokens = docs.select(id_column, text_column).mapInArrow(
         _tokenise(id_column, text_column, tokenizer or tokenizer_path(), final_id), "id bigint, ids binary"
     )
-    tokens = stage(tokens, "tokens")
-    corpus = count(tokens)
-    placed, shards = deal(tokens, corpus, shards)
+    with staged(tokens, "tokens") as tokens:
+        corpus = count(tokens)
+        placed, shards = deal(tokens, corpus, shards)  # writes the tokens anew, beside their topics
     dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "id", "ids")
     schema = "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     return dealt.mapInArrow(_pack_shards(window, corpus), schema).withColumnRenamed("id", id_column)

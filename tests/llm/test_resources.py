@@ -1,13 +1,20 @@
-"""What operators leave behind: memory of Python workers."""
+"""What operators leave behind: memory of Python workers and staged files."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from helpers import prose
+import pytest
+from helpers import frame, prose, rows
 
 from curveframe.llm import packing, quality
-from curveframe.llm.common import worker_memory
+from curveframe.llm.common import staged, worker_memory
+from curveframe.session import checkpoint_directory
+
+
+def _left(spark, name):
+    return list(Path(checkpoint_directory(spark).removeprefix("file:")).glob(f"{name}-*"))
 
 
 def test_features_of_a_large_batch_take_bounded_memory():
@@ -27,3 +34,20 @@ def test_encoders_are_given_up_once_texts_are_tokenised():
     (counts,) = packing._count(iter([pa.RecordBatch.from_pydict({"ids": ids})]))
     assert dict(zip(*(counts.column(name).to_pylist() for name in ("term", "n")), strict=True)) == {1: 2, 5: 1, 7: 1, -1: 2, -2: 5}
     assert "some.json" not in worker_memory(packing.ENCODERS)
+
+
+def test_packing_deletes_tokens_that_are_written_anew(spark):
+    before = _left(spark, "tokens")
+    packed = packing.pack(frame(spark, rows([prose(50, n) for n in range(40)])))
+    assert _left(spark, "tokens") == before
+    assert sum(row["length"] for row in packed.collect()) > 40 * 50
+
+
+def test_staged_files_go_with_their_block(spark):
+    before = _left(spark, "block")
+    with staged(spark.range(10), "block") as held:
+        assert held.count() == 10 and len(_left(spark, "block")) == len(before) + 1
+    assert _left(spark, "block") == before
+    with pytest.raises(ZeroDivisionError), staged(spark.range(10), "block"):
+        raise ZeroDivisionError
+    assert _left(spark, "block") == before
