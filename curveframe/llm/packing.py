@@ -19,25 +19,39 @@ repeated rows are packed each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curveframe.llm.common import forget, pieces, stage, staged, total_bytes, worker_memory
+from curveframe.llm.common import (
+    SPACE,
+    content_hashes,
+    forget,
+    lower_ascii,
+    pieces,
+    stage,
+    staged,
+    text_bytes,
+    total_bytes,
+    word_spans,
+    worker_memory,
+)
 
 WINDOW = 2048
 FINAL_ID = 1
 SHARD_BYTES = 6 << 20  # of text in a shard, on average
 DENSE = 8  # terms in more than one of so many documents of a shard are held as full rows
 K1, B = 1.2, 0.75
-CACHED = 350_000
-PIECE_BYTES = 4 << 20
+CACHED = 1_000_000  # words that an encoder knows
+COMPOSING = 0xC9  # no combining mark is written in UTF-8 with bytes below
+PIECE_BYTES = 2 << 20
+MATRIX = 1 << 20  # weights of common terms that are added up at once
+BLOCK_TOKENS = 1 << 18  # whose terms are counted at once
 ENCODERS = "curveframe_word_encoders"
 
 
@@ -54,11 +68,20 @@ def _byte_letters() -> list[str]:
     return [chr(byte) if byte in plain else chr(next(spare)) for byte in range(256)]
 
 
+# Bytes that a word's borders are read from; each digit is a word. Letters beyond ASCII are those of U+00C0 to U+017F.
+KINDS = np.full(256, 3, np.uint8)
+KINDS[SPACE], KINDS[[*b"0123456789"]] = 0, 2
+KINDS[[byte for byte in range(256) if byte >= 0x80 or chr(byte).isalpha()]] = 1
+
+
 class WordEncoder:
-    """Ids of whole texts by way of a cache of white-space separated chunks.
+    """Ids of whole texts by way of a table of words.
 
-    The vocabulary drops white space and splits at it, so a text's ids are those of
-    its chunks in order. Texts with signs that make this untrue go to the tokenizer whole.
+    The vocabulary drops white space and splits at it, and words are runs of letters, single digits and runs of other
+    signs, so a text's ids are those of its words in order. Words are told apart by 128 bits of hash and looked up
+    many at a time. A chunk between white space counts as one odd word, which the tokenizer gets whole, if it holds
+    an apostrophe, the start of a special token, a sign beyond ASCII that is no letter of U+00C0 to U+017F (so
+    multiplication and division), or the one of these letters whose lower case has a mark.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,49 +89,123 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        # Fixed value: the word pattern of the vocabulary file.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        # Beyond Latin letters, libraries may differ in what they take for a letter or its lower case.
-        self.latin = regex.compile("[\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f]*")
-        self.special = "<|"
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        known = self.pieces.get(word)
-        if known is None:
-            spelled = word if word.isascii() and word.isprintable() else "".join(self.letters[byte] for byte in word.encode())
-            known = np.array([token.id for token in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-            if len(self.pieces) < CACHED and len(word) < 40:
-                self.pieces[word] = known
-        return known
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self._clear(CACHED)
+
+    def _clear(self, room: int) -> None:
+        """Empties the table; at least half of its slots stay free with ``room`` words."""
+        slots = 1 << (2 * room - 1).bit_length()
+        self.room, self.used, self.taken = room, 0, 0
+        self.one, self.two = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.entry = np.full(slots, -1, np.int32)
+        self.starts, self.sizes = np.zeros(room, np.int64), np.zeros(room, np.int32)
+        self.ids = np.zeros(4 * room, np.uint32)
+
+    def _find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Entries of words, -1 where unknown."""
+        mask = np.uint64(len(self.entry) - 1)
+        slots = (one & mask).astype(np.int64)
+        found = self.entry[slots]
+        rows = np.flatnonzero((found >= 0) & ((self.one[slots] != one) | (self.two[slots] != two)))
+        slots = slots[rows]
+        while len(rows):
+            slots = (slots + 1) & int(mask)
+            found[rows] = self.entry[slots]
+            other = (found[rows] >= 0) & ((self.one[slots] != one[rows]) | (self.two[slots] != two[rows]))
+            rows, slots = rows[other], slots[other]
+        return found
+
+    def _learn(self, one: np.ndarray, two: np.ndarray, words: list[bytes], odd: np.ndarray) -> None:
+        """Takes up words that differ from each other and from all known ones."""
+        ids = list(self._ids(words, odd))
+        sizes = np.array([len(some) for some in ids])
+        flat = np.array([token for some in ids for token in some], np.uint32)
+        if self.taken + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.taken], np.zeros(len(flat) + len(self.ids), np.uint32)])
+        self.ids[self.taken : self.taken + len(flat)] = flat
+        entries = np.arange(self.used, self.used + len(ids), dtype=np.int32)
+        self.starts[entries], self.sizes[entries] = self.taken + np.cumsum(sizes) - sizes, sizes
+        self.used, self.taken = self.used + len(ids), self.taken + len(flat)
+        mask = len(self.entry) - 1
+        rows, slots = np.arange(len(ids)), (one & np.uint64(mask)).astype(np.int64)
+        while len(rows):
+            free = self.entry[slots] < 0
+            self.entry[slots[free]] = entries[rows[free]]
+            placed = self.entry[slots] == entries[rows]  # of rows that meet in a slot, the last one has it
+            self.one[slots[placed]], self.two[slots[placed]] = one[rows[placed]], two[rows[placed]]
+            rows, slots = rows[~placed], (slots[~placed] + 1) & mask
+
+    def _ids(self, words: list[bytes], odd: np.ndarray) -> Iterator[list[int]]:
+        """Ids by the tokenizer, or by its model alone, which wants words in lower case and spelled in its letters."""
+        model, letters = self.model.tokenize, self.letters
+        for word, whole in zip(b"\n".join(words).decode().split("\n"), odd.tolist(), strict=True):
+            if whole:
+                yield self.whole.encode(word, add_special_tokens=False).ids
+                continue
+            plain = word.lower()
+            if not (plain.isascii() and plain.isprintable()):
+                plain = "".join([letters[byte] for byte in plain.encode()])
+            yield [token.id for token in model(plain)]
+
+    def _words(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words of all texts, n + 1 offsets of each text's first word, and which words are odd."""
+        kinds, after = KINDS[raw], np.append(raw[1:], 0)
+        odd = (raw == ord("'")) | (raw == 0xC2) | (raw >= 0xC6) | ((raw == ord("<")) & (after == ord("|")))
+        odd |= ((raw == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((raw == 0xC4) & (after == 0xB0))
+        if odd.any():
+            starts, ends, _ = word_spans(raw, offsets, SPACE)
+            whole = np.unique(np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1)
+            starts, sizes = starts[whole], (ends - starts)[whole]
+            kinds[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = 4
+        change = np.ones(len(raw) + 1, dtype=bool)
+        change[1:-1] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)
+        change[offsets] = True
+        edges = np.flatnonzero(change)
+        starts, ends = edges[:-1], edges[1:]
+        held = kinds[starts] > 0
+        starts, ends = starts[held], ends[held]
+        return starts, ends, np.searchsorted(starts, offsets), kinds[starts] == 4
+
+    def _entries(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Entries of all words of a piece of text; unknown ones are learnt."""
+        one, two = content_hashes(raw, starts, ends)
+        found, fresh = self._find(one, two), 0
+        unknown = np.flatnonzero(found < 0)
+        while len(unknown):
+            # Of different words that share the first hash, one is learnt in a round.
+            new = unknown[np.unique(one[unknown], return_index=True)[1]]
+            if self.used + len(new) > self.room:
+                self._clear(max(CACHED, len(starts)) if self.used > fresh else 2 * self.room)
+                unknown, fresh = np.arange(len(starts)), 0
+                continue
+            words = [raw[start:end].tobytes() for start, end in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            self._learn(one[new], two[new], words, odd[new])
+            fresh += len(new)
+            found[unknown] = self._find(one[unknown], two[unknown])
+            unknown = unknown[found[unknown] < 0]
+        return found
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, without special tokens; null counts as empty."""
+        raw, offsets = text_bytes(texts)
+        if not len(raw):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        # Lower case joins words, but before the tokenizer it might compose with marks or spell a special token.
+        kept = raw >= COMPOSING
+        kept[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+        texts_kept = np.bincount(np.searchsorted(offsets, np.flatnonzero(kept), side="right") - 1, minlength=len(texts)) > 0
+        raw = np.where(np.repeat(texts_kept, np.diff(offsets)), raw, lower_ascii(raw))
+        starts, ends, firsts, odd = self._words(raw, offsets)
+        entries = self._entries(raw, starts, ends, odd)
+        sizes = self.sizes[entries].astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.repeat(self.starts[entries] - bounds[:-1], sizes) + np.arange(bounds[-1])]
+        cuts = bounds[firsts].tolist()
+        return [flat[start:end] for start, end in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned little-endian 32-bit numbers, without special tokens."""
-        if self.special in text or any(sign in text for sign in "\x1c\x1d\x1e\x1f"):
-            return self._whole(text)
-        if text.isascii():
-            chunks = text.lower().split()
-        elif self.latin.fullmatch(text):
-            chunks = unicodedata.normalize("NFC", text).lower().split()
-        else:
-            chunks = text.split()
-        known = self.chunks
-        fresh: dict[str, bytes] = {}
-        for chunk in set(chunks).difference(known):
-            if self.latin.fullmatch(chunk):
-                plain = unicodedata.normalize("NFC", chunk).lower()
-                ids = b"".join([self._word(word) for word in self.words.findall(plain)])
-            else:
-                ids = self._whole(chunk)
-            (known if len(known) < CACHED and len(chunk) < 60 else fresh)[chunk] = ids
-        if not fresh:
-            return b"".join(map(known.__getitem__, chunks))
-        return b"".join([fresh[chunk] if chunk in fresh else known[chunk] for chunk in chunks])
+        return self.encode_all(pa.array([text]))[0].astype("<u4").tobytes()
 
 
 def _tokenise(id_column: str, text_column: str, path: str, final_id: int):
@@ -116,10 +213,10 @@ def _tokenise(id_column: str, text_column: str, path: str, final_id: int):
         memory = worker_memory(ENCODERS)
         if path not in memory:
             memory[path] = WordEncoder(path)
-        encode, end = memory[path].encode, np.array([final_id], dtype="<u4").tobytes()
+        end = np.array([final_id], dtype="<u4")
         for piece in pieces(batches, text_column, PIECE_BYTES):
             # Halves the shuffle: no id of the vocabulary needs more than 16 bits, or all keep 32.
-            ids = [np.frombuffer(encode(text or "") + end, dtype="<u4") for text in piece.column(text_column).to_pylist()]
+            ids = [np.append(some, end).astype("<u4") for some in memory[path].encode_all(piece.column(text_column))]
             small = [array.astype("<u2").tobytes() if array.max() < 1 << 16 else b"\0" + array.tobytes() for array in ids]
             yield pa.RecordBatch.from_arrays([piece.column(id_column).cast(pa.int64()), pa.array(small, pa.binary())], ["id", "ids"])
 
@@ -131,6 +228,31 @@ def _unpack(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids[1:], "<u4") if len(ids) % 2 else np.frombuffer(ids, "<u2").astype("<u4")
 
 
+def _blocks(packed: list[bytes]) -> Iterator[list[np.ndarray]]:
+    """Documents as written by ``_tokenise``, in order, ``BLOCK_TOKENS`` ids or one longer document at once."""
+    block, held = [], 0
+    for packed_ids in packed:
+        block.append(_unpack(packed_ids))
+        held += len(block[-1])
+        if held >= BLOCK_TOKENS:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def _terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, frequency) of all terms of all documents, in this order."""
+    flat = np.concatenate(docs)
+    bits = int(flat.max()).bit_length()
+    kind = np.uint32 if len(docs) << bits < 1 << 32 else np.uint64
+    key = np.repeat(np.arange(len(docs), dtype=kind) << kind(bits), [len(ids) for ids in docs]) | flat.astype(kind)
+    key.sort()
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    held = key[edges]
+    return (held >> kind(bits)).astype(np.int64), (held & kind((1 << bits) - 1)).astype(np.int64), np.diff(edges, append=len(key))
+
+
 @dataclass
 class Corpus:
     """Counts over all documents: their number, their mean length, and of each id the documents that hold it."""
@@ -141,14 +263,16 @@ class Corpus:
 
     @staticmethod
     def of(docs: list[np.ndarray]) -> Corpus:
-        held = np.concatenate([np.unique(ids) for ids in docs]).astype(np.int64)
-        return Corpus(len(docs), sum(map(len, docs)) / len(docs), np.bincount(held))
+        return Corpus(len(docs), sum(map(len, docs)) / len(docs), np.bincount(_terms(docs)[1]))
+
+    @cached_property
+    def rarity(self) -> np.ndarray:
+        return np.log1p((self.count - self.spread + 0.5) / (self.spread + 0.5))
 
     def weights(self, terms: np.ndarray, frequency: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
         """BM25 weights of terms in documents of the given sizes."""
-        spread = self.spread[terms]
         length = K1 * (1 - B + B * sizes / max(self.mean, 1))
-        return np.log1p((self.count - spread + 0.5) / (spread + 0.5)) * frequency * (K1 + 1) / (frequency + length)
+        return self.rarity[terms] * frequency * (K1 + 1) / (frequency + length)
 
 
 class Bm25Index:
@@ -157,18 +281,17 @@ class Bm25Index:
     def __init__(self, docs: list[np.ndarray], corpus: Corpus) -> None:
         self.count = len(docs)
         sizes = np.array([len(ids) for ids in docs])
-        owner = np.repeat(np.arange(self.count), sizes)
-        flat = np.concatenate(docs).astype(np.int64)
-        key, frequency = np.unique(flat * self.count + owner, return_counts=True)
-        self.doc = key % self.count
-        term = key // self.count
-        self.terms, firsts = np.unique(term, return_index=True)
-        self.bounds = np.append(firsts, len(key))
-        self.weight = corpus.weights(term, frequency, sizes[self.doc])
-        place = np.searchsorted(self.terms, term)
-        order = np.argsort(self.doc, kind="stable")
-        self.place = place[order]
-        self.doc_bounds = np.searchsorted(self.doc[order], np.arange(self.count + 1))
+        owner, held, frequency = _terms(docs)
+        # By term; terms of 16 bits are sorted by radix.
+        order = np.argsort(held.astype(np.uint16) if held.max() < 1 << 16 else held, kind="stable")
+        self.doc, term = owner[order], held[order]
+        firsts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        self.bounds = np.append(firsts, len(term))
+        self.weight = corpus.weights(term, frequency[order], sizes[self.doc])
+        place = np.repeat(np.arange(len(firsts)), np.diff(self.bounds))
+        self.place = np.empty_like(place)
+        self.place[order] = place
+        self.doc_bounds = np.searchsorted(owner, np.arange(self.count + 1))
         # Terms of many documents as rows of a matrix: adding rows is much faster than adding at places.
         common = np.diff(self.bounds) * DENSE > self.count
         self.row = np.where(common, np.cumsum(common) - 1, -1)
@@ -181,8 +304,10 @@ class Bm25Index:
         places = self.place[self.doc_bounds[seed] : self.doc_bounds[seed + 1]]
         rows = self.row[places]
         score = np.zeros(self.count)
-        for row in rows[rows >= 0].tolist():
-            score += self.dense[row]
+        common = rows[rows >= 0]
+        for some in range(0, self.count if len(common) else 0, step := max(1, MATRIX // max(1, len(common)))):
+            # Row by row in double precision.
+            score[some : some + step] = np.add.reduce(self.dense[common, some : some + step], axis=0, dtype=np.float64)
         rare = places[rows < 0]
         starts, lengths = self.bounds[rare], self.bounds[rare + 1] - self.bounds[rare]
         at = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
@@ -287,13 +412,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget(ENCODERS)
     spread, documents, tokens = np.zeros(1 << 16, np.int64), 0, 0
     for batch in batches:
-        for packed_ids in batch.column("ids").to_pylist():
-            ids = _unpack(packed_ids)
-            held = np.unique(ids)
-            if held[-1] >= len(spread):
-                spread = np.append(spread, np.zeros(held[-1] + 1 - len(spread), np.int64))
-            spread[held] += 1
-            documents, tokens = documents + 1, tokens + len(ids)
+        for docs in _blocks(batch.column("ids").to_pylist()):
+            found = np.bincount(_terms(docs)[1], minlength=len(spread))
+            found[: len(spread)] += spread
+            spread, documents, tokens = found, documents + len(docs), tokens + sum(map(len, docs))
     used = np.flatnonzero(spread)
     terms = np.concatenate([used, [DOCUMENTS, TOKENS]])
     yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.concatenate([spread[used], [documents, tokens]]))], ["term", "n"])
@@ -314,17 +436,19 @@ def _topics(corpus: Corpus, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            topics = []
-            for packed_ids in batch.column("ids").to_pylist():
-                ids = _unpack(packed_ids)
-                terms, frequency = np.unique(ids, return_counts=True)
-                weight, spread = corpus.weights(terms, frequency, len(ids)), corpus.spread[terms]
-                for few in (least, 2):
+            topics, rarest = [], []
+            for docs in _blocks(batch.column("ids").to_pylist()):
+                owner, terms, frequency = _terms(docs)
+                firsts = np.searchsorted(owner, np.arange(len(docs)))
+                weight, spread = corpus.weights(terms, frequency, np.array([len(ids) for ids in docs])[owner]), corpus.spread[terms]
+                for few, out in ((least, topics), (2, rarest)):
                     shared = np.where(spread >= few, weight, -1)
-                    best = int(shared.argmax())
-                    topics.append(int(terms[best]) if shared[best] >= 0 else -1)
-            columns = [*batch.columns, pa.array(topics[::2], pa.int64()), pa.array(topics[1::2], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "topic", "term"])
+                    best = np.maximum.reduceat(shared, firsts)
+                    heaviest = np.flatnonzero(shared == best[owner])  # of equal ones the first
+                    heaviest = heaviest[np.searchsorted(heaviest, firsts)]
+                    out.append(np.where(best >= 0, terms[heaviest], -1))
+            told = [pa.array(np.concatenate(out) if out else [], pa.int64()) for out in (topics, rarest)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, "topic", "term"])
 
     return run
 
